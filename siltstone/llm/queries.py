@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .decontam import OP6_SQL, op6_decontamination
+from .packing import op9_packing
 from .simhash import op2_simhash
 
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op6_decontamination": op6_decontamination,
+    "op9_packing": op9_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_decontamination": OP6_SQL}
