@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .decontam import OP6_SQL, op6_decontamination
 from .packing import op9_packing
+from .quality import op1_quality
 from .simhash import op2_simhash
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_simhash": op2_simhash,
     "op6_decontamination": op6_decontamination,
     "op9_packing": op9_packing,
