@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .decontam import OP6_SQL, op6_decontamination
 from .packing import op9_packing
 from .quality import op1_quality
+from .secretscan import op10_secrets
 from .simhash import op2_simhash
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_quality": op1_quality,
     "op2_simhash": op2_simhash,
     "op6_decontamination": op6_decontamination,
     "op9_packing": op9_packing,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {"op6_decontamination": OP6_SQL}
