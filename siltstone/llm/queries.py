@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
+from .ann import op8_nearest
 from .decontam import OP6_SQL, op6_decontamination
 from .packing import op9_packing
 from .quality import op1_quality
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_simhash": op2_simhash,
     "op6_decontamination": op6_decontamination,
+    "op8_nearest": op8_nearest,
     "op9_packing": op9_packing,
     "op10_secrets": op10_secrets,
 }
