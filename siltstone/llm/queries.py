@@ -6,6 +6,7 @@ import corpus_pipeline
 
 from .ann import op8_nearest
 from .decontam import OP6_SQL, op6_decontamination
+from .langid import op4_language
 from .packing import op9_packing
 from .quality import op1_quality
 from .secretscan import op10_secrets
@@ -15,6 +16,7 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_quality": op1_quality,
     "op2_simhash": op2_simhash,
+    "op4_language": op4_language,
     "op6_decontamination": op6_decontamination,
     "op8_nearest": op8_nearest,
     "op9_packing": op9_packing,
