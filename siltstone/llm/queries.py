@@ -11,12 +11,14 @@ from .packing import op9_packing
 from .quality import op1_quality
 from .secretscan import op10_secrets
 from .simhash import op2_simhash
+from .urlfilter import op5_url_filter
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_quality": op1_quality,
     "op2_simhash": op2_simhash,
     "op4_language": op4_language,
+    "op5_url_filter": op5_url_filter,
     "op6_decontamination": op6_decontamination,
     "op8_nearest": op8_nearest,
     "op9_packing": op9_packing,
