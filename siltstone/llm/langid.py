@@ -125,8 +125,9 @@ class Model:
         if not words or not self.langs:
             return "und", 0.0
         counts = Counter(words)
-        for w in counts.keys() - seen.keys():
-            seen[w] = self.word(w)
+        for w in counts:
+            if w not in seen:
+                seen[w] = self.word(w)
         table = np.array([seen[w] for w in counts])
         mean = (np.fromiter(counts.values(), float, len(counts)) @ table) / len(words)
         odds = np.exp((mean - mean.max()) * min(len(words), 20))  # neighbouring words are not independent evidence
