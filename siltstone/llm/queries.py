@@ -8,6 +8,7 @@ from .ann import op8_nearest
 from .decontam import OP6_SQL, op6_decontamination
 from .langid import op4_language
 from .packing import op9_packing
+from .pii import op7_pii
 from .quality import op1_quality
 from .secretscan import op10_secrets
 from .simhash import op2_simhash
@@ -20,6 +21,7 @@ QUERIES = {
     "op4_language": op4_language,
     "op5_url_filter": op5_url_filter,
     "op6_decontamination": op6_decontamination,
+    "op7_pii": op7_pii,
     "op8_nearest": op8_nearest,
     "op9_packing": op9_packing,
     "op10_secrets": op10_secrets,
