@@ -7,6 +7,7 @@ import corpus_pipeline
 from .ann import op8_nearest
 from .decontam import OP6_SQL, op6_decontamination
 from .langid import op4_language
+from .licenses import OP3_SQL, op3_licenses
 from .packing import op9_packing
 from .pii import op7_pii
 from .quality import op1_quality
@@ -18,6 +19,7 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_quality": op1_quality,
     "op2_simhash": op2_simhash,
+    "op3_licenses": op3_licenses,
     "op4_language": op4_language,
     "op5_url_filter": op5_url_filter,
     "op6_decontamination": op6_decontamination,
@@ -27,4 +29,4 @@ QUERIES = {
     "op10_secrets": op10_secrets,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_decontamination": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_licenses": OP3_SQL, "op6_decontamination": OP6_SQL}
