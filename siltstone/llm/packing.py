@@ -28,7 +28,7 @@ CAPACITY = 4096
 #: Vocabulary files above this many bytes are refused, for they are broadcast.
 MOST_VOCABULARY = 64 << 20
 #: Chunks a worker remembers; the memory is emptied when full.
-MOST_CHUNKS = 250_000
+MOST_CHUNKS = 400_000
 
 #: White space to Python's str.split(), but perhaps not to the tokenizer: such texts go to the tokenizer whole.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85]")
@@ -81,8 +81,9 @@ class ChunkEncoder:
                 known.clear()
             if len(self.words) > MOST_CHUNKS:
                 self.words.clear()
-            for c in set(chunks) - known.keys():
-                known[c] = self.chunk(c)
+            for c in set(chunks):
+                if c not in known:
+                    known[c] = self.chunk(c)
             return b"".join(map(known.__getitem__, chunks))
 
 
