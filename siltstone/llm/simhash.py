@@ -31,9 +31,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import word_blocks, written
+from ._shared import modest_batches, word_blocks, written
 
 BITS = 64
+#: Fingerprints that make up more than this part of all rows meet their rows by broadcast, the others by shuffle.
+FREQUENT = 1000
 
 
 def fingerprint_of(text: str | None, width: int = 4, seed: int = 42) -> int:
@@ -77,6 +79,7 @@ def _udf(width: int, seed: int):
 
 def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, text: str = "text", into: str = "fp") -> DataFrame:
     """``docs`` with the fingerprint as a signed 64-bit column; all other columns stay on the JVM side."""
+    modest_batches(docs.sparkSession)
     return docs.withColumn(into, _udf(width, seed)(F.col(text)))
 
 
@@ -242,14 +245,19 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
     """doc_id, fp (signed long), fingerprint (hex), component_id for each row of ``docs``."""
     prints = written(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")), width, seed).select("doc_id", "fp"), "prints")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    edges = written(links(nodes.select("fp"), nodes.count(), radius), "edges")
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "nodes")
+    distinct, rows = nodes.agg(F.count("*"), F.sum("copies")).first()
+    edges = written(links(nodes.select("fp"), distinct, radius), "edges")
     root = components(edges)
     linked = nodes.join(root, nodes.fp == root.node).select("fp", "least", "root")
     named = linked.groupBy("root").agg(F.min("least").alias("of_root"))
     named = linked.join(named, "root").select("fp", "of_root")
-    nodes = nodes.join(named, "fp", "left").select("fp", F.coalesce("of_root", "least").alias("component_id"))
-    joined = prints.join(nodes, "fp")
+    nodes = nodes.join(named, "fp", "left").select("fp", "copies", F.coalesce("of_root", "least").alias("component_id"))
+    frequent = F.col("copies") >= max(2, (rows or 0) // FREQUENT)  # fewer than 2 FREQUENT of them, whatever the rows
+    hot = F.broadcast(nodes.filter(frequent).select("fp", "component_id", F.lit(True).alias("hot")))
+    marked = prints.join(hot, "fp", "left")
+    cold = marked.filter(F.col("hot").isNull()).select("doc_id", "fp").join(nodes.filter(~frequent), "fp")
+    joined = marked.filter("hot").select("doc_id", "fp", "component_id").unionByName(cold.select("doc_id", "fp", "component_id"))
     return joined.select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
