@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import table, written
+from ._shared import modest_batches, table, written
 
 _KEEP = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
 #: ASCII upper case to lower case, everything outside words to a space.
@@ -181,6 +181,7 @@ def automata(items: DataFrame, window: int, most_words: int, id_col: str = "item
 
 def hits(docs: DataFrame, items: DataFrame, window: int = 10, most_words: int = 200_000, text: str = "text", into: str = "hits") -> DataFrame:
     """``docs`` with a struct of n_words, the item ids whose windows occur (sorted) and the spans of hit words."""
+    modest_batches(docs.sparkSession)
     out, machines = docs.withColumn(into, F.lit(None).cast(HITS)), list(automata(items, window, most_words))
     for k, machine in enumerate(machines):
         if k:
@@ -189,40 +190,56 @@ def hits(docs: DataFrame, items: DataFrame, window: int = 10, most_words: int =
     return out
 
 
-@F.arrow_udf(T.StringType())
-def _without(texts, spans):
-    import pyarrow as pa
+def without(text: str, spans: list[tuple[int, int]]) -> str:
+    """``text`` without the given spans of words."""
+    raw = text.encode("utf-8", "surrogatepass")
+    at = [m.span() for m in _WORD.finditer(raw.translate(_FOLD))]
+    kept, last = [], 0
+    for first, end in spans:
+        kept.append(raw[last : at[first][0]])
+        last = at[end][1]
+    return b"".join([*kept, raw[last:]]).decode("utf-8", "surrogatepass")
 
-    out = []
-    for text, gone in zip(texts, spans, strict=True):
-        data = text.as_py()
-        if data is not None and gone.as_py():
-            raw = data.encode("utf-8", "surrogatepass")
-            at = [m.span() for m in _WORD.finditer(raw.translate(_FOLD))]
-            kept, last = [], 0
-            for s in gone.as_py():
-                kept.append(raw[last : at[s["first"]][0]])
-                last = at[s["last"]][1]
-            data = b"".join([*kept, raw[last:]]).decode("utf-8", "surrogatepass")
-        out.append(data)
-    return pa.array(out, pa.string())
+
+def _cleaner(automaton):
+    @F.arrow_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType())]))
+    def cleaned(texts):
+        """What is left of a text that is hit (null for others), its words, and those hit at first."""
+        import pyarrow as pa
+
+        machine, out = automaton.value, []
+        for text in texts:
+            left = None
+            words = words_of(data := text.as_py())
+            n_words, n_hit = len(words), 0
+            while spans := machine.scan(words)[0]:  # what stood around a span may match when it is gone
+                n_hit = n_hit or sum(b - a + 1 for a, b in spans)
+                data = left = without(data, spans)
+                words = words_of(left)
+            out.append((left, n_words, n_hit))
+        return pa.StructArray.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["text", "n_words", "n_hit"])
+
+    return cleaned
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, most_coverage: float = 0.5, text: str = "text", rounds: int = 3) -> DataFrame:
-    """Removes hit spans; a document of which more than ``most_coverage`` is hit goes, as does one still hit after all rounds.
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, most_words: int = 200_000, most_coverage: float = 0.5, text: str = "text") -> DataFrame:
+    """Removes hit spans until none is left; a document of which more than ``most_coverage`` is hit by one automaton goes.
 
-    Removing a span joins what stood around it, so the rest is scanned again while any document is hit.
+    With one automaton this is a single pass. Several take turns over a stored table until a whole turn finds nothing.
     """
-    names = docs.columns
-    for _ in range(rounds):
-        judged = hits(docs, items, window, text=text)
-        n_hit = F.aggregate("hits.spans", F.lit(0), lambda n, s: n + s["last"] - s["first"] + 1)
-        judged = written(judged.filter(n_hit <= F.lit(most_coverage) * F.col("hits.n_words")), "decontaminated")
-        dirty = F.size("hits.spans") > 0
-        docs = judged.withColumn(text, F.when(dirty, _without(F.col(text), F.col("hits.spans"))).otherwise(F.col(text))).select(names)
-        if judged.filter(dirty).isEmpty():
-            return docs
-    return hits(docs, items, window, text=text).filter(F.size("hits.spans") == 0).select(names)
+    modest_batches(docs.sparkSession)
+    names, machines = docs.columns, list(automata(items, window, most_words))
+
+    def passed(df: DataFrame, machine) -> DataFrame:
+        judged = df.withColumn("_c", _cleaner(machine)(F.col(text))).filter(F.col("_c.n_hit") <= F.lit(most_coverage) * F.col("_c.n_words"))
+        return judged.withColumn(text, F.coalesce("_c.text", text)).select(*names, (F.col("_c.n_hit") > 0).alias("_hit"))
+
+    quiet, turn = 0, 0
+    while len(machines) > 1 and quiet < len(machines):
+        done = written(passed(docs, machines[turn % len(machines)]), "decontaminated")
+        quiet = quiet + 1 if done.filter("_hit").isEmpty() else 0
+        docs, turn = done.select(names), turn + 1
+    return docs if len(machines) > 1 else passed(docs, machines[0]).select(names)
 
 
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ alphabetically first. Repeated rows are each judged, extra columns stay, an empt
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 from dataclasses import dataclass
 
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import bounded_threshold, crc_fold, table
+from ._shared import bounded_threshold, crc_fold, modest_batches, table, written
 
 ORDER = 4
 #: Weight of an item's frequency over all languages in its frequency in one of them.
@@ -33,15 +34,11 @@ MOST_WORDS, MOST_GRAMS = 200_000, 100_000
 _HOLD = 200_000
 
 
-def _words(text: str) -> list[str]:
+@functools.cache
+def _find():
     import regex
 
-    global _find
-    try:
-        return _find(text)
-    except NameError:
-        _find = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
-        return _find(text)
+    return regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
 
 
 def words_of(text: str | None) -> list[str]:
@@ -51,7 +48,7 @@ def words_of(text: str | None) -> list[str]:
     low = text.lower()
     if low.isascii():  # the common case, much faster
         return low.translate(_ASCII).split()
-    return _words(low)
+    return _find()(low)
 
 
 _ASCII = {c: " " for c in range(128) if not chr(c).isalpha()}
@@ -140,7 +137,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", most_words: i
     rows = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     schema = "lang string, kind int, item string, n long"
     counts = rows.mapInArrow(_count, schema).groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
-    counts = _stored(counts)
+    counts = written(counts, "counts")
     totals = {(r.lang, r.kind): r.n for r in counts.groupBy("lang", "kind").agg(F.sum("n").alias("n")).toLocalIterator()}
     langs = sorted({x for x, _ in totals})
     kept = []
@@ -163,14 +160,9 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", most_words: i
     return Model(langs, *tables, unseen=-3.0)
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    from ._shared import written
-
-    return written(df, "counts")
-
-
 def predict(docs: DataFrame, model: Model, text: str = "text", into: str = "lang_id") -> DataFrame:
     """``docs`` with a struct of lang_pred and score."""
+    modest_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_WORDS + MOST_GRAMS rows
     kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 

@@ -22,13 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import table, written
+from ._shared import modest_batches, table, written
 
 CAPACITY = 4096
 #: Vocabulary files above this many bytes are refused, for they are broadcast.
 MOST_VOCABULARY = 64 << 20
-#: Chunks a worker remembers; the memory is emptied when full.
-MOST_CHUNKS = 400_000
+#: Chunks, and words, that a worker remembers of late and of before.
+MOST_CHUNKS, MOST_WORDS = 150_000, 80_000
 
 #: White space to Python's str.split(), but perhaps not to the tokenizer: such texts go to the tokenizer whole.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85]")
@@ -44,6 +44,22 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Memory(dict):
+    """Values of a function, kept in two generations: when the young one is full it becomes the old one, which is dropped."""
+
+    def __init__(self, of, most: int):
+        self.of, self.most, self.old = of, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if (value := self.old.get(key)) is None:
+            value = self.of(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class ChunkEncoder:
     """``encode(text)`` gives the ids as little-endian 32-bit bytes, equal to the tokenizer's on the whole text."""
 
@@ -52,39 +68,26 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.letters = _byte_letters()
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.chunks, self.words = Memory(self.chunk, MOST_CHUNKS), Memory(self.word, MOST_WORDS)
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return b"".join(i.to_bytes(4, "little") for i in ids)
 
     def word(self, word: str) -> bytes:
-        if (got := self.words.get(word)) is None:
-            spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-            got = self.words[word] = b"".join(t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(spelled))
-        return got
+        spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return b"".join([self.packed[t.id] for t in self.tokenizer.model.tokenize(spelled)])
 
     def chunk(self, chunk: str) -> bytes:
-        if "<|" in chunk or not _PLAIN.fullmatch(chunk):
+        if "<|" in chunk or not (chunk.isascii() and chunk.isprintable() or _PLAIN.fullmatch(chunk)):
             return self.whole(chunk)
-        return b"".join(map(self.word, _SPLIT.findall(chunk.lower())))
+        return b"".join(map(self.words.__getitem__, _SPLIT.findall(chunk.lower())))
 
     def encode(self, text: str) -> bytes:
         if _ODD_SPACE.search(text):
             return self.whole(text)
-        chunks, known = text.split(), self.chunks
-        try:
-            return b"".join(map(known.__getitem__, chunks))
-        except KeyError:
-            if len(known) > MOST_CHUNKS:
-                known.clear()
-            if len(self.words) > MOST_CHUNKS:
-                self.words.clear()
-            for c in set(chunks):
-                if c not in known:
-                    known[c] = self.chunk(c)
-            return b"".join(map(known.__getitem__, chunks))
+        return b"".join(map(self.chunks.__getitem__, text.split()))
 
 
 _encoders: dict[int, ChunkEncoder] = {}
@@ -128,6 +131,7 @@ def _cut(vocabulary, end_id: int, capacity: int, keep_ids: bool):
 
 def pieces(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY, end_id: int = 1, keep_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids, if kept) of every piece of ``docs`` (doc_id, text)."""
+    modest_batches(docs.sparkSession)
     with open(vocabulary_path, encoding="utf-8") as f:
         vocabulary = f.read(MOST_VOCABULARY + 1)
     if len(vocabulary) > MOST_VOCABULARY:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import crc_fold, table
+from ._shared import crc_fold, modest_batches, table
 
 FEATURES = ("log_chars", "mean_word", "upper", "digits", "symbols", "exclaims", "tables", "stops", "spaces", "beyond_ascii", "distinct_words", "distinct_lines", "mean_line", "longest_word", "packed", "upper_words", "stutter", "symbol_ends")
 
@@ -216,6 +216,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, text: str
 def score(docs: DataFrame, model: AdditiveModel, text: str = "text", into: str = "score") -> DataFrame:
     """``docs`` with the model's probability that a text is labelled 1."""
 
+    modest_batches(docs.sparkSession)
     @F.arrow_udf(T.DoubleType())
     def scored(texts):
         import pyarrow as pa

@@ -67,7 +67,20 @@ def test_odd_rows(spark):
 
 def test_spans_are_removed(spark):
     docs, items = frames(spark)
-    got = sorted(((r.doc_id, r.text) for r in decontam.decontaminate(docs, items).collect()), key=str)
+    for most in (200_000, 3):
+        got = sorted(((r.doc_id, r.text) for r in decontam.decontaminate(docs, items, most_words=most).collect()), key=str)
+        check_kept(got)
+
+
+def check_kept(got):
     kept = {d: t for d, t in got}
     assert 4 not in kept and 5 not in kept and 6 in kept and len(got) == 7
     assert words(kept[3]) == ["x"] * 20 + ["y"] * 20 and kept[7] == "word " * 100_000
+
+
+def test_joined_ends_are_scanned_again(spark):
+    items = spark.createDataFrame([(1, "a b c d"), (2, "e f g h")], "item_id long, text string")
+    text = "start e f A b, c. d g h end " + "more " * 20
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    for most in (200_000, 3):
+        assert words(decontam.decontaminate(docs, items, window=4, most_words=most).first().text) == ["start", "end", *["more"] * 20]
