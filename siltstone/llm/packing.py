@@ -6,8 +6,8 @@ search between the underfull bins, which moves one document, exchanges one for o
 raises the sum of squared fills, until the emptiest bins are empty. The bins that a group leaves clearly underfull are
 opened, and their pieces are dealt and packed again with those of other groups; the last such round has few rows.
 
-The tokenizer splits at white space before anything else, so a text's ids are those of its white-space chunks, one
-after another; each worker keeps the ids of chunks it has seen, and only new chunks reach the BPE.
+The tokenizer never joins over white space, nor over the borders of its own split, so a text's ids are those of its
+words, one after another; each worker keeps the ids of words it has seen, and only new ones reach the BPE.
 
 Defined results: null text counts as empty and gives the end id alone. Repeated rows are packed one by one, rows
 without a doc_id too. Extra columns are ignored, an empty table gives an empty result.
@@ -28,13 +28,13 @@ CAPACITY = 4096
 #: Vocabulary files above this many bytes are refused, for they are broadcast.
 MOST_VOCABULARY = 64 << 20
 #: Chunks, and words, that a worker remembers of late and of before.
-MOST_CHUNKS, MOST_WORDS = 150_000, 80_000
+MOST_CHUNKS, MOST_WORDS = 50_000, 200_000
 
 #: White space to Python's str.split(), but perhaps not to the tokenizer: such texts go to the tokenizer whole.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85]")
-_PLAIN = re.compile(r"[!-~ß-öø-ÿÀ-ÖØ-Þ]+")
-#: The tokenizer's own split, for chunks of plain characters in lower case.
-_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+_PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
+#: The tokenizer's own split, for plain texts in lower case, the most frequent kind first.
+_SPLIT = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\sa-z0-9ß-öø-ÿ]+")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -44,24 +44,12 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class Memory(dict):
-    """Values of a function, kept in two generations: when the young one is full it becomes the old one, which is dropped."""
-
-    def __init__(self, of, most: int):
-        self.of, self.most, self.old = of, most, {}
-
-    def __missing__(self, key: str) -> bytes:
-        if (value := self.old.get(key)) is None:
-            value = self.of(key)
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-
 class ChunkEncoder:
-    """``encode(text)`` gives the ids as little-endian 32-bit bytes, equal to the tokenizer's on the whole text."""
+    """``encode(text)`` gives the ids as little-endian 32-bit bytes, equal to the tokenizer's on the whole text.
+
+    Plain texts are split into words as the tokenizer does, and words are remembered; of other texts the white-space
+    chunks are. Both are kept in two generations: when the young one is full it becomes the old one, which is dropped.
+    """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
@@ -69,25 +57,43 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.letters = _byte_letters()
         self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
-        self.chunks, self.words = Memory(self.chunk, MOST_CHUNKS), Memory(self.word, MOST_WORDS)
+        self.words: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+        self.old_chunks: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return b"".join(i.to_bytes(4, "little") for i in ids)
-
-    def word(self, word: str) -> bytes:
-        spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-        return b"".join([self.packed[t.id] for t in self.tokenizer.model.tokenize(spelled)])
+        return b"".join([self.packed[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
+
+    def of_words(self, words: list[str]) -> bytes:
+        if len(self.words) > MOST_WORDS:
+            self.old_words, self.words = self.words, {}
+        known, old, packed, tokenize = self.words, self.old_words, self.packed, self.tokenizer.model.tokenize
+        for word in set(words).difference(known):
+            ids = old.get(word)
+            if ids is None:
+                spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+                ids = b"".join([packed[t.id] for t in tokenize(spelled)])
+            known[word] = ids
+        return b"".join(map(known.__getitem__, words))
 
     def chunk(self, chunk: str) -> bytes:
-        if "<|" in chunk or not (chunk.isascii() and chunk.isprintable() or _PLAIN.fullmatch(chunk)):
+        if "<|" in chunk or not _PLAIN.fullmatch(chunk):
             return self.whole(chunk)
-        return b"".join(map(self.words.__getitem__, _SPLIT.findall(chunk.lower())))
+        return self.of_words(_SPLIT.findall(chunk.lower()))
 
     def encode(self, text: str) -> bytes:
+        if "<|" not in text and _PLAIN.fullmatch(text):
+            return self.of_words(_SPLIT.findall(text.lower()))
         if _ODD_SPACE.search(text):
             return self.whole(text)
-        return b"".join(map(self.chunks.__getitem__, text.split()))
+        if len(self.chunks) > MOST_CHUNKS:
+            self.old_chunks, self.chunks = self.chunks, {}
+        chunks, known = text.split(), self.chunks
+        for c in set(chunks).difference(known):
+            ids = self.old_chunks.get(c)
+            known[c] = self.chunk(c) if ids is None else ids
+        return b"".join(map(known.__getitem__, chunks))
 
 
 _encoders: dict[int, ChunkEncoder] = {}
