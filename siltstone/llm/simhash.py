@@ -268,8 +268,13 @@ def op2_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each component; rows without an id stay."""
-    groups = near_duplicates(docs)
+    """Keeps the document with the smallest doc_id of each component; rows without an id stay.
+
+    Components are those of five-word shingles with a Jaccard similarity of at least 0.8, checked exactly.
+    """
+    from . import jaccard
+
+    groups = jaccard.near_duplicates(docs)
     keep = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.filter(F.col("doc_id").isNull())).select(docs.columns)
