@@ -270,11 +270,14 @@ def op2_simhash(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each component; rows without an id stay.
 
-    Components are those of five-word shingles with a Jaccard similarity of at least 0.8, checked exactly.
+    Components are those of five-word shingles with a Jaccard similarity of at least 0.8, checked exactly. If a doc_id
+    has several texts, each component that it names keeps one of them, the one with the smallest SHA-256 digest.
     """
     from . import jaccard
 
     groups = jaccard.near_duplicates(docs)
-    keep = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull())).select(docs.columns)
+    keep = groups.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id", "root").agg(F.min("digest").alias("_digest"))
+    keep = written(keep.select("doc_id", "_digest"), "keep")
+    named = docs.filter(F.col("doc_id").isNotNull()).withColumn("_digest", jaccard.digest_of(F.col("text")))
+    kept = named.join(keep, ["doc_id", "_digest"], "left_semi").dropDuplicates(["doc_id", "_digest"])
+    return kept.select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))

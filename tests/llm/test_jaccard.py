@@ -38,3 +38,11 @@ def test_links_between_members_that_are_not_the_first(spark):
     for sample in (1, 10_000):
         got = {r.component_id for r in jaccard.near_duplicates(docs, sample).collect()}
         assert sorted(got) == brute(rows) == [0, 50, 51, 52, 90]
+
+
+def test_a_doc_id_with_several_texts_loses_no_component(spark):
+    one, two = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(1, one), (1, two), (2, one), (3, two), (1, one)]
+    for order in (rows, rows[::-1]):
+        kept = simhash.stage(spark, spark.createDataFrame(order, "doc_id long, text string").coalesce(1), "").collect()
+        assert sorted(map(tuple, kept)) == [(1, one), (1, two)]
