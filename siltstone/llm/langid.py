@@ -5,8 +5,9 @@ knows counts by its own frequency; any other falls back to its character n-grams
 its longest known ending, shorter and shorter, down to single characters.
 
 Learning counts words and n-grams of all labelled texts: each task merges its own counts before they are shuffled, and
-Spark adds them up. The most frequent words and n-grams of each language, up to documented sizes, are the model; those
-bounds are what may be broadcast, and the rest is exactly what the backoff is for. Frequencies are out of all counts,
+Spark adds them up. The most frequent words of each language, and its most frequent n-grams of each length, up to
+documented sizes, are the model, with their counts in all languages; those bounds are what may be broadcast, and the
+rest is exactly what the backoff is for. Frequencies are out of all counts,
 kept or not, and lean on the item's frequency over all languages, so that a language with few texts is not favoured.
 
 Defined results: null texts, and texts without a letter, are ``und`` with score 0; so is every text if nothing was
@@ -21,11 +22,11 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import bounded_threshold, crc_fold, modest_batches, table, written
+from ._shared import crc_fold, modest_batches, table, written
 
 ORDER = 4
 #: Weight of an item's frequency over all languages in its frequency in one of them.
@@ -132,6 +133,15 @@ class Model:
         return self.langs[best], float(odds[best] / odds.sum())
 
 
+def _thresholds(counts: DataFrame, most_words: int, most_grams: int) -> DataFrame:
+    """(lang, kind, t): the smallest count that keeps each language's words, and its n-grams of each length, in bounds."""
+    log_bin = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
+    bins = counts.groupBy("lang", "kind", log_bin.alias("b")).agg(F.count("*").alias("rows"), F.min("n").alias("least"))
+    running = F.sum("rows").over(Window.partitionBy("lang", "kind").orderBy(F.desc("b")))  # at most 16 x 63 rows each
+    fit = bins.withColumn("running", running).filter(F.col("running") <= F.when(F.col("kind") == 0, most_words).otherwise(most_grams))
+    return fit.groupBy("lang", "kind").agg(F.min("least").alias("t"))
+
+
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", most_words: int = MOST_WORDS, most_grams: int = MOST_GRAMS) -> Model:
     """The model of all rows of ``docs`` with a text and a language. Languages are taken to be far fewer than words."""
     rows = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
@@ -140,10 +150,9 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", most_words: i
     counts = written(counts, "counts")
     totals = {(r.lang, r.kind): r.n for r in counts.groupBy("lang", "kind").agg(F.sum("n").alias("n")).toLocalIterator()}
     langs = sorted({x for x, _ in totals})
-    kept = []
-    for words, most in ((True, most_words), (False, most_grams)):
-        part = counts.filter((F.col("kind") == 0) if words else (F.col("kind") > 0))
-        kept.append(part.filter(F.col("n") >= max(2 if words else 1, bounded_threshold(part, most))))
+    enough = counts.join(F.broadcast(_thresholds(counts, most_words, most_grams)), ["lang", "kind"]).filter("n >= t and (kind > 0 or n > 1)")
+    found = written(counts.join(enough.select("kind", "item").distinct(), ["kind", "item"], "left_semi"), "kept")
+    kept = [found.filter("kind = 0"), found.filter("kind > 0")]
     place = {x: i for i, x in enumerate(langs)}
     tables: list[dict[str, np.ndarray]] = []
     for part in kept:
@@ -163,7 +172,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", most_words: i
 def predict(docs: DataFrame, model: Model, text: str = "text", into: str = "lang_id") -> DataFrame:
     """``docs`` with a struct of lang_pred and score."""
     modest_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_WORDS + MOST_GRAMS rows
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_WORDS + ORDER x MOST_GRAMS items a language
     kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     @F.arrow_udf(kind)

@@ -51,3 +51,12 @@ def test_bounded_model_keeps_the_most_frequent(spark):
     docs = spark.createDataFrame([("en", " ".join(f"{chr(97 + i)}word " * (40 - i) for i in range(26)))], "lang string, text string")
     model = langid.learn(docs, most_words=10)
     assert 0 < len(model.words) <= 10 and "aword" in model.words and "zword" not in model.words
+
+
+def test_a_rare_language_keeps_its_words_and_all_counts(spark):
+    hot = " ".join(f"{chr(97 + i)}hot " * 50 for i in range(20)) + " shared"
+    docs = spark.createDataFrame([("aa", hot), ("bb", "rare rare shared shared shared seldom seldom")], "lang string, text string")
+    model = langid.learn(docs, most_words=20)
+    assert {"ahot", "rare", "shared", "seldom"} <= set(model.words)
+    n, size = np.array([1, 3]), np.array([1001, 7])
+    assert np.allclose(model.words["shared"], np.log((n + langid.PRIOR * 4 / 1008) / (size + langid.PRIOR)))
