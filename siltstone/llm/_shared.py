@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -26,11 +27,68 @@ def shared_dir(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get()
 
 
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts the lineage, survives a lost executor, is computed once."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables made by ``written``; only for those that nothing will read again, not even a lost task."""
+    for df in tables:
+        if path := _PATHS.pop(df, None):
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def private(df: DataFrame, *stems: str) -> list[str]:
+    """Names for columns of passing use, none of which ``df`` has, whatever its columns are called."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for stem in stems:
+        name = f"_{stem}"
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def with_results(df: DataFrame, names: list[str], results: dict) -> list:
+    """Columns ``names`` of ``df`` and then ``results`` by name; a result takes the place of a column of its name."""
+    own = {r.lower() for r in results}
+    return [df[f"`{n}`"] for n in names if n.lower() not in own] + [c.alias(n) for n, c in results.items()]
+
+
+#: Most rows of a broadcast set of buckets: a long and a flag each.
+BUCKETS = 1 << 21
+
+
+def bucket_of(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS))
+
+
+def met(df: DataFrame, key: Column, small: DataFrame, small_key: str) -> DataFrame:
+    """``df`` left-joined to ``small`` (one row a ``small_key``), shuffling only rows that may have a partner.
+
+    A broadcast set of hash buckets, of bounded size, tells those rows; the join itself decides. ``small`` must be a
+    stored table: it is read twice. Its columns must not be in ``df``.
+    """
+    (bucket,) = private(df, "bucket")
+    wanted = small.select(bucket_of(F.col(small_key)).alias(bucket)).distinct()
+    named = df.withColumn(bucket, bucket_of(key))
+    some = named.join(F.broadcast(wanted), bucket, "left_semi").drop(bucket)
+    rest = named.join(F.broadcast(wanted), bucket, "left_anti").drop(bucket)
+    some = some.join(small, key == small[small_key], "left")
+    kinds = {f.name: f.dataType for f in small.schema}
+    return some.select(*df.columns, *small.columns).unionByName(rest.select(*df.columns, *[F.lit(None).cast(kinds[c]).alias(c) for c in small.columns]))
 
 
 def modest_batches(spark: SparkSession, rows: int = 2000) -> None:
@@ -45,21 +103,26 @@ def crc_fold(id_col: str, folds: int):
 
 
 def bounded_threshold(counts: DataFrame, limit: int, count_col: str = "n") -> int:
-    """The smallest count such that at most ``limit`` rows have it or more.
+    """A count that at most ``limit`` rows have or exceed; the smallest one on a scale of a sixteenth of a doubling.
 
-    Works on a histogram of counts, so no large group is sorted; the histogram has one row per distinct
-    count, which for N rows of total T is at most about sqrt(2 T), and only its sums leave Spark.
+    Works on a histogram of at most 16 x 63 bins; where the highest bin alone is too large, it is counted by value.
     """
     from pyspark.sql import Window
 
+    def least(rows: DataFrame, bin_: Column) -> int | None:
+        bins = rows.groupBy(bin_.alias("b")).agg(F.count("*").alias("rows"), F.min(count_col).alias("least"))
+        running = F.sum("rows").over(Window.orderBy(F.desc("b")))
+        return bins.withColumn("running", running).filter(F.col("running") <= limit).agg(F.min("least").alias("t")).first()["t"]
+
     log_bin = F.floor(F.log2(F.col(count_col).cast("double")) * 16).cast("int")
-    bins = counts.groupBy(log_bin.alias("b")).agg(F.count("*").alias("rows"), F.min(count_col).alias("least"))
-    running = F.sum("rows").over(Window.orderBy(F.desc("b")))  # at most 16 x 63 rows
-    fit = bins.withColumn("running", running).filter(F.col("running") <= limit).agg(F.min("least").alias("t")).first()
-    if fit is None or fit["t"] is None:
-        top = counts.agg(F.max(count_col).alias("m")).first()["m"]
-        return int(top or 0) + 1
-    return int(fit["t"])
+    found = least(counts, log_bin)
+    if found is not None:
+        return int(found)
+    top = counts.agg(F.max(count_col).alias("m")).first()["m"]
+    if top is None:
+        return 1
+    found = least(counts.filter(F.col(count_col) > top * 0.95), F.col(count_col))  # at most ``limit`` values fit
+    return int(top) + 1 if found is None else int(found)
 
 
 def word_blocks(data: bytes, size: int = 1 << 20):

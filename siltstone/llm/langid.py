@@ -5,35 +5,43 @@ knows counts by its own frequency; any other falls back to its character n-grams
 its longest known ending, shorter and shorter, down to single characters.
 
 Learning counts words and n-grams of all labelled texts: each task merges its own counts before they are shuffled, and
-Spark adds them up. The most frequent words of each language, and its most frequent n-grams of each length, up to
-documented sizes, are the model, with their counts in all languages; those bounds are what may be broadcast, and the
-rest is exactly what the backoff is for. Frequencies are out of all counts,
-kept or not, and lean on the item's frequency over all languages, so that a language with few texts is not favoured.
+Spark adds them up. An item is known if its share of a language's words (or of its n-grams of that length) is at least
+``word_share`` (``gram_share``); words that stand once in all texts of a language are not. That rule is the same at any
+size of the corpus and of the language, and it bounds the model: at most 1 / share items a language and kind, which is
+what is broadcast. Everything else is what the backoff is for. Frequencies are out of all counts, known or not, with the
+counts of a known item in all languages, and lean on the item's frequency over all languages, so that a language with
+few texts is not favoured.
 
 Defined results: null texts, and texts without a letter, are ``und`` with score 0; so is every text if nothing was
 learned. Training rows without a language are ignored. A score is the posterior of the best language, ties going to the
-alphabetically first. Repeated rows are each judged, extra columns stay, an empty table gives an empty result.
+alphabetically first. Repeated rows are each judged, extra columns stay (but the result takes the place of a column of
+its name), an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import functools
+import re
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import crc_fold, modest_batches, table, written
+from ._shared import crc_fold, forget, modest_batches, private, table, with_results, written
 
 ORDER = 4
 #: Weight of an item's frequency over all languages in its frequency in one of them.
 PRIOR = 20.0
-MOST_WORDS, MOST_GRAMS = 200_000, 100_000
+WORD_SHARE, GRAM_SHARE = 1 / 400_000, 1 / 100_000
 _HOLD = 200_000
 
+#: Latin texts, all of whose letters are those of _LATIN (the blocks up to U+024F and general punctuation).
+_SIMPLE = re.compile("[\x00-\u024f\u2000-\u206f]*")
+_LATIN = re.compile("[a-zªµºß-öø-\u024f]+")
+
 
 @functools.cache
 def _find():
@@ -47,9 +55,9 @@ def words_of(text: str | None) -> list[str]:
     if not text:
         return []
     low = text.lower()
-    if low.isascii():  # the common case, much faster
+    if low.isascii():  # the common cases, much faster
         return low.translate(_ASCII).split()
-    return _find()(low)
+    return _LATIN.findall(low) if _SIMPLE.fullmatch(low) else _find()(low)
 
 
 _ASCII = {c: " " for c in range(128) if not chr(c).isalpha()}
@@ -97,105 +105,130 @@ def _count(batches):
 
 @dataclass
 class Model:
-    """Log frequencies by language; a missing item has none."""
+    """Log frequencies by language: words and n-grams by their row in ``table``; a missing item has none."""
 
     langs: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
-    unseen: float
-
-    def word(self, word: str) -> np.ndarray:
-        """Log frequencies of one word: its own, or those of its n-grams."""
-        if (known := self.words.get(word)) is not None:
-            return known
-        total = np.zeros(len(self.langs))
+    words: dict[str, int]
+    grams: dict[str, int]
+    table: np.ndarray
+    unseen: float = -3.0
+
+    def backoff(self, word: str) -> np.ndarray:
+        """Log frequencies of a word that is not known, from its n-grams."""
+        get, rows, lost = self.grams.get, [], 0
         for gram in grams_of(word):
             for k in range(len(gram)):
-                if (known := self.grams.get(gram[k:])) is not None:
-                    total += known + k * self.unseen
+                if (row := get(gram[k:])) is not None:
+                    rows.append(row)
+                    lost += k
                     break
             else:
-                total += len(gram) * self.unseen
-        return total
+                lost += len(gram)
+        return self.table.take(rows, axis=0).sum(axis=0) + lost * self.unseen
+
 
-    def score(self, text: str | None, seen: dict[str, np.ndarray]) -> tuple[str, float]:
+@dataclass
+class Scorer:
+    """Scores texts with a model and remembers, within bounds, words that needed the backoff."""
+
+    model: Model
+    others: dict[str, int] = field(default_factory=dict)
+
+    def __post_init__(self):
+        self.known = len(self.model.table)
+        self.table = np.concatenate([self.model.table, np.zeros((min(_HOLD, 1 << 14), len(self.model.langs)))])
+
+    def rows_of(self, words: list[str]) -> list[int]:
+        """Rows of ``self.table`` for distinct words; adds those it has not met."""
+        known, others, rows = self.model.words, self.others, []
+        for w in words:
+            if (row := known.get(w)) is None and (row := others.get(w)) is None:
+                row = self.known + len(others)
+                if row >= len(self.table):
+                    self.table = np.concatenate([self.table, np.zeros((len(self.table) - self.known, self.table.shape[1]))])
+                self.table[row] = self.model.backoff(w)
+                others[w] = row
+            rows.append(row)
+        return rows
+
+    def score(self, text: str | None) -> tuple[str, float]:
         words = words_of(text)
-        if not words or not self.langs:
+        if not words or not self.model.langs:
             return "und", 0.0
+        if len(self.others) > _HOLD:
+            self.others.clear()
+            self.table = self.table[: self.known + (1 << 14)].copy()
         counts = Counter(words)
-        for w in counts:
-            if w not in seen:
-                seen[w] = self.word(w)
-        table = np.array([seen[w] for w in counts])
-        mean = (np.fromiter(counts.values(), float, len(counts)) @ table) / len(words)
+        rows = self.rows_of(list(counts))
+        mean = (np.fromiter(counts.values(), float, len(counts)) @ self.table.take(rows, axis=0)) / len(words)
         odds = np.exp((mean - mean.max()) * min(len(words), 20))  # neighbouring words are not independent evidence
         best = int(mean.argmax())
-        return self.langs[best], float(odds[best] / odds.sum())
-
-
-def _thresholds(counts: DataFrame, most_words: int, most_grams: int) -> DataFrame:
-    """(lang, kind, t): the smallest count that keeps each language's words, and its n-grams of each length, in bounds."""
-    log_bin = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
-    bins = counts.groupBy("lang", "kind", log_bin.alias("b")).agg(F.count("*").alias("rows"), F.min("n").alias("least"))
-    running = F.sum("rows").over(Window.partitionBy("lang", "kind").orderBy(F.desc("b")))  # at most 16 x 63 rows each
-    fit = bins.withColumn("running", running).filter(F.col("running") <= F.when(F.col("kind") == 0, most_words).otherwise(most_grams))
-    return fit.groupBy("lang", "kind").agg(F.min("least").alias("t"))
+        return self.model.langs[best], float(odds[best] / odds.sum())
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", most_words: int = MOST_WORDS, most_grams: int = MOST_GRAMS) -> Model:
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", word_share: float = WORD_SHARE, gram_share: float = GRAM_SHARE) -> Model:
     """The model of all rows of ``docs`` with a text and a language. Languages are taken to be far fewer than words."""
+    modest_batches(docs.sparkSession)
     rows = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    schema = "lang string, kind int, item string, n long"
-    counts = rows.mapInArrow(_count, schema).groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
-    counts = written(counts, "counts")
-    totals = {(r.lang, r.kind): r.n for r in counts.groupBy("lang", "kind").agg(F.sum("n").alias("n")).toLocalIterator()}
-    langs = sorted({x for x, _ in totals})
-    enough = counts.join(F.broadcast(_thresholds(counts, most_words, most_grams)), ["lang", "kind"]).filter("n >= t and (kind > 0 or n > 1)")
-    found = written(counts.join(enough.select("kind", "item").distinct(), ["kind", "item"], "left_semi"), "kept")
-    kept = [found.filter("kind = 0"), found.filter("kind > 0")]
+    counted = rows.mapInArrow(_count, "lang string, kind int, item string, n long")
+    counts = written(counted.repartition("kind", "item").groupBy("kind", "item", "lang").agg(F.sum("n").alias("n")), "counts")
+    totals = counts.groupBy("lang", "kind").agg(F.sum("n").alias("total"))
+    sums = {(r.lang, r.kind): r.total for r in totals.toLocalIterator()}
+    langs = sorted({x for x, _ in sums})
+    share = F.when(F.col("kind") == 0, word_share).otherwise(gram_share)
+    enough = (F.col("n") >= share * F.col("total")) & ((F.col("kind") > 0) | (F.col("n") > 1))
+    judged = counts.join(F.broadcast(totals), ["lang", "kind"]).withColumn("enough", enough)  # ORDER + 1 rows a language
+    known = judged.groupBy("kind", "item").agg(F.max("enough").alias("enough"), F.collect_list(F.struct("lang", "n")).alias("ns")).filter("enough")
     place = {x: i for i, x in enumerate(langs)}
-    tables: list[dict[str, np.ndarray]] = []
-    for part in kept:
-        found: dict[str, np.ndarray] = {}
-        for r in part.toLocalIterator():
-            if (own := found.get(r.item)) is None:
-                own = found[r.item] = np.zeros(len(langs))
-            own[place[r.lang]] = r.n
-        sizes = {k: np.array([totals.get((x, k), 0) for x in langs], float) for k in range(ORDER + 1)}
-        for item, own in found.items():
-            size = sizes[0 if part is kept[0] else len(item)]
-            own[:] = np.log((own + PRIOR * own.sum() / size.sum()) / (size + PRIOR))
-        tables.append(found)
-    return Model(langs, *tables, unseen=-3.0)
+    size = np.array([[sums.get((x, k), 0) for x in langs] for k in range(ORDER + 1)], float).reshape(ORDER + 1, len(langs))
+    words, grams, parts, at = {}, {}, [np.zeros((0, len(langs)))], 0
+    for kind in range(ORDER + 1):
+        found = known.filter(F.col("kind") == kind).select("item", "ns").toArrow()  # at most 1 / share rows a language
+        items, ns = found.column("item").to_pylist(), found.column("ns").combine_chunks()
+        if not items:
+            continue
+        of = np.repeat(np.arange(len(items)), ns.value_lengths().to_numpy())
+        flat = ns.flatten()
+        own = np.zeros((len(items), len(langs)))
+        own[of, [place[x] for x in flat.field("lang").to_pylist()]] = flat.field("n").to_numpy()
+        parts.append(np.log((own + PRIOR * own.sum(axis=1, keepdims=True) / size[kind].sum()) / (size[kind] + PRIOR)))
+        (grams if kind else words).update(zip(items, range(at, at + len(items)), strict=True))
+        at += len(items)
+    forget(counts)
+    return Model(langs, words, grams, np.concatenate(parts))
+
+
+_scorers: dict[str, Scorer] = {}
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", into: str = "lang_id") -> DataFrame:
     """``docs`` with a struct of lang_pred and score."""
     modest_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_WORDS + ORDER x MOST_GRAMS items a language
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 1 / WORD_SHARE + ORDER / GRAM_SHARE items a language
     kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    name = f"{id(model)}-{shared._jbroadcast.id()}"
 
     @F.arrow_udf(kind)
     def predicted(texts):
         import pyarrow as pa
 
-        seen = _seen.setdefault(id(shared.value), {})
-        out = []
-        for t in texts:
-            if len(seen) > _HOLD:
-                seen.clear()
-            out.append(shared.value.score(t.as_py(), seen))
-        return pa.StructArray.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())], ["lang_pred", "score"])
-
-    return docs.withColumn(into, predicted(F.col(text)))
+        from siltstone.llm import langid as own  # by name, so that what a worker remembers outlives the task
 
+        scorer = own._scorers.get(name)
+        if scorer is None:
+            own._scorers.clear()
+            scorer = own._scorers[name] = own.Scorer(shared.value)
+        out = [scorer.score(t.as_py()) for t in texts]
+        return pa.StructArray.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())], ["lang_pred", "score"])
 
-_seen: dict[int, dict[str, np.ndarray]] = {}
+    return docs.select(with_results(docs, docs.columns, {into: predicted(F.col(text))}))
 
 
 def op4_language(spark, sf_dir: str) -> DataFrame:
+    """The language of every text, by a model of the texts whose crc32(doc_id) mod 4 is not 2; rows without an id teach nothing."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held_out = F.coalesce(crc_fold("doc_id", 4) == 2, F.lit(False))
-    model = learn(docs.filter(~held_out))
-    out = predict(docs.select("doc_id", "text"), model)
-    return out.select("doc_id", held_out.alias("held_out"), "lang_id.lang_pred", "lang_id.score")
+    fold = crc_fold("doc_id", 4)
+    model = learn(docs.filter(fold != 2))
+    (found,) = private(docs, "found")
+    out = predict(docs.select("doc_id", "text"), model, into=found)
+    return out.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), f"{found}.lang_pred", f"{found}.score")

@@ -4,16 +4,18 @@ Two smoothed variable-order Markov models, of accepted and of rejected URLs, giv
 difference, divided by the URL's length and calibrated on URLs that were held back, decides.
 
 Learning counts the character strings of all labelled URLs: each task merges its own counts, Spark adds them up, so what
-is shuffled grows with the input only through tasks and new strings. The most frequent strings, up to a documented size,
-are the model, smoothed as Witten and Bell did: a context passes on the weight of its different continuations to the
-next shorter one. Calibration reads a histogram of bounded size. Pages are never shuffled.
+is shuffled grows with the input only through tasks and new strings. A string is part of a model if its share of the
+label's characters is at least ``share``, and so is a context; that rule is the same at any size, and it bounds the model
+at ORDER / share strings a label. Totals and numbers of continuations, with which contexts pass on weight to the next
+shorter ones as Witten and Bell did, are those of all counted strings, part of the model or not. Calibration reads a
+histogram of bounded size. Pages are never shuffled.
 
-Where no labels are given, ``seed_label`` marks URLs that hold one of a few tell-tale words as rejected; the models
-generalise from those to hosts and paths that look alike.
+The query takes the verdicts of its own rules as labels, and the models carry them to the URLs that no rule fits;
+``learn`` takes any labels.
 
 Defined results: a null URL, or one without ``://``, has empty host and path and fits no rule. Empty and null URLs are
-allowed; so is everything if either label is missing. Repeated rows are each judged, extra columns stay, an empty table
-gives an empty result.
+allowed; so is everything if either label is missing. Repeated rows are each judged, extra columns stay (but results
+take the place of columns of their names), an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,15 +30,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import bounded_threshold, table, written
+from ._shared import forget, modest_batches, private, table, with_results, written
 
 ORDER = 6
-MOST_STRINGS = 200_000
+SHARE = 1 / 200_000
 _HOLD = 200_000
 
-#: The rules of the query, and tell-tale words of unwanted sites.
+#: The rules of the query.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-SEEDS = ("casino", "poker", "bets", "betting", "pills", "pharma", "viagra", "porn", "xxx", "spam", "ads-", "adserver", "track", "loan", "lottery", "jackpot", "escort", "warez", "torrent", "malware")
 
 _DIGITS = re.compile("[0-9]+")
 
@@ -89,21 +90,26 @@ def _count(batches):
 
 
 class MarkovModel:
-    """Witten-Bell smoothed variable-order model over counted strings (a context and the character after it)."""
-
-    def __init__(self, counts: dict[str, int]):
-        total: Counter = Counter()
-        kinds: Counter = Counter()
-        for s, n in counts.items():
-            total[s[:-1]] += n
-            kinds[s[:-1]] += 1
+    """Witten-Bell smoothed variable-order model over counted strings (a context and the character after it).
+
+    ``contexts`` has each context's total and number of different continuations; without it they are taken from counts.
+    """
+
+    def __init__(self, counts: dict[str, int], contexts: dict[str, tuple[int, int]] | None = None):
+        if contexts is None:
+            total: Counter = Counter()
+            kinds: Counter = Counter()
+            for s, n in counts.items():
+                total[s[:-1]] += n
+                kinds[s[:-1]] += 1
+            contexts = {c: (n, kinds[c]) for c, n in total.items()}
         self.base = 1 / 256
-        self.share = {c: kinds[c] / (total[c] + kinds[c]) for c in total}
+        self.share = {c: kinds / (total + kinds) for c, (total, kinds) in contexts.items()}
         chance: dict[str, float] = {}
         for s in sorted(counts, key=len):
-            context = s[:-1]
+            total, kinds = contexts[s[:-1]]
             lower = self._lower(chance, s[1:]) if len(s) > 1 else self.base
-            chance[s] = (counts[s] + kinds[context] * lower) / (total[context] + kinds[context])
+            chance[s] = (counts[s] + kinds * lower) / (total + kinds)
         self.log = {s: math.log(p) for s, p in chance.items()}
         self.log_share = {c: math.log(p) for c, p in self.share.items()}
 
@@ -180,46 +186,55 @@ def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return float(a), float(b)
 
 
-def seed_label(url: Column, seeds=SEEDS) -> Column:
-    """True for URLs that hold one of the seed words."""
-    return F.lower(url).rlike("|".join(map(re.escape, seeds)))
-
-
-def learn(urls: DataFrame, most_strings: int = MOST_STRINGS) -> RatioModel:
+def learn(urls: DataFrame, share: float = SHARE) -> RatioModel:
     """Fits both models on rows (url, rejected boolean); every fifth, by hash, is held back to calibrate."""
+    modest_batches(urls.sparkSession)
     rows = urls.select("url", F.col("rejected").cast("boolean").alias("rejected")).filter("url is not null and url <> '' and rejected is not null")
     held = F.pmod(F.xxhash64("url"), F.lit(5)) == 0
-    counts = rows.filter(~held).mapInArrow(_count, "rejected boolean, string string, n long").groupBy("rejected", "string").agg(F.sum("n").alias("n"))
-    counts = written(counts, "strings")
+    counted = rows.filter(~held).mapInArrow(_count, "rejected boolean, string string, n long").groupBy("rejected", "string").agg(F.sum("n").alias("n"))
+    counts = written(counted.withColumn("context", F.expr("left(string, length(string) - 1)")), "strings")
+    sizes = {r.rejected: r.n for r in counts.filter("context = ''").groupBy("rejected").agg(F.sum("n").alias("n")).collect()}  # two rows
+    if len(sizes) < 2:
+        return RatioModel()
     models = {}
     for label in (False, True):
-        part = counts.filter(F.col("rejected") == label)
-        kept = part.filter(F.col("n") >= bounded_threshold(part, most_strings))
-        models[label] = {r.string: r.n for r in kept.select("string", "n").toLocalIterator()}
-    if not all(models.values()):
-        return RatioModel()
-    model = RatioModel(MarkovModel(models[False]), MarkovModel(models[True]))
+        part, least = counts.filter(F.col("rejected") == label), share * sizes[label]
+        strings = {r.string: r.n for r in part.filter(F.col("n") >= least).select("string", "n").toLocalIterator()}
+        contexts = part.groupBy("context").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).filter(F.col("n") >= least)
+        models[label] = MarkovModel(strings, {r.context: (r.n, r.kinds) for r in contexts.toLocalIterator()})
+    forget(counts)
+    model = RatioModel(models[False], models[True])
     shared = urls.sparkSession.sparkContext.broadcast(model)
     step = F.greatest(F.least(F.round(F.col("d") * 100), F.lit(1000.0)), F.lit(-1000.0)).cast("int")
     bins = rows.filter(held).withColumn("d", _scored(shared, "difference")(F.col("url"))).groupBy("rejected", step.alias("bin")).count().collect()  # at most 4002
     if len({r.rejected for r in bins}) == 2:
+        bins.sort(key=lambda r: (r.rejected, r.bin))
         model.slope, model.offset = calibrate(*(np.array(v, float) for v in ([r.bin / 100 for r in bins], [r.rejected for r in bins], [r["count"] for r in bins])))
     else:
         model.slope = 10.0
     return model
 
 
+def ruled(pages: DataFrame, rules=RULES, url: str = "url") -> DataFrame:
+    """(url, rejected): the URLs that a rule fits, with its verdict as their label."""
+    address = F.col(url)
+    own = rule_of(host_of(address), path_of(address), rules)
+    return pages.select(address.alias("url"), (own["verdict"] == "block").alias("rejected")).filter("rejected is not null")
+
+
 def judge(pages: DataFrame, model: RatioModel, rules=RULES, url: str = "url", threshold: float = 0.5) -> DataFrame:
     """``pages`` with host, path, rule, verdict and score (calibrated chance of rejection)."""
-    shared = pages.sparkSession.sparkContext.broadcast(model)  # at most two times MOST_STRINGS rows
-    address = F.col(url)
-    out = pages.withColumns({"score": _scored(shared, "score")(address), "host": host_of(address), "path": path_of(address)})
-    out = out.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
-    own = F.when(F.col("score") >= threshold, F.lit("block")).otherwise(F.lit("allow"))
-    return out.withColumns({"rule": F.col("_rule.rule"), "verdict": F.coalesce("_rule.verdict", own)}).drop("_rule")
+    modest_batches(pages.sparkSession)
+    shared = pages.sparkSession.sparkContext.broadcast(model)  # at most 2 ORDER / SHARE strings and as many contexts
+    names, (score, host, path, rule) = pages.columns, private(pages, "score", "host", "path", "rule")
+    out = pages.withColumns({score: _scored(shared, "score")(F.col(url)), host: host_of(F.col(url)), path: path_of(F.col(url))})
+    out = out.withColumn(rule, rule_of(F.col(host), F.col(path), rules))
+    own = F.when(F.col(score) >= threshold, F.lit("block")).otherwise(F.lit("allow"))
+    results = {"host": F.col(host), "path": F.col(path), "rule": F.col(f"{rule}.rule"), "verdict": F.coalesce(f"{rule}.verdict", own), "score": F.col(score)}
+    return out.select(with_results(out, names, results))
 
 
 def op5_url_filter(spark, sf_dir: str) -> DataFrame:
+    """Every page's host, path, rule, verdict and score; the models learn from the URLs that a rule fits."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    model = learn(pages.select("url", seed_label(F.col("url")).alias("rejected")))
-    return judge(pages, model).select("page_id", "host", "path", "rule", "verdict", "score")
+    return judge(pages, learn(ruled(pages))).select("page_id", "host", "path", "rule", "verdict", "score")
