@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from siltstone.llm import decontam
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -16,11 +18,11 @@ def brute(text, items, window=10):
     for name, item in items:
         v = words(item)
         n = min(window, len(v))
-        grams = {tuple(v[i : i + n]) for i in range(len(v) - n + 1)} if n and name is not None else set()
+        grams = {tuple(v[i : i + n]) for i in range(len(v) - n + 1)} if n else set()
         for i in range(len(w) - n + 1):
             if tuple(w[i : i + n]) in grams:
                 hit |= set(range(i, i + n))
-                names.add(str(name))
+                names |= {str(name)} if name is not None else set()
     return len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit)
 
 
@@ -74,7 +76,7 @@ def test_spans_are_removed(spark):
 
 def check_kept(got):
     kept = {d: t for d, t in got}
-    assert 4 not in kept and 5 not in kept and 6 in kept and len(got) == 7
+    assert 4 not in kept and 5 not in kept and None not in kept and 6 in kept and len(got) == 6
     assert words(kept[3]) == ["x"] * 20 + ["y"] * 20 and kept[7] == "word " * 100_000
 
 
@@ -84,3 +86,35 @@ def test_joined_ends_are_scanned_again(spark):
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     for most in (200_000, 3):
         assert words(decontam.decontaminate(docs, items, window=4, most_words=most).first().text) == ["start", "end", *["more"] * 20]
+
+
+def test_coverage_does_not_depend_on_the_number_of_automata(spark):
+    items = spark.createDataFrame([(k, " ".join(f"i{k}w{j}" for j in range(10))) for k in range(6)], "item_id long, text string")
+    half = " ".join(f"i{k}w{j}" for k in range(6) for j in range(10))
+    rows = [(1, f"{half} {'x ' * 59}"), (2, f"{half} {'x ' * 61}"), (3, "clean"), (3, "clean"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (10, 25, 200_000):
+        got = sorted((r.doc_id, r.text and words(r.text)) for r in decontam.decontaminate(docs, items, most_words=most).collect())
+        assert got == [(2, ["x"] * 61), (3, ["clean"]), (3, ["clean"]), (4, None)]
+
+
+def test_clashing_columns(spark):
+    docs, items = frames(spark)
+    names = ["_cleaned", "_key", "_keep", "_left", "_items", "_spans", "_bucket", "hits"]
+    odd = docs.select("doc_id", "text", *[F.lit(k).alias(n) for k, n in enumerate(names)])
+    for most in (200_000, 3):
+        clean = decontam.decontaminate(odd, items, most_words=most)
+        assert clean.columns == odd.columns and {tuple(r)[2:] for r in clean.collect()} == {tuple(range(len(names)))}
+        judged = decontam.hits(odd, items, most_words=most)
+        assert judged.columns == odd.columns and all(r.hits.n_words is not None and r._spans == 5 for r in judged.collect())
+
+
+def test_stage_on_odd_rows(spark, sf):
+    docs, _ = frames(spark)
+    passage = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    extra = spark.createDataFrame([(8, passage, "en", "s", 1), (9, f"{'x ' * 300} {passage} end", "en", "s", 1), (10, None, None, None, None)], docs.schema)
+    out = decontam.stage(spark, docs.unionByName(extra), sf)
+    got = {r.doc_id: r for r in out.collect()}
+    assert out.columns == docs.columns and 8 not in got and words(got[9].text) == ["x"] * 300 + ["end"] and got[9].n_chars == len(got[9].text)
+    assert got[1].n_chars == 1 and got[10].n_chars is None and got[7].n_chars == 500_000
+    assert decontam.stage(spark, docs.limit(0), sf).count() == 0
