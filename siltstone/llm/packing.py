@@ -6,8 +6,11 @@ search between the underfull bins, which moves one document, exchanges one for o
 raises the sum of squared fills, until the emptiest bins are empty. The bins that a group leaves clearly underfull are
 opened, and their pieces are dealt and packed again with those of other groups; the last such round has few rows.
 
-The tokenizer never joins over white space, nor over the borders of its own split, so a text's ids are those of its
-words, one after another; each worker keeps the ids of words it has seen, and only new ones reach the BPE.
+A tokenizer that lower-cases and splits at white space and words, as the vocabulary file itself says, never joins over
+those borders, so a text's ids are those of its words, one after another; each worker keeps the ids of words it has seen,
+and only new ones reach the BPE. With any other vocabulary whole texts go to the tokenizer.
+
+``local_search`` tries at most 64 fuller bins a step: a bound on the effort, no piece is ever left out.
 
 Defined results: null text counts as empty and gives the end id alone. Repeated rows are packed one by one, rows
 without a doc_id too. Extra columns are ignored, an empty table gives an empty result.
@@ -15,6 +18,7 @@ without a doc_id too. Extra columns are ignored, an empty table gives an empty r
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 
@@ -27,8 +31,8 @@ from ._shared import modest_batches, table, written
 CAPACITY = 4096
 #: Vocabulary files above this many bytes are refused, for they are broadcast.
 MOST_VOCABULARY = 64 << 20
-#: Chunks, and words, that a worker remembers of late and of before.
-MOST_CHUNKS, MOST_WORDS = 50_000, 200_000
+#: Chunks, and words, that a worker remembers of late and of before, and the longest of them.
+MOST_CHUNKS, MOST_WORDS, LONGEST = 50_000, 200_000, 64
 
 #: White space to Python's str.split(), but perhaps not to the tokenizer: such texts go to the tokenizer whole.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85]")
@@ -37,6 +41,24 @@ _PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
 _SPLIT = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\sa-z0-9ß-öø-ÿ]+")
 
 
+#: What the vocabulary file says of texts that can be encoded word by word.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def by_words(vocabulary: str) -> bool:
+    """Whether a vocabulary file's tokenizer encodes words one by one, as ``ChunkEncoder`` does."""
+    said = json.loads(vocabulary)
+    special = all("<|" in t["content"] for t in said.get("added_tokens") or [])
+    return special and said.get("normalizer") == _NORMALIZER and said.get("pre_tokenizer") == _PRE_TOKENIZER and said["model"]["type"] == "BPE" and not said.get("post_processor")
+
+
 def _byte_letters() -> dict[int, str]:
     """Byte to the visible character that byte-level BPE writes for it."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -55,8 +77,9 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
+        self.split = by_words(vocabulary)
         self.letters = _byte_letters()
-        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
         self.old_words: dict[str, bytes] = {}
@@ -69,13 +92,14 @@ class ChunkEncoder:
         if len(self.words) > MOST_WORDS:
             self.old_words, self.words = self.words, {}
         known, old, packed, tokenize = self.words, self.old_words, self.packed, self.tokenizer.model.tokenize
+        long = {}
         for word in set(words).difference(known):
             ids = old.get(word)
             if ids is None:
                 spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
                 ids = b"".join([packed[t.id] for t in tokenize(spelled)])
-            known[word] = ids
-        return b"".join(map(known.__getitem__, words))
+            (known if len(word) <= LONGEST else long)[word] = ids
+        return b"".join([long[w] if w in long else known[w] for w in words] if long else map(known.__getitem__, words))
 
     def chunk(self, chunk: str) -> bytes:
         if "<|" in chunk or not _PLAIN.fullmatch(chunk):
@@ -83,17 +107,19 @@ class ChunkEncoder:
         return self.of_words(_SPLIT.findall(chunk.lower()))
 
     def encode(self, text: str) -> bytes:
+        if not self.split:
+            return self.whole(text)
         if "<|" not in text and _PLAIN.fullmatch(text):
             return self.of_words(_SPLIT.findall(text.lower()))
         if _ODD_SPACE.search(text):
             return self.whole(text)
         if len(self.chunks) > MOST_CHUNKS:
             self.old_chunks, self.chunks = self.chunks, {}
-        chunks, known = text.split(), self.chunks
+        chunks, known, long = text.split(), self.chunks, {}
         for c in set(chunks).difference(known):
             ids = self.old_chunks.get(c)
-            known[c] = self.chunk(c) if ids is None else ids
-        return b"".join(map(known.__getitem__, chunks))
+            (known if len(c) <= LONGEST else long)[c] = self.chunk(c) if ids is None else ids
+        return b"".join([long[c] if c in long else known[c] for c in chunks] if long else map(known.__getitem__, chunks))
 
 
 _encoders: dict[int, ChunkEncoder] = {}
@@ -104,10 +130,12 @@ def _cut(vocabulary, end_id: int, capacity: int, keep_ids: bool):
         import numpy as np
         import pyarrow as pa
 
-        encoder = _encoders.get(vocabulary[0])
+        from siltstone.llm import packing as own  # by name, so that what a worker remembers outlives the task
+
+        encoder = own._encoders.get(vocabulary[0])
         if encoder is None:
-            _encoders.clear()
-            encoder = _encoders[vocabulary[0]] = ChunkEncoder(vocabulary[1].value)
+            own._encoders.clear()
+            encoder = own._encoders[vocabulary[0]] = own.ChunkEncoder(vocabulary[1].value)
         end, step = end_id.to_bytes(4, "little"), 4 * capacity
 
         def rows(batch, parts):
@@ -286,8 +314,10 @@ def _vocabulary() -> str:
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence of at most 4096 tokens."""
     return best_fit_packing(table(spark, sf_dir, "documents"), _vocabulary())
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what the stages before have kept: pieces and places, not documents."""
     return best_fit_packing(docs, _vocabulary())

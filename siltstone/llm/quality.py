@@ -10,7 +10,9 @@ most ``most_rows`` labelled documents (those with the smallest hashes), which bo
 
 Defined results: null text counts as empty; empty texts are scored like any other. Labels that are null, or whose
 doc_id is null, are ignored; repeated labels of a document count by their mean, one half counting as 1. Without labels
-of both kinds the score is the smoothed share of 1s. Repeated rows are scored one by one, extra columns stay.
+of both kinds the score is the smoothed share of 1s. If a labelled doc_id has several texts, one of them is learned from,
+that with the smallest hash. Repeated rows are scored one by one, extra columns stay (but the score takes the place of a
+column of its name); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import crc_fold, modest_batches, table
+from ._shared import crc_fold, modest_batches, private, table, with_results
 
 FEATURES = ("log_chars", "mean_word", "upper", "digits", "symbols", "exclaims", "tables", "stops", "spaces", "beyond_ascii", "distinct_words", "distinct_lines", "mean_line", "longest_word", "packed", "upper_words", "stutter", "symbol_ends")
 
@@ -208,15 +210,17 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, text: str
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label).isNotNull() & (crc_fold(id_col, 5) != 0))
     known = known.groupBy(id_col).agg((F.avg(label) >= 0.5).cast("double").alias("y"))
     sample = known.orderBy(F.xxhash64(id_col), id_col).limit(most_rows)  # so it is small enough to broadcast
-    rows = docs.select(id_col, text).join(F.broadcast(sample), id_col).select(id_col, features(F.col(text)).alias("x"), "y").toLocalIterator()
-    found = sorted((r[0], r["y"], r["x"]) for r in rows)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(F.broadcast(sample.withColumnRenamed(id_col, "id")), "id")
+    rows = rows.select("id", "y", F.xxhash64("text").alias("h"), features(F.col("text")).alias("x"))
+    one = rows.groupBy("id").agg(F.min(F.struct("h", "x", "y")).alias("r"))  # so repeated ids count once
+    found = sorted((r["id"], r.r.y, r.r.x) for r in one.toLocalIterator())
     return fit(np.array([r[2] for r in found]), np.array([r[1] for r in found]))
 
 
 def score(docs: DataFrame, model: AdditiveModel, text: str = "text", into: str = "score") -> DataFrame:
     """``docs`` with the model's probability that a text is labelled 1."""
-
     modest_batches(docs.sparkSession)
+
     @F.arrow_udf(T.DoubleType())
     def scored(texts):
         import pyarrow as pa
@@ -224,13 +228,14 @@ def score(docs: DataFrame, model: AdditiveModel, text: str = "text", into: str =
         x = np.array([features_of(t.as_py()) for t in texts]).reshape(-1, len(FEATURES))
         return pa.array(model.score(x))
 
-    return docs.withColumn(into, scored(F.col(text)))
+    return docs.select(with_results(docs, docs.columns, {into: scored(F.col(text))}))
 
 
 THRESHOLD = 0.3
 
 
 def op1_quality(spark, sf_dir: str) -> DataFrame:
+    """Every document's score, by a model that has not seen the held-out fold."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
     held_out = F.coalesce(crc_fold("doc_id", 5) == 0, F.lit(False))
@@ -240,4 +245,5 @@ def op1_quality(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     model = train(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model, into="_score").filter(F.col("_score") >= THRESHOLD).select(docs.columns)
+    (own,) = private(docs, "score")
+    return score(docs, model, into=own).filter(F.col(own) >= THRESHOLD).drop(own)

@@ -84,3 +84,26 @@ def test_many_groups(spark):
     out = packing.pack(parts, group_rows=300).collect()
     assert len(out) == 5000
     assert len({r.sequence_id for r in out}) <= 1.01 * sum(r[3] for r in rows) / 4096 + 2
+
+
+def test_other_vocabularies_are_encoded_whole(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encode = Tokenizer.from_file(path)
+    texts = ["Hello  World, it's 1234", "", "naïve\n\tÄÖ 一二三 " * 50, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in packing.best_fit_packing(df, path, keep_ids=True).collect()}
+    assert got == {k: [*encode.encode(t or "", add_special_tokens=False).ids, 1] for k, t in enumerate(texts)}
+    assert packing.by_words(VOCABULARY) and not packing.by_words(open(path, encoding="utf-8").read())
+
+
+def test_long_chunks_are_not_remembered():
+    encoder, text = packing.ChunkEncoder(VOCABULARY), "一" * 3000 + " " + "a" * 3000 + " ok 二"
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == ids_of(text)
+    assert max(map(len, [*encoder.words, *encoder.chunks])) <= packing.LONGEST
+
+
+def test_stage_on_odd_rows(spark):
+    rows = [(1, None), (1, "a b c"), (1, "a b c"), (None, "x"), (2, "w " * 9000)]
+    df = spark.createDataFrame([(d, t, "en", 1, 2) for d, t in rows], "doc_id long, text string, lang string, piece int, `group` int")
+    verify(packing.stage(spark, df, "").collect(), rows)
+    assert packing.stage(spark, df.limit(0), "").count() == 0

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from siltstone.llm import quality
 
@@ -44,3 +45,28 @@ def test_odd_rows(spark):
     empty = quality.train(docs, labels.limit(0))
     assert {r._s for r in quality.score(docs, empty, into="_s").collect()} == {0.5}
     assert quality.score(docs.limit(0), empty).count() == 0
+
+
+def test_query_scores_against_plain_python(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels)
+    want = {r.doc_id: model.score(np.array([quality.features_of(r.text)]))[0] for r in docs.collect()}
+    got = quality.op1_quality(spark, sf).collect()
+    assert len(got) == len(want) and all(abs(r.score - want[r.doc_id]) < 1e-12 and r.predicted == (r.score >= 0.3) for r in got)
+
+
+def test_repeated_ids_are_learned_once(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    once, often = quality.train(docs, labels), quality.train(docs.unionByName(docs).unionByName(docs), labels)
+    assert all(np.array_equal(a, b) for a, b in zip(once.tables, often.tables, strict=True))
+
+
+def test_stage_on_odd_rows(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumns({"_score": F.lit(0.7), "SCORE": F.lit("s")})
+    odd = spark.createDataFrame([(None, None, None, None, None, 0.7, "s"), (10**9, "", "en", "s", 0, 0.7, "s"), (10**9, "fine " * 500_000, "en", "s", 9, 0.7, "s")], docs.schema)
+    out = quality.stage(spark, docs.unionByName(odd).unionByName(odd), sf)
+    assert out.columns == docs.columns and {(r._score, r.SCORE) for r in out.collect()} == {(0.7, "s")}
+    model = quality.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    kept = {r.doc_id for r in docs.collect() if model.score(np.array([quality.features_of(r.text)]))[0] >= 0.3}
+    assert {r.doc_id for r in out.collect()} - {None, 10**9} == kept
+    assert quality.stage(spark, docs.limit(0), sf).count() == 0
