@@ -9,8 +9,9 @@ How it scales
 * Two fingerprints at distance ``radius`` or less agree on at least ``k`` of ``radius + k`` bit blocks. Each
   combination of k blocks is a shard key; shards hold the fingerprints that agree there. ``k`` grows with the number of
   distinct fingerprints, so that random shards stay small.
-* A shard much above the mean is cut in chunks, and each pair of chunks becomes a shard: its members are bounded, and
-  no pair of chunks is left out.
+* A shard much above the mean is cut in chunks of bounded size, dealt anew for every shard key. Members of a dense group
+  meet in one chunk or another, so it becomes a component by a few rows a member. Only shards that still hold several
+  components are then searched again, each pair of chunks as a shard: no pair of chunks is left out.
 * Every task builds the BK-trees of its shards as one forest and queries them level by level with numpy. A shard gives
   only one edge a member, to the smallest fingerprint of its local component: never all pairs.
 * Components are then joined by min-label propagation with pointer jumping over those edges, in Spark, each round
@@ -31,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import modest_batches, word_blocks, written
+from ._shared import met, modest_batches, private, word_blocks, written
 
 BITS = 64
 #: Fingerprints that make up more than this part of all rows meet their rows by broadcast, the others by shuffle.
@@ -202,6 +203,12 @@ def _edges(radius: int, block: int):
     return shards
 
 
+def _searched(dealt: DataFrame, radius: int, block: int) -> DataFrame:
+    """Edges within each shard (c, k, i, j) of fingerprints fp."""
+    sorted_ = dealt.repartition("c", "k", "i", "j").sortWithinPartitions("c", "k", "i", "j")
+    return sorted_.select("c", "k", "i", "j", "fp").mapInArrow(_edges(radius, block), "a long, b long").distinct()
+
+
 def links(prints: DataFrame, distinct: int, radius: int = 4, least_chunk: int = 512, block: int = 50_000) -> DataFrame:
     """Edges (a, b) between distinct fingerprints in column fp, whose components are those of all links."""
     masks = shard_masks(radius, distinct)
@@ -211,14 +218,19 @@ def links(prints: DataFrame, distinct: int, radius: int = 4, least_chunk: int =
     keyed = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(signed)]))
     rows = prints.select("fp", keyed.alias("s")).select("s.c", "s.k", "fp")
     large = rows.groupBy("c", "k").agg(F.count("*").alias("n")).filter(F.col("n") > chunk)
-    large = large.select("c", "k", F.ceil(F.col("n") / F.lit(chunk)).cast("int").alias("chunks"))
-    dealt = rows.join(large, ["c", "k"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
+    large = written(large.select("c", "k", F.ceil(F.col("n") / F.lit(chunk)).cast("int").alias("chunks")), "large")  # at most len(masks) x distinct / chunk
+    own = F.pmod(F.xxhash64("fp", "c"), F.coalesce("chunks", F.lit(1))).cast("int")
+    dealt = rows.join(large, ["c", "k"], "left").withColumns({"i": own, "j": own})
+    edges = written(_searched(dealt, radius, block), "edges")
+    if large.isEmpty():
+        return edges
+    part = components(edges)
+    hot = rows.join(large, ["c", "k"]).join(part.withColumnRenamed("node", "fp"), "fp", "left").withColumn("part", F.coalesce("root", "fp"))
+    hot = written(hot.select("c", "k", "fp", "chunks", "part", own.alias("own")), "hot")
+    several = hot.groupBy("c", "k").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("c", "k")
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda other: F.struct(F.least(F.col("own"), other).alias("i"), F.greatest(F.col("own"), other).alias("j")))
-    dealt = dealt.withColumn("own", own).select("c", "k", F.explode(pairs).alias("p"), "fp")
-    dealt = dealt.select("c", "k", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "fp")
-    sorted_ = dealt.repartition("c", "k", "i", "j").sortWithinPartitions("c", "k", "i", "j")
-    return sorted_.mapInArrow(_edges(radius, block), "a long, b long").distinct()
+    across = hot.join(several, ["c", "k"], "left_semi").select("c", "k", "fp", F.explode(F.filter(pairs, lambda p: p["i"] < p["j"])).alias("p"))
+    return edges.unionByName(written(_searched(across.select("c", "k", "fp", "p.i", "p.j"), radius, block), "edges"))
 
 
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
@@ -262,22 +274,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
     from ._shared import table
 
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each component; rows without an id stay.
+    """Keeps one document of each component: the smallest doc_id, then the smallest SHA-256 digest, ids before nulls.
 
-    Components are those of five-word shingles with a Jaccard similarity of at least 0.8, checked exactly. If a doc_id
-    has several texts, each component that it names keeps one of them, the one with the smallest SHA-256 digest.
+    Components are those of five-word shingles with a Jaccard similarity of at least 0.8: BK-trees over SimHash
+    fingerprints propose, a prefix search that misses nothing adds to them, and an exact check decides (see
+    ``jaccard``). If a doc_id has several texts, each component keeps its own document; rows without an id are judged like
+    any other. Equal rows are copies. Only rows that may go, or stand more than once, are shuffled.
     """
     from . import jaccard
 
-    groups = jaccard.near_duplicates(docs)
-    keep = groups.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id", "root").agg(F.min("digest").alias("_digest"))
-    keep = written(keep.select("doc_id", "_digest"), "keep")
-    named = docs.filter(F.col("doc_id").isNotNull()).withColumn("_digest", jaccard.digest_of(F.col("text")))
-    kept = named.join(keep, ["doc_id", "_digest"], "left_semi").dropDuplicates(["doc_id", "_digest"])
-    return kept.select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    groups, key = jaccard.near_duplicates(docs), F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "digest")
+    rows = written(groups.groupBy("doc_id", "digest", "root").agg(F.count("*").alias("copies")), "rows")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")).alias("first"))
+    own = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
+    judged = rows.join(first, "root").withColumn("stays", own == F.col("first"))
+    key_, stays = private(docs, "key", "stays")
+    special = written(judged.filter("not stays or copies > 1").select(key.alias(key_), F.col("stays").alias(stays)), "special")
+    digest = jaccard.digest_of(F.col("text"))
+    found = met(docs, F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), digest), special, key_)
+    plain = found.filter(F.col(stays).isNull())
+    return plain.unionByName(found.filter(stays).dropDuplicates([key_])).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -46,3 +46,28 @@ def test_a_doc_id_with_several_texts_loses_no_component(spark):
     for order in (rows, rows[::-1]):
         kept = simhash.stage(spark, spark.createDataFrame(order, "doc_id long, text string").coalesce(1), "").collect()
         assert sorted(map(tuple, kept)) == [(1, one), (1, two)]
+
+
+def test_shared_shingles_over_small_batches():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(0)
+    rows = sorted((int(h), int(k), int(k) % 7) for h, k in zip(rng.integers(0, 60, 400), rng.integers(0, 30, 400), strict=True))
+    want = {h: sorted({k for x, k, _ in rows if x == h}) for h, _, _ in rows}
+    want = sorted((h, k, k % 7, keys[0]) for h, keys in want.items() if len(keys) > 1 for k in keys)
+    for step in (1, 3, 50, 1000):
+        batches = [pa.record_batch([pa.array([r[c] for r in rows[at : at + step]], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=["h", "key", "n"]) for at in range(0, len(rows), step)]
+        got = [tuple(r.values()) for b in jaccard._shared_shingles(batches) for r in b.to_pylist()]
+        assert got == want
+
+
+def test_stage_on_odd_rows(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text), (None, text), (5, text.upper()), (3, "x " * 300_000), (3, "x " * 300_000), (None, None), (None, ""), (7, "only one"), (None, "alone here")]
+    docs = spark.createDataFrame([(d, t, 1, "k", 2) for d, t in rows], "doc_id long, text string, _key int, stays string, _bucket int")
+    out = simhash.stage(spark, docs, "")
+    got = out.collect()
+    assert out.columns == docs.columns and {tuple(r)[2:] for r in got} == {(1, "k", 2)}
+    assert sorted((r.doc_id or 0, (r.text or "").lower()[:9]) for r in got) == [(0, ""), (0, "alone her"), (3, "x x x x x"), (5, "w0 w1 w2 "), (7, "only one")]
+    assert simhash.stage(spark, docs.limit(0), "").count() == 0

@@ -8,7 +8,7 @@ from siltstone.llm import quality
 from .test_decontam import brute as hits_of
 from .test_packing import verify
 from .test_secretscan import PLANTED
-from .test_simhash import brute as components_of
+from .test_jaccard import brute as survivors_of
 
 
 def test_every_stage_on_its_own_input(spark, sf):
@@ -28,7 +28,7 @@ def test_every_stage_on_its_own_input(spark, sf):
             assert {r.doc_id for r in b} == keep and 0.5 < len(b) / len(a) < 1
             assert all(r == a[r.doc_id] for r in b)
         elif name == "simhash_near_dedup":
-            assert sorted(r.doc_id for r in b) == sorted({c for _, _, c in components_of([(d, r.text) for d, r in a.items()])})
+            assert sorted(r.doc_id for r in b) == survivors_of([(d, r.text) for d, r in a.items()])
             assert len(b) < len(a) and all(r == a[r.doc_id] for r in b)
         elif name == "benchmark_decontamination":
             dirty = {d for d, r in a.items() if hits_of(r.text, items)[-1]}

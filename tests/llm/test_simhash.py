@@ -51,7 +51,7 @@ def test_odd_rows(spark):
     assert result(simhash.near_duplicates(df.limit(0))) == []
     assert simhash.stage(spark, df, "").columns == df.columns
     kept = sorted(r.doc_id for r in simhash.stage(spark, df, "").collect() if r.doc_id is not None)
-    assert kept == [2, 4, 7, 8]
+    assert kept == [2, 4, 7, 8] and {(r.doc_id, r.text) for r in simhash.stage(spark, df, "").collect() if r.doc_id is None} == {(None, "only without id")}
 
 
 @pytest.mark.parametrize("k", [1, 2, 3])
