@@ -23,7 +23,7 @@ from __future__ import annotations
 import functools
 import re
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -35,7 +35,7 @@ from ._shared import crc_fold, forget, modest_batches, private, table, with_resu
 ORDER = 4
 #: Weight of an item's frequency over all languages in its frequency in one of them.
 PRIOR = 20.0
-WORD_SHARE, GRAM_SHARE = 1 / 400_000, 1 / 100_000
+WORD_SHARE, GRAM_SHARE = 1 / 1_000_000, 1 / 100_000
 _HOLD = 200_000
 
 #: Latin texts, all of whose letters are those of _LATIN (the blocks up to U+024F and general punctuation).
@@ -113,51 +113,61 @@ class Model:
     table: np.ndarray
     unseen: float = -3.0
 
-    def backoff(self, word: str) -> np.ndarray:
-        """Log frequencies of a word that is not known, from its n-grams."""
-        get, rows, lost = self.grams.get, [], 0
-        for gram in grams_of(word):
-            for k in range(len(gram)):
-                if (row := get(gram[k:])) is not None:
-                    rows.append(row)
-                    lost += k
-                    break
-            else:
-                lost += len(gram)
-        return self.table.take(rows, axis=0).sum(axis=0) + lost * self.unseen
+    def backoff(self, gram: str) -> np.ndarray:
+        """Log frequencies of one n-gram: those of its longest known ending, and a constant a character before it."""
+        for k in range(len(gram)):
+            if (row := self.grams.get(gram[k:])) is not None:
+                return self.table[row] + k * self.unseen
+        return np.full(len(self.langs), len(gram) * self.unseen)
 
 
-@dataclass
 class Scorer:
-    """Scores texts with a model and remembers, within bounds, words that needed the backoff."""
-
-    model: Model
-    others: dict[str, int] = field(default_factory=dict)
-
-    def __post_init__(self):
-        self.known = len(self.model.table)
-        self.table = np.concatenate([self.model.table, np.zeros((min(_HOLD, 1 << 14), len(self.model.langs)))])
+    """Scores texts with a model and remembers, within bounds, words and n-grams that needed the backoff."""
+
+    def __init__(self, model: Model):
+        self.model, self.known = model, len(model.table)
+        self.forget()
+
+    def forget(self) -> None:
+        self.others: dict[str, int] = {}
+        self.ends: dict[str, int] = {}
+        self.table = np.concatenate([self.model.table, np.zeros((1 << 14, len(self.model.langs)))])
+        self.of_grams = np.zeros((1 << 14, len(self.model.langs)))
+
+    def _gram(self, gram: str) -> int:
+        """The row of an n-gram that has not been met."""
+        row = self.ends[gram] = len(self.ends)
+        if row >= len(self.of_grams):
+            self.of_grams = np.concatenate([self.of_grams, np.zeros_like(self.of_grams)])
+        self.of_grams[row] = self.model.backoff(gram)
+        return row
 
     def rows_of(self, words: list[str]) -> list[int]:
-        """Rows of ``self.table`` for distinct words; adds those it has not met."""
-        known, others, rows = self.model.words, self.others, []
+        """Rows of ``self.table`` for distinct words; adds those it has not met, all at once."""
+        known, others, rows, fresh = self.model.words.get, self.others, [], []
         for w in words:
-            if (row := known.get(w)) is None and (row := others.get(w)) is None:
-                row = self.known + len(others)
-                if row >= len(self.table):
-                    self.table = np.concatenate([self.table, np.zeros((len(self.table) - self.known, self.table.shape[1]))])
-                self.table[row] = self.model.backoff(w)
-                others[w] = row
+            if (row := known(w)) is None and (row := others.get(w)) is None:
+                row = others[w] = self.known + len(others)
+                fresh.append(w)
             rows.append(row)
+        if fresh:
+            get, grams, starts = self.ends.get, [], []
+            for w in fresh:
+                starts.append(len(grams))
+                for g in grams_of(w):
+                    grams.append(row if (row := get(g)) is not None else self._gram(g))
+            end = self.known + len(others)
+            while end > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros((len(self.table) - self.known, self.table.shape[1]))])
+            self.table[end - len(fresh) : end] = np.add.reduceat(self.of_grams.take(grams, axis=0), starts, axis=0)
         return rows
 
     def score(self, text: str | None) -> tuple[str, float]:
         words = words_of(text)
         if not words or not self.model.langs:
             return "und", 0.0
-        if len(self.others) > _HOLD:
-            self.others.clear()
-            self.table = self.table[: self.known + (1 << 14)].copy()
+        if len(self.others) + len(self.ends) > _HOLD:
+            self.forget()
         counts = Counter(words)
         rows = self.rows_of(list(counts))
         mean = (np.fromiter(counts.values(), float, len(counts)) @ self.table.take(rows, axis=0)) / len(words)
