@@ -29,10 +29,10 @@ _NAMES = r"pass(?:word|wd|phrase|code)|pwd|secret|token|credential|(?:api|access
 #: with a digit among them; anything else that is assigned to a name of secrets. All lookarounds are bounded.
 CANDIDATE = (
     r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY(?: BLOCK)?-----[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,24}PRIVATE KEY(?: BLOCK)?-----"
-    r"|(?<![A-Za-z0-9_\-])eyJ[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]{8,}+"
+    r"|eyJ(?<![A-Za-z0-9_\-]eyJ)[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]{8,}+"
     r"|(?<=:)(?<=://[^\s/:@]{0,64}:)[^\s/:@]{3,128}(?=@)"
     r"|(?<![\p{L}\p{N}+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{14,}={0,2}(?![\p{L}\p{N}])"
-    rf"|(?<=[=:\s\"'])(?<=(?:{_NAMES})[\"']?\s{{0,2}}[=:]\s{{0,2}}[\"']?)[^\s\"'<>,;=:]{{5,127}}[^\s\"'<>,;.!?)\]]"
+    rf"|(?<=[=:\s\"'])(?<=[=:]\s{{0,2}}[\"']?)(?<=(?:{_NAMES})[\"']?\s{{0,2}}[=:]\s{{0,2}}[\"']?)[^\s\"'<>,;=:]{{5,127}}[^\s\"'<>,;.!?)\]]"
 )
 
 #: Words that tell a finding's neighbourhood, and words that keys seldom contain.
