@@ -30,8 +30,12 @@ def shared_dir(spark: SparkSession) -> str:
 _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage, survives a lost executor, is computed once."""
+def written(df: DataFrame, tag: str, files: int | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: cuts the lineage, survives a lost executor, is computed once.
+
+    At most ``files`` tasks write it, a file each, if given.
+    """
+    df = df.coalesce(files) if files else df
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -39,6 +43,16 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def narrow(rows: int) -> int:
+    """Files for a table of a few numbers a row, of about so many rows."""
+    return max(2, rows // 200_000)
+
+
+def wide(spark: SparkSession, rows: int) -> int:
+    """Files for a table of about so many rows that takes work to make."""
+    return max(2 * spark.sparkContext.defaultParallelism, rows // 25_000)
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes tables made by ``written``; only for those that nothing will read again, not even a lost task."""
     for df in tables:
@@ -91,7 +105,7 @@ def met(df: DataFrame, key: Column, small: DataFrame, small_key: str) -> DataFra
     return some.select(*df.columns, *small.columns).unionByName(rest.select(*df.columns, *[F.lit(None).cast(kinds[c]).alias(c) for c in small.columns]))
 
 
-def modest_batches(spark: SparkSession, rows: int = 2000) -> None:
+def modest_batches(spark: SparkSession, rows: int = 500) -> None:
     """Arrow batches of at most ``rows`` rows, where the session has Spark's default of 10,000: rows here are whole texts."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -7,7 +7,7 @@ raises the sum of squared fills, until the emptiest bins are empty. The bins tha
 opened, and their pieces are dealt and packed again with those of other groups; the last such round has few rows.
 
 A tokenizer that lower-cases and splits at white space and words, as the vocabulary file itself says, never joins over
-those borders, so a text's ids are those of its words, one after another; each worker keeps the ids of words it has seen,
+those borders, so a text's ids are those of its words, one after another; each task keeps the ids of words it has seen,
 and only new ones reach the BPE. With any other vocabulary whole texts go to the tokenizer.
 
 ``local_search`` tries at most 64 fuller bins a step: a bound on the effort, no piece is ever left out.
@@ -31,7 +31,7 @@ from ._shared import modest_batches, table, written
 CAPACITY = 4096
 #: Vocabulary files above this many bytes are refused, for they are broadcast.
 MOST_VOCABULARY = 64 << 20
-#: Chunks, and words, that a worker remembers of late and of before, and the longest of them.
+#: Chunks, and words, that a task remembers of late and of before, and the longest of them.
 MOST_CHUNKS, MOST_WORDS, LONGEST = 50_000, 200_000, 64
 
 #: White space to Python's str.split(), but perhaps not to the tokenizer: such texts go to the tokenizer whole.
@@ -122,20 +122,12 @@ class ChunkEncoder:
         return b"".join([long[c] if c in long else known[c] for c in chunks] if long else map(known.__getitem__, chunks))
 
 
-_encoders: dict[int, ChunkEncoder] = {}
-
-
 def _cut(vocabulary, end_id: int, capacity: int, keep_ids: bool):
     def cut(batches):
         import numpy as np
         import pyarrow as pa
 
-        from siltstone.llm import packing as own  # by name, so that what a worker remembers outlives the task
-
-        encoder = own._encoders.get(vocabulary[0])
-        if encoder is None:
-            own._encoders.clear()
-            encoder = own._encoders[vocabulary[0]] = own.ChunkEncoder(vocabulary[1].value)
+        encoder = ChunkEncoder(vocabulary.value)  # a task's own: idle workers hold no memory
         end, step = end_id.to_bytes(4, "little"), 4 * capacity
 
         def rows(batch, parts):
@@ -170,7 +162,7 @@ def pieces(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY, end_
         vocabulary = f.read(MOST_VOCABULARY + 1)
     if len(vocabulary) > MOST_VOCABULARY:
         raise ValueError("the vocabulary file is too large to broadcast")
-    shared = (zlib.crc32(vocabulary.encode()), docs.sparkSession.sparkContext.broadcast(vocabulary))
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("piece", T.IntegerType())])
     for name in ("start", "length", "ids_crc32"):
         schema.add(name, T.LongType())

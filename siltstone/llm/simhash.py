@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import met, modest_batches, private, word_blocks, written
+from ._shared import forget, met, modest_batches, narrow, private, wide, word_blocks, written
 
 BITS = 64
 #: Fingerprints that make up more than this part of all rows meet their rows by broadcast, the others by shuffle.
@@ -123,7 +123,7 @@ def bk_forest(codes: np.ndarray, trees: np.ndarray) -> tuple[np.ndarray, np.ndar
     return root, key[order], kid[order]
 
 
-def bk_links(codes: np.ndarray, trees: np.ndarray, radius: int, most: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+def bk_links(codes: np.ndarray, trees: np.ndarray, radius: int, most: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
     """All pairs (a, b), a < b, within ``radius`` in the same tree, in blocks of queries that keep the frontier small."""
     root, key, kid = bk_forest(codes, trees)
     out_a, out_b = [], []
@@ -218,26 +218,28 @@ def links(prints: DataFrame, distinct: int, radius: int = 4, least_chunk: int =
     keyed = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(signed)]))
     rows = prints.select("fp", keyed.alias("s")).select("s.c", "s.k", "fp")
     large = rows.groupBy("c", "k").agg(F.count("*").alias("n")).filter(F.col("n") > chunk)
-    large = written(large.select("c", "k", F.ceil(F.col("n") / F.lit(chunk)).cast("int").alias("chunks")), "large")  # at most len(masks) x distinct / chunk
+    few = narrow(distinct)
+    large = written(large.select("c", "k", F.ceil(F.col("n") / F.lit(chunk)).cast("int").alias("chunks")), "large", few)  # at most len(masks) x distinct / chunk
     own = F.pmod(F.xxhash64("fp", "c"), F.coalesce("chunks", F.lit(1))).cast("int")
     dealt = rows.join(large, ["c", "k"], "left").withColumns({"i": own, "j": own})
-    edges = written(_searched(dealt, radius, block), "edges")
+    edges = written(_searched(dealt, radius, block), "edges", few)
     if large.isEmpty():
         return edges
-    part = components(edges)
+    part = components(edges, few)
     hot = rows.join(large, ["c", "k"]).join(part.withColumnRenamed("node", "fp"), "fp", "left").withColumn("part", F.coalesce("root", "fp"))
-    hot = written(hot.select("c", "k", "fp", "chunks", "part", own.alias("own")), "hot")
+    hot = written(hot.select("c", "k", "fp", "chunks", "part", own.alias("own")), "hot", wide(prints.sparkSession, distinct))
     several = hot.groupBy("c", "k").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("c", "k")
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda other: F.struct(F.least(F.col("own"), other).alias("i"), F.greatest(F.col("own"), other).alias("j")))
     across = hot.join(several, ["c", "k"], "left_semi").select("c", "k", "fp", F.explode(F.filter(pairs, lambda p: p["i"] < p["j"])).alias("p"))
-    return edges.unionByName(written(_searched(across.select("c", "k", "fp", "p.i", "p.j"), radius, block), "edges"))
+    more = written(_searched(across.select("c", "k", "fp", "p.i", "p.j"), radius, block), "edges", few)
+    forget(part, hot)
+    return edges.unionByName(more)
 
 
-def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """(node, root): the smallest node reachable over edges (a, b), b < a. Nodes without an edge have no row."""
+def components(edges: DataFrame, files: int | None = None, most_rounds: int = 100) -> DataFrame:
+    """(node, root): the smallest node reachable over stored edges (a, b), b < a. Nodes without an edge have no row."""
     nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    label = nodes.union(edges.select(F.col("b"), F.col("b"))).groupBy("node").agg(F.min("root").alias("root"))
-    label = written(label, "labels")
+    label = written(nodes.union(edges.select(F.col("b"), F.col("b"))).groupBy("node").agg(F.min("root").alias("root")), "labels", files)
     before = None
     for _ in range(most_rounds):
         total = label.agg(F.sum(F.col("root").cast("decimal(38,0)")).alias("s")).first()["s"]  # labels only fall
@@ -250,7 +252,9 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
         told = both.select(F.explode(F.array(*[F.struct(F.col(c).alias("node"), F.col("low").alias("root")) for c in ("a", "b", "ra", "rb")])).alias("t")).select("t.*")
         fresh = told.groupBy("node").agg(F.min("root").alias("root"))
         jump = fresh.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        label = written(fresh.join(jump, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "labels")
+        fresh = fresh.join(jump, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+        old, label = label, written(fresh, "labels", files)
+        forget(old)
     raise RuntimeError("labels still fall after all rounds")
 
 
@@ -259,12 +263,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     prints = written(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")), width, seed).select("doc_id", "fp"), "prints")
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "nodes")
     distinct, rows = nodes.agg(F.count("*"), F.sum("copies")).first()
-    edges = written(links(nodes.select("fp"), distinct, radius), "edges")
-    root = components(edges)
+    root = components(links(nodes.select("fp"), distinct, radius), narrow(distinct))
     linked = nodes.join(root, nodes.fp == root.node).select("fp", "least", "root")
     named = linked.groupBy("root").agg(F.min("least").alias("of_root"))
     named = linked.join(named, "root").select("fp", "of_root")
-    nodes = nodes.join(named, "fp", "left").select("fp", "copies", F.coalesce("of_root", "least").alias("component_id"))
+    nodes = written(nodes.join(named, "fp", "left").select("fp", "copies", F.coalesce("of_root", "least").alias("component_id")), "nodes", narrow(distinct))
+    forget(root)
     frequent = F.col("copies") >= max(2, (rows or 0) // FREQUENT)  # fewer than 2 FREQUENT of them, whatever the rows
     hot = F.broadcast(nodes.filter(frequent).select("fp", "component_id", F.lit(True).alias("hot")))
     marked = prints.join(hot, "fp", "left")
@@ -291,7 +295,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     from . import jaccard
 
     groups, key = jaccard.near_duplicates(docs), F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "digest")
-    rows = written(groups.groupBy("doc_id", "digest", "root").agg(F.count("*").alias("copies")), "rows")
+    rows = groups.groupBy("doc_id", "digest", "root").agg(F.count("*").alias("copies"))
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")).alias("first"))
     own = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
     judged = rows.join(first, "root").withColumn("stays", own == F.col("first"))

@@ -1,4 +1,5 @@
 import itertools
+import random
 
 from siltstone.llm import jaccard, simhash
 
@@ -36,8 +37,22 @@ def test_links_between_members_that_are_not_the_first(spark):
     rows = [(i, " ".join(words[i * 4 : i * 4 + 60])) for i in range(20)] + [(50 + i, " ".join(words[i : i + 3])) for i in range(3)] + [(90, "a b c d e f"), (91, "A b\tc d e f")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for sample in (1, 10_000):
-        got = {r.component_id for r in jaccard.near_duplicates(docs, sample).collect()}
-        assert sorted(got) == brute(rows) == [0, 50, 51, 52, 90]
+        for crowd in (2, 24):
+            got = {r.component_id for r in jaccard.near_duplicates(docs, sample, crowd).collect()}
+            assert sorted(got) == brute(rows) == [0, 50, 51, 52, 90]
+
+
+def test_a_passage_in_many_documents_hides_no_link(spark):
+    rng = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = []
+    for k in range(60):
+        own = [f"d{k}w{i}" for i in range(rng.randint(40, 240))]
+        text = " ".join([*own[:20], passage, *own[20:]])
+        rows += [(2 * k, text)] + ([(2 * k + 1, " ".join([*text.split()[:-1], "changed"]))] if k % 3 == 0 else [])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for crowd in (4, 10_000):
+        assert sorted({r.component_id for r in jaccard.near_duplicates(docs, 1, crowd).collect()}) == brute(rows)
 
 
 def test_a_doc_id_with_several_texts_loses_no_component(spark):
