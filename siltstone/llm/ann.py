@@ -1,12 +1,18 @@
 """Approximate nearest neighbours on robust-pruned directed graphs, one a shard.
 
 Every valid vector is indexed. Equal vectors are one node that carries its smallest ids (as many as an answer can
-hold), so that a vector repeated a million times costs one row. Nodes are dealt at random in shards of bounded size. A
-shard's graph grows in batches: greedy beam search from the medoid proposes neighbours, relaxed distance pruning keeps
-diverse ones (a candidate goes if a kept neighbour is ``alpha`` times nearer to it than the node is), and reverse edges
-are pruned alike. Finished shards are rows of a stored table. Queries are packed in blocks; each block meets each shard
-once and is answered by beam search, all its queries at a time, with scores in double precision on the original
-vectors. The best of all shards are merged by a ranked window.
+hold), so that a vector repeated a million times costs one row. Nodes are dealt to cells by the nearest of at most
+``most_cells`` centroids, fitted on a bounded sample, and a cell's nodes at random in shards of bounded size. A shard's
+graph grows in batches: greedy beam search from the medoid proposes neighbours, relaxed distance pruning keeps diverse
+ones (a candidate goes if a kept neighbour is ``alpha`` times nearer to it than the node is), and reverse edges are
+pruned alike. Finished shards are rows of a stored table.
+
+A query meets the shards of its nearest cells only. How many cells that takes is measured: a bounded sample of queries
+is answered by brute force over all nodes in one scan, and the smallest number of cells that holds ``coverage`` of those
+true neighbours is used. Vectors with structure need a few cells, however many there are; without any (random
+directions) the measure says so and more cells are searched, for no index could do with less. Queries of a cell are
+packed in blocks; each block is answered by beam search, all its queries at a time, with scores in double precision on
+the original vectors. The best of all shards are merged by a ranked window.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, neither do rows
 without an id; vectors only meet those of their own length. Rows with a query's id are its own: no answer names them,
@@ -22,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import table, written
+from ._shared import modest_batches, table, written
 
 
 def beam_search(x: np.ndarray, near: np.ndarray, start: int, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +128,14 @@ def _unit(v: np.ndarray) -> np.ndarray:
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Cosines of rows of original vectors, in double precision."""
     a, b = a.astype(np.float64), b.astype(np.float64)
-    return (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
+    with np.errstate(over="ignore", invalid="ignore", divide="ignore", under="ignore"):
+        sizes = (a * a).sum(1), (b * b).sum(1)
+        out = (a * b).sum(1) / (np.sqrt(sizes[0]) * np.sqrt(sizes[1]))
+    odd = ~np.isfinite(out) | (np.minimum(*sizes) < 1e-290) | (np.maximum(*sizes) > 1e290)  # squares beyond doubles: scale first
+    if odd.any():
+        x, y = (v[odd] / np.abs(v[odd]).max(1, keepdims=True) for v in (a, b))
+        out[odd] = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
+    return out
 
 
 def _matrix(column, dim: int) -> np.ndarray:
@@ -133,13 +146,13 @@ def _builder(degree: int, beam: int, alpha: float):
     def build(key, group):
         import pyarrow as pa
 
-        dim = key[0].as_py()
+        dim, cell, shard = (k.as_py() for k in key)
         ids = group.column("ids").to_pylist()
         order = sorted(range(len(ids)), key=ids.__getitem__)  # the same graph however the rows arrive
         vectors = _matrix(group.column("embedding"), dim)[order]
         near, start = build_graph(_unit(vectors), degree, beam, alpha)
         blob = pickle.dumps((vectors, [ids[i] for i in order], near.astype(np.int32), start), protocol=5)
-        return pa.table({"dim": pa.array([dim], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int64()), "graph": pa.array([blob], pa.binary())})
+        return pa.table({"dim": pa.array([dim], pa.int32()), "cell": pa.array([cell], pa.int32()), "shard": pa.array([shard], pa.int64()), "graph": pa.array([blob], pa.binary())})
 
     return build
 
@@ -178,26 +191,112 @@ def valid_vectors(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
     return rows.filter(~F.coalesce(bad, F.lit(True)) & F.exists(v, lambda c: c != 0)).withColumn("dim", F.size(v))
 
 
-def build_index(rows: DataFrame, k: int = 5, shard_rows: int = 4096, least_shards: int = 32, least_rows: int = 256, degree: int = 32, beam: int = 64, alpha: float = 1.2) -> tuple[DataFrame, int]:
-    """Stored table (dim, shard, graph) over valid rows, and the number of shards."""
-    ranked = rows.distinct().withColumn("r", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).filter(F.col("r") <= k + 1)
-    nodes = written(ranked.groupBy("embedding").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"), F.first("dim").alias("dim")), "nodes")
-    n = nodes.count()
-    shards = max(1, -(-n // shard_rows), min(least_shards, n // least_rows))
-    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("embedding"), F.lit(shards)))
-    return written(dealt.groupBy("dim", "shard").applyInArrow(_builder(degree, beam, alpha), "dim int, shard long, graph binary"), "index"), shards
+def fit_centroids(x: np.ndarray, cells: int, turns: int = 8, seed: int = 0) -> np.ndarray:
+    """Unit centroids of spherical k-means on unit vectors; fewer if there are fewer different vectors."""
+    x = np.unique(x, axis=0)
+    centroids = x[np.random.default_rng(seed).permutation(len(x))[:cells]]
+    for _ in range(turns if len(centroids) < len(x) else 0):
+        nearest = np.concatenate([(x[at : at + 4096] @ centroids.T).argmax(1) for at in range(0, len(x), 4096)])
+        sums = np.zeros_like(centroids)
+        np.add.at(sums, nearest, x)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        centroids = np.where(size > 1e-6, sums / np.maximum(size, 1e-6), centroids)
+    return centroids.astype(np.float32)
+
+
+def _cells_of(shared, most: int):
+    """Up to ``most`` cells of a vector, nearest first."""
+
+    @F.arrow_udf("array<int>")
+    def cells(vectors):
+        import pyarrow as pa
+
+        sizes, out = vectors.value_lengths().to_numpy(zero_copy_only=False), [None] * len(vectors)
+        flat, ends = np.asarray(vectors.flatten()), np.cumsum(sizes)
+        for dim in np.unique(sizes):
+            rows, centroids = np.flatnonzero(sizes == dim), shared.value.get(int(dim))
+            if centroids is None:
+                centroids = np.ones((1, int(dim)), np.float32)
+            near = _unit(np.stack([flat[ends[r] - dim : ends[r]] for r in rows])) @ centroids.T
+            for r, order in zip(rows, np.argsort(-near, axis=1, kind="stable")[:, :most], strict=True):
+                out[r] = order.tolist()
+        return pa.array(out, pa.list_(pa.int32()))
+
+    return cells
 
 
-def nearest(vectors: DataFrame, every: int = 50, k: int = 5, beam: int = 64, block: int = 1024, id_col: str = "vec_id", vector: str = "embedding", **index) -> DataFrame:
+def _by_dim(rows: DataFrame, most: int) -> dict[int, np.ndarray]:
+    """Unit vectors of the at most ``most`` rows with the smallest hashes, by their length."""
+    found = rows.orderBy(F.xxhash64("embedding")).limit(most).select("embedding").toArrow().column("embedding").to_pylist()
+    dims = {len(v) for v in found}
+    return {d: _unit(np.array([v for v in found if len(v) == d])) for d in dims}
+
+
+def _true_neighbours(asked: dict[int, np.ndarray], k: int):
+    """The k most similar nodes of each sample query within a batch: (dim, q, score, cell)."""
+
+    def scan(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            column, cell = batch.column(0), np.asarray(batch.column(1))
+            sizes, out = column.value_lengths().to_numpy(zero_copy_only=False), []
+            flat, ends = np.asarray(column.flatten()), np.cumsum(sizes)
+            for dim, queries in asked.items():
+                rows = np.flatnonzero(sizes == dim)
+                if not len(rows):
+                    continue
+                s = queries @ _unit(np.stack([flat[ends[r] - dim : ends[r]] for r in rows])).T
+                best = np.argsort(-s, axis=1, kind="stable")[:, : k + 1]
+                out += [(dim, q, float(s[q, c]), int(cell[rows[c]])) for q in range(len(queries)) for c in best[q]]
+            yield pa.record_batch([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.float32(), pa.int32()))], names=["dim", "q", "score", "cell"])
+
+    return scan
+
+
+def build_index(rows: DataFrame, k: int = 5, shard_rows: int = 4096, most_cells: int = 1024, sample: int = 32_768, degree: int = 32, beam: int = 64, alpha: float = 1.2) -> tuple[DataFrame, DataFrame, dict[int, np.ndarray]]:
+    """Stored tables (dim, cell, shard, graph) and (embedding, cell) over valid rows, and the centroids by dimension."""
+    ranked = rows.distinct().withColumn("r", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).filter(F.col("r") <= k + 1)
+    nodes = written(ranked.groupBy("embedding").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"), F.first("dim").alias("dim")), "nodes")
+    cells = max(1, min(most_cells, 2 * nodes.count() // shard_rows))
+    centroids = {d: fit_centroids(x, cells) for d, x in _by_dim(nodes, sample).items()}
+    shared = rows.sparkSession.sparkContext.broadcast(centroids)  # at most most_cells vectors a dimension
+    placed = written(nodes.withColumn("cell", _cells_of(shared, 1)(F.col("embedding"))[0]), "placed")
+    sizes = placed.groupBy("dim", "cell").agg(F.ceil(F.count("*") / shard_rows).cast("long").alias("shards"))  # a row a cell
+    dealt = placed.join(F.broadcast(sizes), ["dim", "cell"]).withColumn("shard", F.pmod(F.xxhash64("embedding"), F.col("shards"))).drop("shards")
+    graphs = dealt.groupBy("dim", "cell", "shard").applyInArrow(_builder(degree, beam, alpha), "dim int, cell int, shard long, graph binary")
+    return written(graphs, "index"), placed.select("embedding", "cell"), centroids
+
+
+def cells_needed(queries: DataFrame, placed: DataFrame, centroids: dict[int, np.ndarray], k: int, coverage: float, sample: int = 256) -> int:
+    """How many nearest cells hold ``coverage`` of the true neighbours of at most ``sample`` queries, by brute force."""
+    asked = _by_dim(queries, sample)
+    found = placed.mapInArrow(_true_neighbours(asked, k), "dim int, q int, score float, cell int")
+    rank = F.row_number().over(Window.partitionBy("dim", "q").orderBy(F.desc("score"), "cell"))
+    best = found.withColumn("r", rank).filter((F.col("r") > 1) & (F.col("r") <= k + 1)).collect()  # at most k a sample query; the first is itself
+    ranks = []
+    for dim, x in asked.items():
+        place = np.argsort(np.argsort(-(x @ centroids[dim].T), axis=1, kind="stable"), axis=1) if dim in centroids else np.zeros((len(x), 1), int)
+        ranks += [int(place[r.q, r.cell]) for r in best if r.dim == dim]
+    ranks.sort()
+    return ranks[min(len(ranks) - 1, int(np.ceil(coverage * len(ranks))) - 1)] + 1 if ranks else 1
+
+
+def nearest(vectors: DataFrame, every: int = 50, k: int = 5, beam: int = 64, block: int = 1024, coverage: float = 0.97, id_col: str = "vec_id", vector: str = "embedding", **index) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by ``every``."""
+    modest_batches(vectors.sparkSession, 2000)
     rows = valid_vectors(vectors, id_col, vector)
-    graphs, shards = build_index(rows, k, **index)
+    graphs, placed, centroids = build_index(rows, k, beam=beam, **index)
     queries = rows.filter(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), "embedding", "dim")
     queries = written(queries.distinct(), "queries")
-    blocks = max(1, -(-queries.count() // block))
-    packed = queries.groupBy("dim", F.pmod(F.xxhash64("query_id", "embedding"), F.lit(blocks)).alias("block"))
-    packed = packed.agg(F.collect_list(F.struct("query_id", "embedding")).alias("asked"))
-    met = packed.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).join(graphs, ["dim", "shard"])
+    cells = cells_needed(queries, placed, centroids, k, coverage)
+    shared = vectors.sparkSession.sparkContext.broadcast(centroids)
+    asked = written(queries.withColumn("cell", F.explode(_cells_of(shared, cells)(F.col("embedding")))), "asked")
+    sizes = asked.groupBy("dim", "cell").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))  # a row a cell
+    packed = asked.join(F.broadcast(sizes), ["dim", "cell"])
+    packed = packed.groupBy("dim", "cell", F.pmod(F.xxhash64("query_id", "embedding"), F.col("blocks")).alias("block"))
+    packed = packed.agg(F.collect_list(F.struct("query_id", "embedding")).alias("asked"))  # about ``block`` queries each
+    met = packed.join(graphs, ["dim", "cell"])
     found = met.select("graph", "asked").mapInArrow(_searcher(k, beam), "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
@@ -205,4 +304,5 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, beam: int = 64, blo
 
 
 def op8_nearest(spark, sf_dir: str) -> DataFrame:
+    """The five nearest of every vector whose id is divisible by 50."""
     return nearest(table(spark, sf_dir, "embeddings"))

@@ -1,17 +1,19 @@
 """License scans on DataFrame functions alone: sparse TF-IDF cosine to templates, then inheritance by path joins.
 
-Every line of a whole text that speaks of licences is compared with the templates: terms are weighted by TF-IDF over the
-templates, which are a fixed, small set, so their sparse vectors are literals in the expression and nothing is
-broadcast or shuffled to score. A file has the licence of its best line, if the cosine reaches ``threshold``.
+What a text says of licences is compared with the templates: every line that speaks of them, every block of lines
+(between blank lines, without comment signs, so that wrapped headers and licence files are read whole), and SPDX tags,
+which are taken as they are. Terms are weighted by TF-IDF over the templates, which are a fixed, small set, so their
+sparse vectors are literals in the expression and nothing is broadcast or shuffled to score. A file has the licence of
+its best line or block, if the cosine reaches ``threshold``. The texts are scanned once; what they say is stored.
 
-Files that are a licence (by name, or because licence lines make up more than half of their words) speak for their
+Files that are a licence (by name, or because what they say of licences makes up more than half of their words) speak for their
 directory. All others without a licence of their own inherit from the nearest ancestor directory: distinct directories
 are exploded to their ancestors and joined by path, so a directory with a third of all files counts once; only then
 do files join their directory.
 
 Defined results: null and empty texts have no licence of their own, but may inherit. A null path neither gives nor
 inherits. Of several licence files in a directory the best score counts, then the smaller path. Repeated rows are each
-judged, extra columns stay, an empty table gives an empty result.
+judged, extra columns stay (but results take the place of columns of their names), an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,40 +25,71 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import table
+from ._shared import private, table, with_results, written
 
-#: Short notices by SPDX identifier.
-TEMPLATES = (
+#: Short notices, titles and headers by SPDX identifier.
+_NOTICES = (
     ("MIT", "Released under the MIT License."),
-    ("MIT", "SPDX-License-Identifier: MIT"),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
+    ("MIT", "MIT License"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
-    ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND"),
-    ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-only"),
-    ("GPL-2.0-only", "This program is licensed under the GNU General Public License, version 2."),
-    ("GPL-2.0-only", "SPDX-License-Identifier: GPL-2.0-only"),
-    ("LGPL-3.0-only", "This library is licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0-only", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
+    ("BSD-2-Clause", "Simplified BSD License"),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
-    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights under CC0 1.0 Universal."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("ISC", "ISC License"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
 )
+#: The licences of one family, their versions, and the dates in the titles.
+_FAMILY = (
+    ("GPL", "General Public License", "program", "1.0", (("2", "2.0", "June 1991"), ("3", "3.0", "29 June 2007"))),
+    ("LGPL", "Lesser General Public License", "library", "2.0", (("2.1", "2.1", "February 1999"), ("3", "3.0", "29 June 2007"))),
+    ("AGPL", "Affero General Public License", "program", "1.0", (("3", "3.0", "19 November 2007"),)),
+)
+
+
+def _family():
+    """Notices, titles and headers of the family, by version; without a version any of them may be chosen."""
+    for short, name, work, oldest, versions in _FAMILY:
+        for text in (f"GNU {name}", f"This {work} is licensed under the GNU {name}."):
+            yield f"{short}-{oldest}-or-later", text
+        for said, version, date in versions:
+            header = f"This {work} is free software: you can redistribute it and/or modify it under the terms of"
+            yield f"{short}-{version}-only", f"This work is licensed under the GNU {name}, version {said}."
+            yield f"{short}-{version}-only", f"GNU {name} Version {said}, {date}"
+            yield f"{short}-{version}-only", f"{header} version {said} of the GNU {name} as published by the Free Software Foundation."
+            yield f"{short}-{version}-only", f"{header} the GNU {name} as published by the Free Software Foundation, version {said}."
+            yield f"{short}-{version}-or-later", f"This work is licensed under the GNU {name}, version {said} or any later version."
+            yield f"{short}-{version}-or-later", f"{header} the GNU {name} as published by the Free Software Foundation, either version {said} of the License, or (at your option) any later version."
+
+
+TEMPLATES = (*_NOTICES, *_family())
 
 TERM = "[a-z0-9]+"
 _SPEAKS = "licen[cs]e|spdx|copyright|permission is hereby|permission to use|redistribution and use|public domain|warranties or conditions"
 LINE = f"(?imd)^.*(?:{_SPEAKS}).*$"
 FILE_NAME = r"(?i)^(un)?licen[cs]e([.-].*)?$|^copying([.-].*)?$|^notice(\..*)?$"
+#: A tag, and the identifiers whose bare version was given up.
+SPDX = r"(?i)SPDX(?:-License-Identifier)?:[ \t]*\(?([a-z0-9.+-]*[a-z0-9+](?:[ \t]+(?:AND|OR|WITH)[ \t]+[a-z0-9.+-]*[a-z0-9+])*)"
+BARE = r"\b((?:L|A)?GPL-[0-9][0-9.]*[0-9])"
+COMMENT = r"^[ \t]*(?:/[/*]+|\*+/?|#+|;+|--+|<!--|%+|REM )?[ \t]*"
+BLANK = r"\n[ \t\r]*(?:\n[ \t\r]*)+"
+#: Numbers tell versions apart, so they weigh more than words.
+NUMBERS = 2.0
 THRESHOLD = 0.6
 
 
@@ -64,7 +97,7 @@ def weights(templates=TEMPLATES) -> tuple[dict[str, float], list[tuple[str, dict
     """Inverse document frequency of each term, and each template's unit vector."""
     terms = [Counter(re.findall(TERM, text.lower())) for _, text in templates]
     df = Counter(t for c in terms for t in c)
-    idf = {t: math.log((1 + len(terms)) / (1 + n)) + 1 for t, n in df.items()}
+    idf = {t: (math.log((1 + len(terms)) / (1 + n)) + 1) * (NUMBERS if t.isdigit() else 1) for t, n in df.items()}
     vectors = []
     for (name, _), counts in zip(templates, terms, strict=True):
         vector = {t: n * idf[t] for t, n in counts.items()}
@@ -86,9 +119,20 @@ def best_template(line: Column, templates=TEMPLATES) -> Column:
     idf, vectors = weights(templates)
     unknown = math.log(1 + len(templates)) + 1  # of a term that no template has
     terms = F.regexp_extract_all(F.lower(line), F.lit(TERM), F.lit(0))
-    counted = F.transform(F.array_distinct(terms), lambda t: F.struct(t.alias("t"), F.size(F.filter(terms, lambda u: u == t)).cast("double").alias("n")))
     idf_map = _literal_map(idf)
-    weighed = F.transform(counted, lambda x: F.struct(x["t"].alias("t"), (x["n"] * F.coalesce(F.try_element_at(idf_map, x["t"]), F.lit(unknown))).alias("w")))
+
+    def counted(sorted_, ends):
+        """From sorted terms and the place of the last of each: its weight."""
+        n = lambda e, k: (e - F.when(k > 0, F.try_element_at(ends, k)).otherwise(0)).cast("double")
+        return F.transform(ends, lambda e, k: F.struct(F.element_at(sorted_, e).alias("t"), (n(e, k) * F.coalesce(F.try_element_at(idf_map, F.element_at(sorted_, e)), F.lit(unknown))).alias("w")))
+
+    def ends(sorted_):
+        return F.filter(F.when(F.size(sorted_) > 0, F.sequence(F.lit(1), F.size(sorted_))).otherwise(F.expr("cast(array() as array<int>)")), lambda i: (i == F.size(sorted_)) | (F.element_at(sorted_, i) != F.try_element_at(sorted_, i + 1)))
+
+    def bound(x, f):
+        """f of a column that is made once."""
+        return F.element_at(F.transform(F.array(x), f), 1)
+
 
     def scored(ws):
         norm = F.sqrt(F.aggregate(ws, F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
@@ -98,21 +142,34 @@ def best_template(line: Column, templates=TEMPLATES) -> Column:
             scores.append(F.struct(F.when(norm > 0, F.round(dot / norm, 6)).otherwise(0.0).alias("score"), F.lit(name).alias("license")))
         return F.array_max(F.array(*scores))
 
-    return F.element_at(F.transform(F.array(weighed), scored), 1)  # through a lambda, so that the weights are made once
+    return bound(F.array_sort(terms), lambda s: bound(ends(s), lambda e: bound(counted(s, e), scored)))
+
+
+def tag_of(line: Column) -> Column:
+    """The expression of an SPDX tag, in the present identifiers; empty without."""
+    said = F.regexp_extract(line, SPDX, 1)
+    return F.regexp_replace(F.regexp_replace(said, BARE + r"\+", "$1-or-later"), BARE + r"(?!-|\.)(?=$|\s)", "$1-only")
 
 
 def scan(files: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``files`` with ``own``: struct of license, score, line (the best line), share (of the words, in licence lines); null without."""
+    """``files`` with ``own``: struct of license, score, line (the best line or block), share (of the words, in what speaks of licences); null without."""
     source = F.col(text)
     lines = F.regexp_extract_all(source, F.lit(LINE), F.lit(0))
-    judged = F.transform(lines, lambda x: F.struct(best_template(x).alias("best"), x.alias("line")))
-    good = F.filter(judged, lambda x: x["best"]["score"] >= threshold)
+    blocks = F.filter(F.split(F.regexp_replace(source, f"(?md){COMMENT}", F.lit("")), BLANK), lambda b: b.contains("\n") & b.rlike(f"(?i){_SPEAKS}"))
     words = lambda c: F.size(F.regexp_extract_all(c, F.lit(r"\S+"), F.lit(0)))
-    spoken = F.aggregate("_good", F.lit(0), lambda n, x: n + words(x["line"]))
-    best = F.array_max("_good")
-    own = F.struct(best["best"]["license"].alias("license"), best["best"]["score"].alias("score"), best["line"].alias("line"), (spoken / F.greatest(words(source), F.lit(1))).alias("share"))
-    out = files.withColumn("_good", F.when(source.rlike(f"(?i){_SPEAKS}"), good))
-    return out.withColumn("own", F.when(F.size("_good") > 0, own)).drop("_good")
+
+    def judged(units):
+        of = F.transform(units, lambda x: F.struct(F.when(tag_of(x) != "", F.struct(F.lit(1.0).alias("score"), tag_of(x).alias("license"))).otherwise(best_template(x)).alias("best"), x.alias("line")))
+        return F.filter(of, lambda x: x["best"]["score"] >= threshold)
+
+    good, own_lines, own_blocks = private(files, "good", "lines", "blocks")
+    spoken = [F.aggregate(c, F.lit(0), lambda n, x: n + words(x["line"])) for c in (own_lines, own_blocks)]
+    best = F.array_max(good)
+    own = F.struct(best["best"]["license"].alias("license"), best["best"]["score"].alias("score"), best["line"].alias("line"), (F.greatest(*spoken) / F.greatest(words(source), F.lit(1))).alias("share"))
+    speaks = source.rlike(f"(?i){_SPEAKS}")
+    out = files.withColumns({own_lines: F.when(speaks, judged(lines)), own_blocks: F.when(speaks, judged(blocks))})
+    out = out.withColumn(good, F.concat(own_lines, own_blocks))
+    return out.select(with_results(out, files.columns, {"own": F.when(F.size(good) > 0, own)}))
 
 
 def directory(path: Column) -> Column:
@@ -128,29 +185,30 @@ def ancestors(folder: Column) -> Column:
 
 
 def inherit(scanned: DataFrame, path: str = "path") -> DataFrame:
-    """Adds license, license_from (own, inherited or none) and license_dir to the result of ``scan``."""
+    """Adds license, license_from (own, inherited or none) and license_dir to the result of ``scan``, which should be stored."""
     names = scanned.columns
-    files = scanned.withColumn("_dir", directory(F.col(path)))
+    dir_, up, license_, far = private(scanned, "dir", "up", "license", "far")
+    files = scanned.withColumn(dir_, directory(F.col(path)))
     speaks = F.col("own").isNotNull() & (F.element_at(F.split(path, "/"), -1).rlike(FILE_NAME) | (F.col("own.share") > 0.5))
     order = F.struct(-F.col("own.score"), F.col(path))
-    given = files.filter(speaks & F.col("_dir").isNotNull()).groupBy(F.col("_dir").alias("_up")).agg(F.min_by("own.license", order).alias("_license"))
-    folders = files.filter(F.col("own").isNull() & F.col("_dir").isNotNull()).select("_dir").distinct()
-    lifted = folders.select("_dir", F.posexplode(ancestors(F.col("_dir"))).alias("_far", "_up")).join(given, "_up")
-    nearest = lifted.groupBy("_dir").agg(F.min_by("_license", "_far").alias("_license"), F.min_by("_up", "_far").alias("_up"))
-    out = files.join(nearest, "_dir", "left")
+    given = files.filter(speaks & F.col(dir_).isNotNull()).groupBy(F.col(dir_).alias(up)).agg(F.min_by("own.license", order).alias(license_))
+    folders = files.filter(F.col("own").isNull() & F.col(dir_).isNotNull()).select(dir_).distinct()
+    lifted = folders.select(dir_, F.posexplode(ancestors(F.col(dir_))).alias(far, up)).join(given, up)
+    nearest = lifted.groupBy(dir_).agg(F.min_by(license_, far).alias(license_), F.min_by(up, far).alias(up))
+    out = files.join(nearest, dir_, "left")
     alone = F.col("own").isNotNull()
-    return out.select(
-        *names,
-        F.when(alone, F.col("own.license")).otherwise(F.col("_license")).alias("license"),
-        F.when(alone, "own").when(F.col("_license").isNotNull(), "inherited").otherwise("none").alias("license_from"),
-        F.when(alone, F.lit(None)).otherwise(F.col("_up")).alias("license_dir"),
-    )
+    results = {
+        "license": F.when(alone, F.col("own.license")).otherwise(F.col(license_)),
+        "license_from": F.when(alone, "own").when(F.col(license_).isNotNull(), "inherited").otherwise("none"),
+        "license_dir": F.when(alone, F.lit(None)).otherwise(F.col(up)),
+    }
+    return out.select(with_results(out, names, results))
 
 
 def op3_licenses(spark, sf_dir: str) -> DataFrame:
     """``documents`` as files source/lang/doc_id: licence of each, with the line and score of its own notice."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text")
-    found = inherit(scan(docs).drop("text"))
+    found = inherit(written(scan(docs).drop("text"), "licenses"))
     return found.select("doc_id", "path", "license", "license_from", "license_dir", F.round("own.score", 4).alias("score"), F.col("own.line").alias("line"))
 
 
@@ -161,13 +219,16 @@ def _sql() -> str:
     return rf"""
 WITH idf(t, v) AS (VALUES {term_rows}), template(k, license, t, v) AS (VALUES {template_rows}),
 doc AS (SELECT row_number() OVER () AS r, doc_id, text, source || '/' || lang AS dir, source || '/' || lang || '/' || CAST(doc_id AS VARCHAR) AS path FROM documents),
-line AS (SELECT r, i, line FROM (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM doc WHERE regexp_matches(text, '{_SPEAKS}', 'i')) WHERE regexp_matches(line, '{_SPEAKS}', 'i')),
-term AS (SELECT r, i, t, count(*) AS n FROM (SELECT r, i, unnest(regexp_extract_all(lower(line), '{TERM}')) AS t FROM line) GROUP BY r, i, t),
-weighed AS (SELECT r, i, t, n * coalesce(v, {math.log(1 + len(vectors)) + 1!r}) AS w FROM term LEFT JOIN idf USING (t)),
-norm AS (SELECT r, i, sqrt(sum(w * w)) AS norm FROM weighed GROUP BY r, i),
-scored AS (SELECT r, i, k, license, round(sum(w * v) / any_value(norm), 6) AS score FROM weighed JOIN template USING (t) JOIN norm USING (r, i) GROUP BY r, i, k, license),
-best AS (SELECT r, i, line, max(struct_pack(score := score, license := license)) AS b FROM scored JOIN line USING (r, i) GROUP BY r, i, line HAVING max(score) >= {THRESHOLD}),
-own AS (SELECT r, max(struct_pack(score := b.score, license := b.license, line := line)) AS o, sum(len(regexp_extract_all(line, '\S+'))) AS spoken FROM best GROUP BY r),
+line AS (SELECT r, 0 AS kind, i, line FROM (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM doc WHERE regexp_matches(text, '{_SPEAKS}', 'i')) WHERE regexp_matches(line, '{_SPEAKS}', 'i')
+  UNION ALL SELECT r, 1, i, line FROM (SELECT r, unnest(b) AS line, generate_subscripts(b, 1) AS i FROM (SELECT r, string_split_regex(regexp_replace(text, '(?m){COMMENT}', '', 'g'), '{BLANK}') AS b FROM doc WHERE regexp_matches(text, '{_SPEAKS}', 'i'))) WHERE contains(line, chr(10)) AND regexp_matches(line, '{_SPEAKS}', 'i')),
+term AS (SELECT r, kind, i, t, count(*) AS n FROM (SELECT r, kind, i, unnest(regexp_extract_all(lower(line), '{TERM}')) AS t FROM line) GROUP BY ALL),
+weighed AS (SELECT r, kind, i, t, n * coalesce(v, {math.log(1 + len(vectors)) + 1!r}) AS w FROM term LEFT JOIN idf USING (t)),
+norm AS (SELECT r, kind, i, sqrt(sum(w * w)) AS norm FROM weighed GROUP BY ALL),
+scored AS (SELECT r, kind, i, k, license, round(sum(w * v) / any_value(norm), 6) AS score FROM weighed JOIN template USING (t) JOIN norm USING (r, kind, i) GROUP BY ALL),
+tag AS (SELECT r, kind, i, regexp_replace(regexp_replace(regexp_extract(line, '{SPDX}', 1), '{BARE}\+', '\1-or-later', 'g'), '{BARE}($|\s)', '\1-only\2', 'g') AS tag FROM line),
+best AS (SELECT r, kind, line, CASE WHEN tag <> '' THEN struct_pack(score := 1.0::DOUBLE, license := tag) ELSE b END AS b
+  FROM line JOIN tag USING (r, kind, i) LEFT JOIN (SELECT r, kind, i, max(struct_pack(score := score, license := license)) AS b FROM scored GROUP BY ALL) USING (r, kind, i) WHERE tag <> '' OR b.score >= {THRESHOLD}),
+own AS (SELECT r, max(struct_pack(score := b.score, license := b.license, line := line)) AS o, greatest(sum(CASE kind WHEN 0 THEN len(regexp_extract_all(line, '\S+')) ELSE 0 END), sum(CASE kind WHEN 1 THEN len(regexp_extract_all(line, '\S+')) ELSE 0 END)) AS spoken FROM best GROUP BY r),
 file AS (SELECT doc.*, o, spoken / greatest(len(regexp_extract_all(text, '\S+')), 1) AS share FROM doc LEFT JOIN own USING (r)),
 given AS (SELECT dir, arg_min(o.license, struct_pack(s := -o.score, p := path)) AS license FROM file WHERE o IS NOT NULL AND share > 0.5 GROUP BY dir),
 up AS (SELECT dir, dir AS up, 0 AS far FROM (SELECT DISTINCT dir FROM file) UNION ALL SELECT dir, split_part(dir, '/', 1), 1 FROM (SELECT DISTINCT dir FROM file) UNION ALL SELECT dir, '', 2 FROM (SELECT DISTINCT dir FROM file)),

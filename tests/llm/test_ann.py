@@ -18,10 +18,10 @@ def recall(got, want):
     return sum(len({r.vec_id for r in got if r.query_id == q} & {i for _, i in best}) for q, best in want.items()) / sum(map(len, want.values()))
 
 
-@pytest.mark.parametrize("shards", [32, 1])
-def test_recall_against_brute_force(spark, sf, shards):
+@pytest.mark.parametrize("shard_rows", [64, 4096])
+def test_recall_against_brute_force(spark, sf, shard_rows):
     table = spark.read.parquet(f"{sf}/embeddings.parquet")
-    got = ann.nearest(table, every=5, least_shards=shards).collect()
+    got = ann.nearest(table, every=5, shard_rows=shard_rows).collect()
     want = brute([(r.vec_id, list(r.embedding)) for r in table.collect()], 5)
     assert recall(got, want) >= 0.97
     for q, best in want.items():
@@ -51,3 +51,22 @@ def test_odd_rows(spark):
     got = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in ann.nearest(df).collect())
     assert got == [(0, k, k, 1.0) for k in range(1, 6)] + [(300, 1, 7, round(3 / np.sqrt(10), 9))]
     assert ann.nearest(df.limit(0)).count() == 0
+
+
+def test_structure_needs_few_cells(spark):
+    rng = np.random.default_rng(0)
+    centres = rng.normal(size=(64, 24))
+    x = centres[rng.integers(0, 64, 6000)] + 0.15 * rng.normal(size=(6000, 24))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").cache()
+    rows = ann.valid_vectors(df, "vec_id", "embedding")
+    graphs, placed, centroids = ann.build_index(rows, shard_rows=200)
+    assert len(centroids[24]) == 60 and graphs.count() >= 30
+    queries = rows.filter("vec_id % 50 = 0")
+    assert ann.cells_needed(queries, placed, centroids, 5, 0.97) <= 6
+    want = brute(list(enumerate(x.tolist())))
+    assert recall(ann.nearest(df, shard_rows=200).collect(), want) >= 0.95
+
+
+def test_cosine_of_huge_and_tiny_vectors():
+    a, b = np.array([[1e200, 2e200], [1e-200, 0], [3.0, 4.0]]), np.array([[2e200, 1e200], [1e-200, 1e-200], [4.0, 3.0]])
+    assert np.allclose(ann.cosine(a, b), [0.8, np.sqrt(0.5), 0.96])

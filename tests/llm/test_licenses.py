@@ -27,6 +27,40 @@ def test_templates_find_themselves(spark):
     assert [n for _, n in got[: len(licenses.TEMPLATES)]] == [n for n, _ in licenses.TEMPLATES] and got[-3][0] < licenses.THRESHOLD
 
 
+GPL_HEADER = """/*
+ * This program is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU General Public License
+ * as published by the Free Software Foundation; either version 2
+ * of the License, or (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty.
+ */
+int main() { return 0; }
+"""
+
+
+def test_headers_files_and_tags(spark):
+    cases = [
+        ("GNU GENERAL PUBLIC LICENSE", "GPL-1.0-or-later"), ("GNU GENERAL PUBLIC LICENSE\n   Version 2, June 1991\n\nEveryone is permitted", "GPL-2.0-only"),
+        ("GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999", "LGPL-2.1-only"), ("# SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0-or-later"), ("// SPDX-License-Identifier: GPL-2.0", "GPL-2.0-only"),
+        ("// SPDX-License-Identifier: LGPL-2.1+", "LGPL-2.1-or-later"), ("SPDX-License-Identifier: MPL-2.0", "MPL-2.0"), ("SPDX-License-Identifier: BSD-2-Clause", "BSD-2-Clause"), ("SPDX: ISC", "ISC"),
+        ("SPDX-License-Identifier: (MIT OR Apache-2.0)", "MIT OR Apache-2.0"), ("Mozilla Public License Version 2.0\n\n1. Definitions", "MPL-2.0"), (GPL_HEADER, "GPL-2.0-or-later"),
+        ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0-only"), ("This work is licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0-only"),
+        ("my driving license came today\nand the dog barked", None),
+    ]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "k long, text string")
+    got = {r.k: r.own and r.own.license for r in licenses.scan(df).collect()}
+    assert [got[k] for k in range(len(cases))] == [w for _, w in cases]
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([("a/LICENSE", MIT, 1, 2, 3, "x"), ("a/b", "code", 1, 2, 3, "x")], "path string, text string, _dir int, _up int, _good int, license string")
+    got = licenses.inherit(licenses.scan(df))
+    assert got.columns == ["path", "text", "_dir", "_up", "_good", "own", "license", "license_from", "license_dir"]
+    assert {(r.path, r._dir, r.license) for r in got.collect()} == {("a/LICENSE", 1, "MIT"), ("a/b", 1, "MIT")}
+
+
 def test_inheritance(spark):
     code = "x = 1\n" * 50
     rows = [("LICENSE", "Licensed under the Apache License, Version 2.0."), ("a/b/COPYING", "This work is licensed under the GNU General Public License, version 3."), ("a/b/c/x.py", code), ("a/x.py", code), ("a/b/y.py", code + MIT), ("z/only", MIT), ("z/q/w.py", None), ("top.py", ""), (None, code), (None, MIT), ("a/x.py", code)]
@@ -44,9 +78,20 @@ def test_long_texts(spark):
     assert row.own.license == "MIT" and row.own.line == MIT
 
 
+def test_sql_on_headers_and_tags(spark, tmp_path):
+    texts = [GPL_HEADER, "# SPDX-License-Identifier: GPL-2.0+ \n\ncode", "GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007\n\nmore", "; a\n;\n; license\n\n\n x license y\nz", "SPDX: (GPL-2.0 OR MIT)", None, ""]
+    docs = [(k, t, "en", f"s{k % 3}") for k, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    compare(spark, str(tmp_path), f"{tmp_path}/documents.parquet/*.parquet")
+
+
 def test_query_against_sql(spark, sf01):
+    compare(spark, sf01, f"{sf01}/documents.parquet")
+
+
+def compare(spark, sf01, files):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf01}/documents.parquet'")
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{files}'")
     frame = licenses.op3_licenses(spark, sf01)
     cur = con.execute(licenses.OP3_SQL)
     names = [d[0] for d in cur.description]
