@@ -2,18 +2,22 @@
 
 E-mail addresses, phone, card and identity numbers, IPv4 addresses and names after a title are replaced by keyed
 surrogates of the same type and format: letters become letters of the same case, digits digits; country codes, top-level
-domains, an issuer's digit, valid check digits and octet lengths stay; names keep gender, script and capitals. A
-surrogate depends only on the key, the type and the entity itself (its digits, its lower-case form), so mentions of one
+domains, an issuer's digit, the validity of check digits and octet lengths stay; names keep gender, script and capitals.
+A surrogate depends only on the key, the type and the entity itself (its digits, its lower-case form), so mentions of one
 entity agree across documents and formats, a surname alone agrees with the full name, and addresses of one domain share
 the new domain.
 
-Distinctness is checked over all entities at once: entities are merged first (partial aggregation), and where two
-surrogates coincide, or one equals a real entity, the later one is drawn again until none do. Only those exceptions,
-normally none or very few, are joined to the texts that hold them; all other texts are rewritten in one pass without a
-shuffle.
+Numbers, addresses and domains are permuted: a keyed Feistel network over the digits, letters or octets that may change,
+run forward, shifted by one step and run backward again. That is one-to-one within a format, so two entities never share
+a surrogate, however crowded the format is, and no entity is its own surrogate; nothing has to be looked up. (A surrogate
+may equal another real entity of the same format; in a crowded format it must.) Names are drawn from lists, and here
+distinctness is checked over all names at once: they are merged first (partial aggregation), and where two surrogates
+coincide, or one equals a real name, the later one is drawn again, longer each time, until none do. Only texts that hold
+such a name are joined to them; all others are rewritten in one pass without a shuffle.
 
 Defined results: null text stays null with no entities, empty text stays empty. Repeated rows get the same text; extra
-columns stay, an empty table gives an empty result.
+columns stay (but the number of entities takes the place of a column of its name), an empty table gives an empty result.
+An address without a letter or digit before the @ keeps that part. The key is required.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import table, written
+from ._shared import met, private, table, with_results, written
 
 #: Titles by gender.
 MALE = "Mr|Herrn|Herr|Monsieur|Señor|Don|Sir|г-н|κύριος"
@@ -52,6 +56,11 @@ SYLLABLES = {
 }
 
 _DIGITS = "[^0-9]"
+#: Country calling codes; all that are not of one or two digits have three.
+COUNTRY = "1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
+#: Key of the query on the synthetic tables; a session sets its own as spark.siltstone.pii.key.
+SAMPLE_KEY = "key of the synthetic tables"
+ROUNDS = 4
 
 
 def _number(stream: Column, i: Column) -> Column:
@@ -67,57 +76,111 @@ def _chars(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
 
 
-def _redrawn(text: Column, stream: Column) -> Column:
-    """Letters and ASCII digits drawn again, one by one."""
+def _bound(x: Column, f) -> Column:
+    """f of a column that is made once."""
+    return F.element_at(F.transform(F.array(x), f), 1)
 
-    def one(c, i):
-        n = _number(stream, i)
-        small = F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), F.pmod(n, F.lit(26)) + 1, F.lit(1))
-        return F.when(c.rlike("[0-9]"), F.pmod(n, F.lit(10)).cast("string")).when(c.rlike("[a-z]"), small).when(c.rlike("[A-Z]"), F.upper(small)).otherwise(c)
 
-    return F.array_join(F.transform(_chars(text), one), "")
+def permuted(values: Column, sizes: Column, secret: Column) -> Column:
+    """A keyed one-to-one map, without fixed points, of lists of numbers below ``sizes``; those of size 1 stay.
+
+    Each round adds to one half, place by place, what a digest of the other half says. After ROUNDS rounds the first
+    place that can change is shifted, and the rounds are undone.
+    """
+    half = F.ceil(F.size(values) / 2).cast("int")
+
+    def step(now, r):
+        k = F.when(r <= ROUNDS, r).otherwise(2 * ROUNDS + 2 - r)
+        sign = F.when(r <= ROUNDS, 1).otherwise(-1)
+        left = k % 2 == 1
+        other = F.when(left, F.slice(now, half + 1, F.size(now))).otherwise(F.slice(now, F.lit(1), half))
+        stream = F.sha2(F.concat_ws("\x1f", secret, k.cast("string"), F.array_join(other.cast("array<string>"), ",")), 512)
+        added = _bound(stream, lambda s: F.transform(now, lambda v, i: F.when((i < half) == left, F.pmod(v + sign * _number(s, i), F.element_at(sizes, i + 1))).otherwise(v)))
+        first = F.array_position(F.transform(sizes, lambda n: n > 1), True)
+        shifted = F.transform(now, lambda v, i: F.when(i + 1 == first, F.pmod(v + 1, F.element_at(sizes, i + 1))).otherwise(v))
+        return F.when(r == ROUNDS + 1, shifted).otherwise(added)
+
+    return F.when(F.size(values) > 0, F.aggregate(F.sequence(F.lit(1), F.lit(2 * ROUNDS + 1)), values.cast("array<int>"), step)).otherwise(values.cast("array<int>"))
+
 
+def _permuted_text(text: Column, secret: Column) -> Column:
+    """A lower-case text with its ASCII letters and digits permuted."""
+    chars = _chars(text)
+    sizes = F.transform(chars, lambda c: F.when(c.rlike("[a-z]"), 26).when(c.rlike("[0-9]"), 10).otherwise(1))
+    values = F.transform(chars, lambda c: F.when(c.rlike("[a-z]"), F.ascii(c) - 97).when(c.rlike("[0-9]"), F.ascii(c) - 48).otherwise(0))
+    new = permuted(values, sizes, secret)
+    shown = lambda v, c: F.when(c.rlike("[a-z]"), F.char(v + 97)).when(c.rlike("[0-9]"), v.cast("string")).otherwise(c)
+    return F.array_join(F.zip_with(new, chars, shown), "")
 
-def _numbers(text: Column, stream: Column, keep: Column) -> Column:
-    """Digits drawn again by their place among the digits, so that all formats of a number agree; the first ``keep`` stay."""
+
+def _permuted_digits(digits: Column, secret: Column, leading: bool = False) -> Column:
+    """Digits permuted; with ``leading`` a first digit of 2 to 9 stays one, as does one below."""
+    chars = F.transform(_chars(digits), lambda c: c.cast("int"))
+    low = lambda v, i: F.when((i == 0) & (v > 1) & F.lit(leading), 2).otherwise(0)
+    sizes = F.transform(chars, lambda v, i: F.when((i == 0) & F.lit(leading), F.when(v > 1, 8).otherwise(2)).otherwise(10))
+    new = permuted(F.transform(chars, lambda v, i: v - low(v, i)), sizes, secret)
+    return F.array_join(F.zip_with(new, F.transform(chars, low), lambda v, n: (v + n).cast("string")), "")
+
+
+def _filled(text: Column, digits: Column) -> Column:
+    """``text`` with its digits replaced by ``digits``, in order."""
 
     def one(c, i):
         place = F.length(F.regexp_replace(F.substring(text, F.lit(1), i), _DIGITS, F.lit("")))
-        n = _number(stream, place)
-        drawn = F.when(place == keep, F.pmod(n, F.lit(8)) + 2).otherwise(F.pmod(n, F.lit(10)))
-        return F.when(c.rlike("[0-9]") & (place >= keep), drawn.cast("string")).otherwise(c)
+        return F.when(c.rlike("[0-9]"), F.substring(digits, place + 1, F.lit(1))).otherwise(c)
 
     return F.array_join(F.transform(_chars(text), one), "")
 
 
+def _cased(text: Column, model: Column) -> Column:
+    """``text`` with the capitals of ``model``, which is as long."""
+    return F.array_join(F.zip_with(_chars(text), _chars(model), lambda c, m: F.when(m.rlike("[A-Z]"), F.upper(c)).otherwise(c)), "")
+
+
+def _secret(key: str, *parts) -> Column:
+    return F.concat_ws("\x1f", F.lit(key), *parts)
+
+
 def _luhn(digits: Column) -> Column:
     """Luhn sum of a string of digits, modulo 10."""
     backwards = F.transform(_chars(F.reverse(digits)), lambda c, i: F.when(i % 2 == 0, c.cast("int")).otherwise((c.cast("int") * 2) % 10 + F.floor(c.cast("int") / 5).cast("int")))
     return F.aggregate(backwards, F.lit(0), lambda a, x: a + x) % 10
 
 
-def _card(text: Column, stream: Column) -> Column:
-    drawn = _numbers(text, stream, F.lit(1))
-    open_ = F.concat(F.substring(drawn, F.lit(1), F.length(drawn) - 1), F.lit("0"))
-    check = F.pmod(10 - _luhn(F.regexp_replace(open_, _DIGITS, F.lit(""))), F.lit(10))
-    valid = _luhn(F.regexp_replace(text, _DIGITS, F.lit(""))) == 0
-    return F.when(valid, F.concat(F.substring(drawn, F.lit(1), F.length(drawn) - 1), check.cast("string"))).otherwise(drawn)
+def _check_digit(digits: Column) -> Column:
+    """The digit that makes all but the last of ``digits`` valid with it."""
+    return F.pmod(10 - _luhn(F.concat(F.substring(digits, F.lit(1), F.length(digits) - 1), F.lit("0"))), F.lit(10))
+
+
+def _card(digits: Column, key: str) -> Column:
+    """The issuer's digit and the distance from the valid check digit stay."""
+    off = F.pmod(F.right(digits, F.lit(1)).cast("int") - _check_digit(digits), F.lit(10))
+    middle = _permuted_digits(F.substring(digits, F.lit(2), F.length(digits) - 2), _secret(key, F.lit("card")))
+    new = F.concat(F.left(digits, F.lit(1)), middle)
+    return _bound(new, lambda n: F.concat(n, F.pmod(_check_digit(F.concat(n, F.lit("0"))) + off, F.lit(10)).cast("string")))
+
 
+def _phone(digits: Column, plus: Column, key: str) -> Column:
+    """A country code, told by the fixed table and so alike in all formats, stays."""
+    code = F.when(plus, F.regexp_extract(digits, f"^(?:{COUNTRY})", 0)).otherwise(F.lit(""))
+    return F.concat(code, _permuted_digits(F.substring(digits, F.length(code) + 1, F.length(digits)), _secret(key, F.lit("phone"), plus.cast("string"), code), leading=True))
 
-def _ip(text: Column, stream: Column) -> Column:
-    def octet(o, i):
-        n = _number(stream, i)
-        return F.when(F.length(o) == 1, F.pmod(n, F.lit(10))).when(F.length(o) == 2, F.pmod(n, F.lit(90)) + 10).otherwise(F.pmod(n, F.lit(156)) + 100).cast("string")
 
-    return F.array_join(F.transform(F.split(text, "\\."), octet), ".")
+def _ip(text: Column, key: str) -> Column:
+    octets = F.split(text, "\\.")
+    low = F.transform(octets, lambda o: F.when(F.length(o) == 1, 0).when(F.length(o) == 2, 10).otherwise(100))
+    sizes = F.transform(octets, lambda o: F.when(F.length(o) == 1, 10).when(F.length(o) == 2, 90).otherwise(156))
+    new = permuted(F.zip_with(octets, low, lambda o, n: o.cast("int") - n), sizes, _secret(key, F.lit("ip")))
+    return F.array_join(F.zip_with(new, low, lambda v, n: (v + n).cast("string")), ".")
 
 
-def _email(text: Column, stream: Column, key: str, attempt: Column) -> Column:
-    domain = F.substring_index(text, "@", -1)
+def _email(text: Column, key: str) -> Column:
+    local, domain = F.substring_index(text, "@", 1), F.substring_index(text, "@", -1)
     top = F.substring_index(domain, ".", -1)
     middle = F.substring(domain, F.lit(1), F.length(domain) - F.length(top) - 1)
-    shared = _stream(key, F.lit("domain"), F.lower(domain), F.lit(0))
-    return F.concat(_redrawn(F.substring_index(text, "@", 1), stream), F.lit("@"), _redrawn(middle, shared), F.lit("."), top)
+    new_local = _permuted_text(F.lower(local), _secret(key, F.lit("email"), F.lower(domain)))
+    new_middle = _permuted_text(F.lower(middle), _secret(key, F.lit("domain"), F.lower(top)))
+    return F.concat(_cased(new_local, local), F.lit("@"), _cased(new_middle, middle), F.lit("."), top)
 
 
 def _of_script(word: Column, pick) -> Column:
@@ -147,12 +210,16 @@ def canonical(kind: Column, word: Column) -> Column:
 
 
 def surrogate(kind: Column, word: Column, canon: Column, attempt: Column, key: str) -> Column:
-    """The surrogate of an entity in the format of ``word``."""
-    stream = _stream(key, kind, canon, attempt)
-    country = F.when(word.startswith("+"), F.length(F.regexp_extract(word, "^\\+([0-9]{1,3})", 1))).otherwise(0)
-    # a plain string of digits has lost where the country code ends: at most three digits of it stay
-    by_kind = {"email": _email(word, stream, key, attempt), "ip": _ip(word, stream), "card": _card(word, stream), "phone": _numbers(word, stream, country), "identity": _numbers(word, stream, F.lit(0))}
-    out = _named(word, kind, stream, attempt)
+    """The surrogate of an entity in the format of ``word``; only names look at ``attempt``."""
+    digits = F.regexp_replace(canon, _DIGITS, F.lit(""))
+    by_kind = {
+        "email": _email(word, key),
+        "ip": _ip(word, key),
+        "card": _filled(word, _card(digits, key)),
+        "phone": _filled(word, _phone(digits, canon.startswith("+"), key)),
+        "identity": _filled(word, _permuted_digits(digits, _secret(key, F.lit("identity")))),
+    }
+    out = _named(word, kind, _stream(key, kind, canon, attempt), attempt)
     for name, column in by_kind.items():
         out = F.when(kind == name, column).otherwise(out)
     return out
@@ -181,13 +248,19 @@ def detect(text: Column) -> Column:
     return F.when(text.rlike(ENTITY), F.transform(found, parts)).otherwise(F.expr(f"cast(array() as {_FOUND})"))
 
 
+_NAMES = ("given_m", "given_f", "given_n", "surname")
+
+
 def exceptions(docs: DataFrame, key: str, text: str = "text", most_rounds: int = 20) -> DataFrame:
-    """(kind, canon, attempt) of the entities whose first surrogate coincides with another's or with a real entity."""
-    e = docs.filter(F.col(text).rlike(ENTITY)).select(F.explode(detect(F.col(text))).alias("f")).select(F.explode("f.parts").alias("p"))
-    real = written(e.select("p.kind", "p.canon").distinct(), "entities")
+    """(kind, canon, attempt) of the names whose first surrogate coincides with another's or with a real name.
+
+    Each attempt adds a syllable, so there is room for any number of names after a few of them.
+    """
+    e = docs.filter(F.col(text).rlike(NAME)).select(F.explode(detect(F.col(text))).alias("f")).select(F.explode("f.parts").alias("p"))
+    real = written(e.filter(F.col("p.kind").isin(*_NAMES)).select("p.kind", "p.canon").distinct(), "names")
     now = real.withColumn("attempt", F.lit(0))
     for _ in range(most_rounds):
-        drawn = canonical(F.col("kind"), surrogate(F.col("kind"), F.col("canon"), F.col("canon"), F.col("attempt"), key))
+        drawn = F.lower(_named(F.col("canon"), F.col("kind"), _stream(key, F.col("kind"), F.col("canon"), F.col("attempt")), F.col("attempt")))
         now = written(now.select("kind", "canon", "attempt").withColumn("drawn", drawn), "surrogates")
         groups = now.groupBy("kind", "drawn").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "canon")).alias("first"))
         twice = groups.filter(F.col("n") > 1).select("kind", "drawn", "first")
@@ -197,33 +270,37 @@ def exceptions(docs: DataFrame, key: str, text: str = "text", most_rounds: int =
         if again.isEmpty():
             return now.filter(F.col("attempt") > 0).select("kind", "canon", "attempt")
         now = now.join(again.withColumn("more", F.lit(1)), ["kind", "canon"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("more", F.lit(0)))
-    raise RuntimeError("surrogates still coincide after all rounds")
+    raise RuntimeError("names still coincide after all rounds")
 
 
 def replace(docs: DataFrame, key: str, text: str = "text", count: str | None = "n_entities") -> DataFrame:
     """``docs`` with surrogates in ``text``, and the number of entities replaced."""
-    names = docs.columns
-    special = exceptions(docs, key, text)
-    found = docs.withColumn("_found", detect(F.col(text)))
+    if not key:
+        raise ValueError("a key is required")
+    names, special = docs.columns, exceptions(docs, key, text)
+    own, digest_, attempts = private(docs, "found", "digest", "attempts")
 
     def rewritten(df: DataFrame, attempt) -> DataFrame:
         def of(x):
             return F.array_join(F.transform(x["parts"], lambda p: surrogate(p["kind"], p["word"], p["canon"], attempt(p), key)), " ")
 
+        found = df.withColumn(own, detect(F.col(text)))
         pieces = F.split(F.col(text), ENTITY, -1)
-        whole = F.array_join(F.zip_with(pieces, F.transform("_found", of), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-        out = df.withColumn(text, F.when(F.size("_found") > 0, whole).otherwise(F.col(text)))
-        return out.select(*names, *([F.size("_found").alias(count)] if count else []))
+        whole = F.array_join(F.zip_with(pieces, F.transform(own, of), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+        out = found.withColumn(text, F.when(F.size(own) > 0, whole).otherwise(F.col(text)))
+        return out.select(with_results(out, names, {count: F.size(own)} if count else {}))
 
     if special.isEmpty():
-        return rewritten(found, lambda p: F.lit(0))
-    digest = F.sha2(F.col(text), 256)
-    held = found.filter(F.size("_found") > 0).select(digest.alias("_digest"), F.explode("_found").alias("f")).select("_digest", F.explode("f.parts").alias("p"))
-    held = held.select("_digest", "p.kind", "p.canon").distinct().join(special, ["kind", "canon"])
-    held = held.groupBy("_digest").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x1f", "kind", "canon"), "attempt"))).alias("_attempts"))
-    joined = found.withColumn("_digest", F.when(F.size("_found") > 0, digest)).join(held, "_digest", "left")
-    return rewritten(joined, lambda p: F.coalesce(F.try_element_at(F.col("_attempts"), F.concat_ws("\x1f", p["kind"], p["canon"])), F.lit(0)))
-
-
-def op7_pii(spark, sf_dir: str, key: str = "change-this-key") -> DataFrame:
+        return rewritten(docs, lambda p: F.lit(0))
+    digest = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    held = docs.filter(F.col(text).rlike(NAME)).select(digest.alias("d"), F.explode(detect(F.col(text))).alias("f")).select("d", F.explode("f.parts").alias("p"))
+    held = held.select("d", "p.kind", "p.canon").distinct().join(special, ["kind", "canon"])
+    held = held.groupBy(F.col("d").alias(digest_)).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x1f", "kind", "canon"), "attempt"))).alias(attempts))  # at most a text's names
+    joined = met(docs, digest, written(held, "held"), digest_)
+    return rewritten(joined, lambda p: F.coalesce(F.try_element_at(F.col(attempts), F.concat_ws("\x1f", p["kind"], p["canon"])), F.lit(0)))
+
+
+def op7_pii(spark, sf_dir: str) -> DataFrame:
+    """Every document's text with surrogates, by the key of the session (spark.siltstone.pii.key)."""
+    key = spark.conf.get("spark.siltstone.pii.key", None) or SAMPLE_KEY
     return replace(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
