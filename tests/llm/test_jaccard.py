@@ -1,6 +1,8 @@
 import itertools
 import random
 
+from pyspark.sql import functions as F
+
 from siltstone.llm import jaccard, simhash
 
 
@@ -37,9 +39,8 @@ def test_links_between_members_that_are_not_the_first(spark):
     rows = [(i, " ".join(words[i * 4 : i * 4 + 60])) for i in range(20)] + [(50 + i, " ".join(words[i : i + 3])) for i in range(3)] + [(90, "a b c d e f"), (91, "A b\tc d e f")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for sample in (1, 10_000):
-        for crowd in (2, 24):
-            got = {r.component_id for r in jaccard.near_duplicates(docs, sample, crowd).collect()}
-            assert sorted(got) == brute(rows) == [0, 50, 51, 52, 90]
+        got = {r.component_id for r in jaccard.near_duplicates(docs, sample).collect()}
+        assert sorted(got) == brute(rows) == [0, 50, 51, 52, 90]
 
 
 def test_a_passage_in_many_documents_hides_no_link(spark):
@@ -51,8 +52,35 @@ def test_a_passage_in_many_documents_hides_no_link(spark):
         text = " ".join([*own[:20], passage, *own[20:]])
         rows += [(2 * k, text)] + ([(2 * k + 1, " ".join([*text.split()[:-1], "changed"]))] if k % 3 == 0 else [])
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for crowd in (4, 10_000):
-        assert sorted({r.component_id for r in jaccard.near_duplicates(docs, 1, crowd).collect()}) == brute(rows)
+    assert sorted({r.component_id for r in jaccard.near_duplicates(docs, 1).collect()}) == brute(rows)
+
+
+def test_a_family_of_loose_copies(spark):
+    rng = random.Random(2)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for k in range(90):
+        words = list(base)
+        for _ in range(rng.randint(0, 9)):
+            words[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(words[: rng.randint(130, 150)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted({r.component_id for r in jaccard.near_duplicates(docs).collect()}) == brute(rows)
+
+
+def test_beginnings_share_what_is_needed(spark):
+    rng = random.Random(1)
+    sizes = []
+    for _ in range(300):
+        shared, a, b = rng.randint(1, 400), rng.randint(0, 60), rng.randint(0, 60)
+        sets = [set(range(shared)) | {(x, i) for i in range(n)} for x, n in (("a", a), ("b", b))]
+        if 5 * shared < 4 * (shared + a + b):
+            continue
+        order = {t: rng.random() for t in sets[0] | sets[1]}
+        starts = [set(sorted(s, key=order.get)[: len(s) // 5 + jaccard.COMMON]) for s in sets]
+        sizes.append((len(sets[0]), len(sets[1]), len(starts[0] & starts[1])))
+    df = spark.createDataFrame(sizes, "n int, m int, common int")
+    assert len(sizes) > 100 and df.filter(F.col("common") < jaccard._needed(F.col("n"), F.col("m"))).isEmpty()
 
 
 def test_a_doc_id_with_several_texts_loses_no_component(spark):
@@ -70,7 +98,7 @@ def test_shared_shingles_over_small_batches():
     rng = np.random.default_rng(0)
     rows = sorted((int(h), int(k), int(k) % 7) for h, k in zip(rng.integers(0, 60, 400), rng.integers(0, 30, 400), strict=True))
     want = {h: sorted({k for x, k, _ in rows if x == h}) for h, _, _ in rows}
-    want = sorted((h, k, k % 7, keys[0]) for h, keys in want.items() if len(keys) > 1 for k in keys)
+    want = sorted((h, k, k % 7, keys[0], keys[0] % 7) for h, keys in want.items() if len(keys) > 1 for k in keys)
     for step in (1, 3, 50, 1000):
         batches = [pa.record_batch([pa.array([r[c] for r in rows[at : at + step]], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=["h", "key", "n"]) for at in range(0, len(rows), step)]
         got = [tuple(r.values()) for b in jaccard._shared_shingles(batches) for r in b.to_pylist()]
