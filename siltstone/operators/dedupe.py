@@ -131,6 +131,12 @@ def near_duplicates(docs: DataFrame, num_perm: int = 128, bands: int = 16, check
     return found.filter("node > root").select(F.col("node").alias("ord"), "root")
 
 
+def dedupe_stream(docs: DataFrame, num_perm: int = 128, bands: int = 16, check: bool = True, threshold: float = 0.8, order: str = "ord", text: str = "text") -> DataFrame:
+    """``docs`` without those that ``near_duplicates`` finds among all of them."""
+    named = docs.select(F.col(order).alias("ord"), F.col(text).alias("text"), F.lit(0).cast("long").alias("window"))
+    return docs.join(near_duplicates(named, num_perm, bands, check, threshold).select(F.col("ord").alias(order)), order, "left_anti")
+
+
 def windowed_near_dedupe(docs: DataFrame, window: int | None = 50_000, threshold: float = 0.8, order: str = "ord", text: str = "text") -> DataFrame:
     """``docs`` without near-duplicates of earlier documents in the same window of ``window`` documents (None: global)."""
     named = docs.select(F.col(order).alias("ord"), F.col(text).alias("text"))

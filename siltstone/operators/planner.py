@@ -83,9 +83,12 @@ def hours_to_train(params: Column, tokens: Column, peak: Column, mfu: float) ->
     return params.cast("double") * 6 * tokens / (peak * 1e12 * mfu) / 3600
 
 
-def recommend(devices: DataFrame, max_hours: float = MAX_HOURS, mfu: float = 0.35, vocab_size: int = 32_768, preset: str | None = None) -> DataFrame:
+def recommend(devices: DataFrame, max_hours: float = MAX_HOURS, mfu: float = 0.35, vocab_size: int = 32_768, preset: str | None = None, context_len: int = 0) -> DataFrame:
     """The largest rung that fits each device's memory and the hours, else the smallest; with batch and schedule.
 
+    Another ``context_len`` than the rung's (0: the rung's) keeps rung, micro-batch and steps; the accumulation is derived
+    again, so that a step is a whole number of micro-batches, and the memory with it.
+
     Devices times seven rungs times twelve micro-batches, all of which are fixed small lists exploded in place.
     """
     c = F.col
@@ -113,6 +116,10 @@ def recommend(devices: DataFrame, max_hours: float = MAX_HOURS, mfu: float = 0.3
         cut = F.when(c("hours") > max_hours, F.greatest(F.lit(100), F.floor(c("total_steps") * max_hours / c("hours")))).otherwise(c("total_steps"))
         best = best.withColumn("total_steps", cut).withColumn("hours", hours_to_train(c("params"), tokens, c("effective_peak"), mfu))
     best = best.withColumn("warmup_steps", F.greatest(F.lit(10), F.least(F.lit(500), F.floor(c("total_steps") / 25))))
+    if context_len:
+        micro = c("micro_batch") * F.lit(context_len)
+        again = F.greatest(F.lit(1), F.bround(c("tokens_per_step") / micro).cast("long"))
+        best = best.withColumns({"grad_accum": again, "tokens_per_step": micro * again, "context_len": F.lit(context_len).cast("long")})
     warning = F.when(~c("good"), F.when(c("fits") == 0, "out_of_memory").otherwise("too_slow"))
     keep = ["device_id", "preset", "params", "context_len", "micro_batch", "grad_accum", "tokens_per_step", "total_steps", "warmup_steps"]
     return best.select(*keep, F.round("hours", 3).alias("hours"), F.round(need(c("micro_batch")), 3).alias("memory_gb"), warning.alias("warning"))

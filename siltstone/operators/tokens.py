@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.session import stored
-from .chat import SPECIAL_TOKENS
+from .chat import SPECIAL_TOKENS, message
 
 PAD, BOS, EOS, IGNORE = 0, 1, 2, -100
 
@@ -107,6 +107,19 @@ def usable_examples(examples: DataFrame, max_len: int) -> DataFrame:
     return examples.filter((F.size("ids") <= max_len) & F.exists("labels", lambda x: x != IGNORE))
 
 
+def encode_pairs(pairs: DataFrame, encode_text, max_len: int, mask_prompt: bool = True) -> DataFrame:
+    """Preference pairs (prompt, chosen, rejected) with chosen_ids, chosen_labels, rejected_ids and rejected_labels.
+
+    Either answer is encoded as a conversation of its own; a pair of which one side is longer than ``max_len`` goes.
+    """
+    out = pairs
+    for side in ("chosen", "rejected"):
+        turns = F.array(message(F.lit("user"), F.col("prompt")), message(F.lit("assistant"), F.col(side)))
+        encoded = encode_conversation(out.withColumn("_messages", turns), encode_text, "_messages", mask_prompt)
+        out = encoded.drop("_messages").withColumnsRenamed({"ids": f"{side}_ids", "labels": f"{side}_labels"})
+    return out.filter((F.size("chosen_ids") <= max_len) & (F.size("rejected_ids") <= max_len))
+
+
 def with_offsets(stream: DataFrame, order: str = "ord", length: Column | None = None) -> DataFrame:
     """``stream`` with start: the tokens before the row, in order."""
     n = F.size("ids").cast("long") if length is None else length
@@ -122,17 +135,29 @@ def val_budget_split(stream: DataFrame, val_tokens: int, order: str = "ord") ->
     return with_offsets(stream, order).withColumn("is_val", (F.col("start") < val_tokens) | (F.col("start") == 0))
 
 
+def _sliced(placed: DataFrame, width: int, more: int) -> DataFrame:
+    """(win, at, ids): the part of each row that lies in window ``win``, which has ``more`` tokens beyond its ``width``."""
+    start, n = F.col("start"), F.size("ids").cast("long")
+    first, last = F.greatest(F.floor((start - more) / width), F.lit(0)), F.floor((start + n - 1) / width)
+
+    def part(win):
+        at = F.greatest(start, win * width)
+        return F.struct(win.alias("win"), at.alias("at"), F.slice("ids", (at - start + 1).cast("int"), (F.least(start + n, win * width + width + more) - at).cast("int")).alias("ids"))
+
+    return placed.filter(n > 0).select(F.explode(F.transform(F.sequence(first, last), part)).alias("p")).select("p.*")
+
+
 def pack_windows(stream: DataFrame, width: int, order: str = "ord", most: int | None = None) -> DataFrame:
-    """Windows (win, x, y) of the concatenated stream: x at stride ``width``, y shifted by one; the tail is dropped."""
-    placed = with_offsets(stream, order)
-    token = placed.select("start", F.posexplode("ids").alias("i", "id")).select((F.col("start") + F.col("i")).alias("at"), "id")
-    inside = token.withColumn("win", F.floor(F.col("at") / width))
-    edge = token.filter((F.col("at") % width == 0) & (F.col("at") > 0)).withColumn("win", F.floor(F.col("at") / width) - 1)  # also ends the window before
-    rows = inside.unionByName(edge).groupBy("win").agg(F.array_sort(F.collect_list(F.struct("at", "id"))).alias("t")).filter(F.size("t") == width + 1)
+    """Windows (win, x, y) of the concatenated stream: x at stride ``width``, y shifted by one; the tail is dropped.
+
+    Rows are cut at the windows' borders, so what is shuffled is slices, about as many as windows and rows together.
+    """
+    parts = _sliced(with_offsets(stream, order), width, 1)
     if most is not None:
-        rows = rows.filter(F.col("win") < most)
-    ids = F.transform("t", lambda p: p["id"])
-    return rows.select("win", F.slice(ids, 1, width).alias("x"), F.slice(ids, 2, width).alias("y"))
+        parts = parts.filter(F.col("win") < most)
+    whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda p: p["ids"]))
+    rows = parts.groupBy("win").agg(whole.alias("t")).filter(F.size("t") == width + 1)
+    return rows.select("win", F.slice("t", 1, width).alias("x"), F.slice("t", 2, width).alias("y"))
 
 
 def pad_collate(examples: DataFrame, batch_size: int, order: str = "ord") -> DataFrame:
@@ -140,6 +165,21 @@ def pad_collate(examples: DataFrame, batch_size: int, order: str = "ord") -> Dat
     from .dedupe import numbered
 
     rows = numbered(examples, [order]).withColumn("batch", F.floor(F.col("rn") / batch_size)).drop("rn")
+    return _padded(rows, order, "ids", "labels")
+
+
+def pair_collate(pairs: DataFrame, batch_size: int, order: str = "ord") -> DataFrame:
+    """(batch, ord, chosen_x, chosen_y, rejected_x, rejected_y): each side of a batch is padded to its own longest."""
+    from .dedupe import numbered
+
+    rows = stored(numbered(pairs, [order]).withColumn("batch", F.floor(F.col("rn") / batch_size)).drop("rn"), "pairs")
+    chosen, rejected = (_padded(rows, order, f"{s}_ids", f"{s}_labels").withColumnsRenamed({"x": f"{s}_x", "y": f"{s}_y"}) for s in ("chosen", "rejected"))
+    return chosen.join(rejected, ["batch", order])
+
+
+def _padded(rows: DataFrame, order: str, ids: str, labels: str) -> DataFrame:
+    """(batch, ord, x, y) of rows with a batch."""
+    rows = rows.select("batch", order, F.col(ids).alias("ids"), F.col(labels).alias("labels"))
     width = F.max(F.size("ids")).over(Window.partitionBy("batch"))
     padded = lambda c, by: F.concat(F.col(c), F.array_repeat(F.lit(by), F.col("_w") - F.size(c)))
     out = rows.withColumn("_w", width).select("batch", order, padded("ids", PAD).alias("ids"), padded("labels", IGNORE).alias("labels"), "_w")
@@ -154,9 +194,9 @@ def random_windows(stream: DataFrame, width: int, n: int, seed: int = 0, order:
     spark = stream.sparkSession
     draws = spark.range(n).select(F.col("id").alias("draw"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(total - width - 1)).alias("from"))
     blocks = draws.select("draw", "from", F.explode(F.sequence(F.floor(F.col("from") / width), F.floor((F.col("from") + width) / width))).alias("block"))
-    placed = with_offsets(stream, order).select("start", F.posexplode("ids").alias("i", "id")).select((F.col("start") + F.col("i")).alias("at"), "id")
-    met = placed.withColumn("block", F.floor(F.col("at") / width)).join(blocks, "block").filter("at >= from").filter(F.col("at") <= F.col("from") + width)
-    ids = F.transform(F.array_sort(F.collect_list(F.struct("at", "id"))), lambda p: p["id"])
+    met = _sliced(with_offsets(stream, order), width, 0).withColumnRenamed("win", "block").join(blocks, "block")
+    parts = F.array_sort(F.collect_list(F.struct("at", "ids")))
+    ids = F.slice(F.flatten(F.transform(parts, lambda p: p["ids"])), (F.first("from") - F.min("at") + 1).cast("int"), F.lit(width + 1))
     return met.groupBy("draw").agg(ids.alias("t")).select("draw", F.slice("t", 1, width).alias("x"), F.slice("t", 2, width).alias("y"))
 
 

@@ -110,7 +110,7 @@ _KEY = rf"sha256({_strip(f'regexp_replace(lower(coalesce(prompt, {chr(39)}{chr(3
 def _mix() -> str:
     parts, seen = [], []
     for k, (name, share) in enumerate(chat.SFT_SHARES):
-        want = int(40 * share)
+        want = int(50_000 * share)
         before = " AND ".join(f"key NOT IN (SELECT key FROM got{j})" for j in seen) or "true"
         parts.append(f"""read{k} AS (SELECT * FROM keyed WHERE conv_id % 3 = {k} ORDER BY conv_id LIMIT {int(want * 2.5)}),
 got{k} AS (SELECT '{name}' AS source, min(conv_id) AS conv_id, key FROM read{k} WHERE reason IS NULL AND {before} GROUP BY key ORDER BY 2 LIMIT {want})""")
@@ -128,6 +128,14 @@ seg AS (SELECT conv_id, i, list_prepend(tok, list_append(b, 6)) AS ids, CASE WHE
 example AS (SELECT conv_id, list_append(list_prepend(1, flatten(list(ids ORDER BY i))), 2) AS ids, list_append(list_prepend(-100, flatten(list(labels ORDER BY i))), -100) AS labels FROM seg GROUP BY conv_id)"""
 
 
+_ENCODED = "list_transform(regexp_extract_all(hex(encode({0})), '[0-9A-F]{{2}}'), lambda h: ('0x' || h)::INT + 7)"
+_PAIRS = f"""WITH {_TURNS}, pair AS (SELECT conv_id, arg_min(content, i) FILTER (role = 'user') AS prompt, arg_min(content, i) FILTER (role = 'assistant') AS chosen, arg_max(content, i) FILTER (role = 'assistant') AS rejected FROM turn GROUP BY conv_id),
+byte AS (SELECT conv_id, {_ENCODED.format("prompt")} AS p, {_ENCODED.format("chosen")} AS c, {_ENCODED.format("rejected")} AS r FROM pair WHERE prompt IS NOT NULL AND chosen IS NOT NULL),
+sided AS (SELECT conv_id, {", ".join(f"[1, 4] || p || [6, 5] || {b} || [6, 2] AS {s}_ids, list_transform([1, 4] || p || [6, 5], lambda x: -100) || {b} || [6, -100] AS {s}_labels" for s, b in (("chosen", "c"), ("rejected", "r")))} FROM byte),
+fit AS (SELECT * FROM sided WHERE len(chosen_ids) <= 1800 AND len(rejected_ids) <= 1800)"""
+_PAIR_DIGESTS = ", ".join(f"md5(array_to_string({s}_{c}, ',')) AS {s}_{c}" for s in ("chosen", "rejected") for c in ("ids", "labels"))
+
+
 def _case(pairs, test: str, otherwise: str) -> str:
     return "CASE " + " ".join(f"WHEN {test.format(k)} THEN {v!r}::DOUBLE" for k, v in pairs) + f" ELSE {otherwise} END"
 
@@ -170,7 +178,8 @@ ORACLE_SQL: dict[str, str] = {
     "lsh_candidates": _near_with(_ALL, "SELECT a, b FROM pair"),
     "near_dup_verified": _near_with(_ALL, "SELECT a, b, round(jaccard, 6) AS jaccard FROM alike WHERE jaccard >= 0.8"),
     "near_dup_clusters": _near_with(_ALL, "SELECT ord AS doc_id, root AS cluster FROM gone"),
-    "windowed_near_dedupe": _near_with("SELECT doc_id AS ord, (row_number() OVER (ORDER BY doc_id) - 1) // 200 AS win, text FROM documents", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT ord FROM gone)"),
+    "windowed_near_dedupe": _near_with("SELECT doc_id AS ord, (row_number() OVER (ORDER BY doc_id) - 1) // 50000 AS win, text FROM documents", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT ord FROM gone)"),
+    "dedupe_stream": _near_with(_ALL, "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT b FROM pair)"),
     "corpus_survivors": f"{_BUILT} SELECT doc_id, source, len AS chars FROM built WHERE reason IS NULL AND NOT exact AND NOT near",
     "corpus_manifest": f"""{_BUILT} SELECT count(*) AS documents_in, count(*) FILTER (reason IS NULL) AS passed_filters, count(*) FILTER (reason IS NOT NULL) AS dropped, count(*) FILTER (exact) AS removed_exact_duplicates, count(*) FILTER (near) AS removed_near_duplicates,
  count(*) FILTER (reason IS NULL AND NOT exact AND NOT near) AS documents_out, CAST(coalesce(sum(len) FILTER (reason IS NULL AND NOT exact AND NOT near), 0) AS BIGINT) AS characters_out, CAST(coalesce(sum(len) FILTER (reason IS NULL AND NOT exact AND NOT near), 0) // 4 AS BIGINT) AS estimated_tokens,
@@ -195,6 +204,11 @@ FROM (SELECT pos, id, pos // 1024 AS win FROM token UNION ALL SELECT pos, id, po
     "pad_collate": f"""WITH {_EXAMPLE}, ok AS (SELECT *, (row_number() OVER (ORDER BY conv_id) - 1) // 8 AS batch FROM example WHERE len(ids) <= 20000 AND len(list_filter(labels, lambda x: x <> -100)) > 0),
 wide AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch) AS w FROM ok)
 SELECT conv_id, batch, w - 1 AS width, md5(array_to_string(list_resize(ids, w, 0)[1:w - 1], ',')) AS x, md5(array_to_string(list_resize(labels, w, -100)[2:w], ',')) AS y FROM wide""",
+    "preference_encode": f"{_PAIRS} SELECT conv_id, {_PAIR_DIGESTS} FROM fit",
+    "pair_collate": f"""{_PAIRS}, batched AS (SELECT *, (row_number() OVER (ORDER BY conv_id) - 1) // 8 AS batch FROM fit),
+wide AS (SELECT *, max(len(chosen_ids)) OVER (PARTITION BY batch) AS chosen_w, max(len(rejected_ids)) OVER (PARTITION BY batch) AS rejected_w FROM batched)
+SELECT conv_id, batch, {", ".join(f"md5(array_to_string(list_resize({s}_ids, {s}_w, 0)[1:{s}_w - 1], ',')) AS {s}_x, md5(array_to_string(list_resize({s}_labels, {s}_w, -100)[2:{s}_w], ',')) AS {s}_y" for s in ("chosen", "rejected"))} FROM wide""",
+    "adapt_sharegpt": f"WITH {_TURNS} SELECT conv_id, count(*) AS turns, md5(string_agg(role || ':' || content, chr(10) ORDER BY i)) AS digest FROM turn GROUP BY conv_id",
     "compression_ratio": "SELECT round(sum(length(text)) / sum(octet_length(encode(text))), 6) AS chars_per_token FROM documents",
     "mix_targets": f"SELECT source, share, CAST(floor(share * 7000000000) AS BIGINT) AS target_tokens FROM (VALUES {', '.join(f'({n!r}, {s!r}::DOUBLE)' for n, s, _ in planner.MIX)}) AS t(source, share)",
     "assess": """WITH c AS (SELECT source, CAST(sum(length(text)) AS BIGINT) AS characters FROM documents GROUP BY source), t AS (SELECT *, CAST(floor(characters / 3.8::DOUBLE) AS BIGINT) AS estimated_tokens, 12815616::BIGINT * 21 AS tokens_wanted FROM c)
@@ -202,6 +216,7 @@ SELECT *, round(estimated_tokens / tokens_wanted, 4) AS share_of_budget, CASE WH
     "model_ladder": f"WITH {_LADDER} SELECT preset, params, ctx AS context_len FROM sized",
     "peak_for": f"WITH {_DEVICES} SELECT device_id, name, peak, coalesce(peak, assumed) AS effective_peak FROM peaked",
     "plan_recommend": _RECOMMEND,
+    "plan_with_context": f"SELECT device_id, preset, CAST(4096 AS BIGINT) AS context_len, micro_batch, accum AS grad_accum, micro_batch * 4096 * accum AS tokens_per_step, total_steps FROM (SELECT *, greatest(1, CAST(round_even(tokens_per_step / (micro_batch * 4096), 0) AS BIGINT)) AS accum FROM ({_RECOMMEND}))",
     "lr_schedule": "SELECT step, round((CASE WHEN step < 100 THEN (step + 1) * 6e-4 / 100 WHEN step >= 1000 THEN 6e-5 ELSE 6e-5 + (6e-4 - 6e-5) * 0.5 * (1.0 + cos((step - 100) / 900 * pi())) END) * 1e6, 6) AS lr_e6 FROM (SELECT unnest(generate_series(0, 1000)) AS step)",
     "loss_watchdog": """WITH c AS (SELECT o_custkey AS run, o_orderkey AS step, round(o_totalprice::DOUBLE * 100) AS loss FROM orders), o AS (SELECT *, avg(loss) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING) AS baseline FROM c)
 SELECT run, step, CASE WHEN loss > baseline * 3.0 THEN 'spike' ELSE 'ok' END AS status, baseline FROM o""",

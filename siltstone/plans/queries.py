@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..functions.session import table
+from ..functions.session import stored, table
 from ..operators import chat, dedupe, metrics, planner, quality, tokens
 from . import corpus
 
@@ -86,7 +86,7 @@ def lsh_candidates(spark, d):
 
 @query
 def near_dup_verified(spark, d):
-    shingled = _shingled(spark, d)
+    shingled = stored(_shingled(spark, d), "shingles")
     pairs = dedupe.lsh_candidates(shingled.select("ord", "window", dedupe.minhash(F.col("hashes")).alias("sig")))
     return dedupe.verify(pairs, shingled).filter("jaccard >= 0.8").select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
@@ -99,7 +99,12 @@ def near_dup_clusters(spark, d):
 
 @query
 def windowed_near_dedupe(spark, d):
-    return dedupe.windowed_near_dedupe(documents(spark, d), window=200).select("doc_id")
+    return dedupe.windowed_near_dedupe(documents(spark, d), window=50_000).select("doc_id")
+
+
+@query
+def dedupe_stream(spark, d):
+    return dedupe.dedupe_stream(documents(spark, d), num_perm=128, bands=16, check=False).select("doc_id")
 
 
 @query
@@ -175,7 +180,7 @@ def _mix(spark, d):
     source = F.element_at(F.array(*map(F.lit, names)), (F.col("conv_id") % 3 + 1).cast("int"))
     reason = F.when(F.col("messages").isNull(), "unadaptable").otherwise(chat.conversation_reject_reason(F.col("messages")))
     items = ms.select(F.col("conv_id").alias("ord"), source.alias("source"), chat.prompt_key(chat.first_user(F.col("messages"))).alias("key"), reason.alias("reason"))
-    return chat.collect_mix(items, chat.SFT_SHARES, 40)
+    return chat.collect_mix(items, chat.SFT_SHARES, 50_000)
 
 
 @query
@@ -226,6 +231,36 @@ def pad_collate(spark, d):
     return out.select(F.col("ord").alias("conv_id"), F.col("batch").cast("long").alias("batch"), F.size("x").alias("width"), s("x").alias("x"), s("y").alias("y"))
 
 
+def _pairs(spark, d):
+    """Conversations with an answer as pairs: the first user turn, its first and its last assistant turn."""
+    ms = conversations(spark, d).filter(F.col("messages").isNotNull())
+    said = F.filter("messages", lambda m: m["role"] == "assistant")
+    pairs = ms.filter(F.size(said) > 0).select(F.col("conv_id").alias("ord"), chat.first_user(F.col("messages")).alias("prompt"), F.element_at(said, 1)["content"].alias("chosen"), F.element_at(said, -1)["content"].alias("rejected"))
+    return tokens.encode_pairs(pairs.filter("prompt IS NOT NULL"), tokens.byte_ids, 1_800)
+
+
+def _digest(name):
+    return F.md5(F.array_join(F.col(name).cast("array<string>"), ",").cast("binary")).alias(name)
+
+
+@query
+def preference_encode(spark, d):
+    return _pairs(spark, d).select(F.col("ord").alias("conv_id"), *[_digest(f"{s}_{c}") for s in ("chosen", "rejected") for c in ("ids", "labels")])
+
+
+@query
+def pair_collate(spark, d):
+    out = tokens.pair_collate(_pairs(spark, d), 8)
+    return out.select(F.col("ord").alias("conv_id"), F.col("batch").cast("long").alias("batch"), *[_digest(f"{s}_{c}") for s in ("chosen", "rejected") for c in ("x", "y")])
+
+
+@query
+def adapt_sharegpt(spark, d):
+    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.struct(F.when(x["role"] == "user", "human").when(x["role"] == "assistant", "gpt").otherwise(x["role"]).alias("from"), x["text"].alias("value"))).alias("c"))
+    ms = turns.select("conv_id", chat.adapt_sharegpt(F.col("c")).alias("m")).filter(F.col("m").isNotNull())
+    return ms.select("conv_id", F.size("m").alias("turns"), F.md5(F.array_join(F.transform("m", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "\n").cast("binary")).alias("digest"))
+
+
 @query
 def compression_ratio(spark, d):
     return tokens.compression_ratio(documents(spark, d).withColumn("ids", tokens.byte_ids(F.col("text")))).select(F.round("chars_per_token", 6).alias("chars_per_token"))
@@ -266,6 +301,11 @@ def plan_recommend(spark, d):
     return planner.recommend(_devices(spark, d)).select("device_id", "preset", "params", "micro_batch", "grad_accum", "tokens_per_step", "total_steps", "warmup_steps", "warning")
 
 
+@query
+def plan_with_context(spark, d):
+    return planner.recommend(_devices(spark, d), context_len=4096).select("device_id", "preset", "context_len", "micro_batch", "grad_accum", "tokens_per_step", "total_steps")
+
+
 @query
 def lr_schedule(spark, d):
     return spark.range(0, 1001).select(F.col("id").alias("step"), F.round(metrics.lr_at(F.col("id"), 6e-4, 6e-5, 100, 1000) * 1e6, 6).alias("lr_e6"))

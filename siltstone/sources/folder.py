@@ -6,9 +6,10 @@ read the files. Spark's own listing would drop names that start with a dot or an
 
 from __future__ import annotations
 
+import contextlib
 import os
 from collections.abc import Iterator
-from pathlib import Path
+from importlib.util import find_spec
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,26 +35,24 @@ def classify(path: Column) -> Column:
 
 
 def walk(root: str, follow_symlinks: bool = False) -> Iterator[tuple[str, int]]:
-    """(path, bytes) of files below ``root``, without skipped and dot directories; each directory is entered once."""
-    seen, waiting = set(), [Path(root)]
-    while waiting:
-        here = waiting.pop()
-        real = here.resolve()
-        if real in seen:
+    """(path, bytes) of files below ``root``, without skipped and dot directories; each directory is entered once.
+
+    A folder's files come by name, then its folders, the last name first. What cannot be read is passed over.
+    """
+    entered = set()
+    for here, folders, files in os.walk(root, followlinks=follow_symlinks):
+        place = os.path.realpath(here)
+        if place in entered:
+            folders.clear()
             continue
-        seen.add(real)
-        try:
-            entries = sorted(os.scandir(here), key=lambda e: e.name)
-        except OSError:
-            continue
-        for e in entries:
-            if e.is_symlink() and not follow_symlinks:
+        entered.add(place)
+        folders[:] = sorted((f for f in folders if f not in SKIP_DIRS and f[0] != "."), reverse=True)
+        for path in (os.path.join(here, f) for f in sorted(files)):
+            try:
+                if (follow_symlinks or not os.path.islink(path)) and os.path.isfile(path):
+                    yield path, os.path.getsize(path)
+            except OSError:
                 continue
-            if e.is_dir():
-                if e.name not in SKIP_DIRS and not e.name.startswith("."):
-                    waiting.append(Path(e.path))
-            elif e.is_file():
-                yield e.path, e.stat().st_size
 
 
 def listing(spark: SparkSession, root: str, follow_symlinks: bool = False) -> DataFrame:
@@ -68,21 +67,25 @@ _READ = T.StructType([T.StructField("status", T.StringType()), T.StructField("te
 
 
 def _pdf(path: str) -> tuple[str, str | None]:
-    try:
-        from pypdf import PdfReader
-    except ModuleNotFoundError:
+    """Pages with a blank line between; without the optional reader none, and a broken file reads as empty."""
+    if not find_spec("pypdf"):
         return "skipped_pdf_no_reader", None
-    try:
-        return "read", "\n\n".join(page.extract_text() or "" for page in PdfReader(path).pages)
-    except Exception:  # a broken file reads as empty
-        return "read", ""
+    pages: list[str] = []
+    with contextlib.suppress(Exception):
+        from pypdf import PdfReader
+
+        pages += [page.extract_text() or "" for page in PdfReader(path).pages]
+    return "read", "\n\n".join(pages)
 
 
 def _read(path: str, kind: str) -> tuple[str, str | None]:
     if kind == "pdf":
         return _pdf(path)
-    with open(path, "rb") as f:
-        data = f.read()
+    try:
+        with open(path, "rb") as f:
+            data = f.read()
+    except OSError:  # as unreadable as a binary one
+        return "skipped_binary", None
     return ("skipped_binary", None) if b"\0" in data[:8192] else ("read", data.decode("utf-8", "replace"))
 
 
@@ -101,7 +104,9 @@ def _rows(texts: DataFrame) -> DataFrame:
     v = F.try_parse_json("json")
     kind_of = lambda key: F.schema_of_variant(F.try_variant_get(v, f"$.{key}", "variant"))
     got = lambda key: F.try_variant_get(v, f"$.{key}", "string")
-    raw = F.when(~kind_of("text").isin("VOID") & (got("text") != ""), F.struct(kind_of("text").alias("k"), got("text").alias("t"))).otherwise(F.struct(kind_of("content").alias("k"), got("content").alias("t")))
+    said = F.coalesce(got("text"), F.lit(""))
+    filled = ~kind_of("text").isin("VOID") & (said != "") & ((kind_of("text") == "STRING") | ~said.isin("0", "0.0", "false", "[]", "{}"))  # what a condition takes for false
+    raw = F.when(filled, F.struct(kind_of("text").alias("k"), got("text").alias("t"))).otherwise(F.struct(kind_of("content").alias("k"), got("content").alias("t")))
     row = line.withColumns({"raw": raw, "own": got("kind"), "object": F.schema_of_variant(v).startswith("OBJECT")})
     bad = v.isNull() | ~F.coalesce("object", F.lit(False)) | (F.col("raw.k").isNotNull() & ~F.col("raw.k").isin("STRING", "VOID"))
     status = F.when(bad, "skipped_bad_json").when(F.coalesce("raw.t", F.lit("")) == "", "skipped_empty").otherwise("read")

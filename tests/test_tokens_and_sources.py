@@ -167,3 +167,4 @@ def test_settings(tmp_path):
         with pytest.raises(ValueError):
             config.load(path, {})
     assert config.problems({**got, "model": {"vocab_size": 70_000}})
+    assert config.smoke(got)["model"]["preset"] == "nano" and not config.problems(config.smoke(got)) and got["model"]["preset"] != "nano"
