@@ -83,6 +83,24 @@ def test_beginnings_share_what_is_needed(spark):
     assert len(sizes) > 100 and df.filter(F.col("common") < jaccard._needed(F.col("n"), F.col("m"))).isEmpty()
 
 
+def test_sketches_leave_out_no_pair_that_is_alike(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for _ in range(400):
+        both, a, b = (rng.integers(0, 1 << 64, int(rng.integers(0, most)), dtype=np.uint64) for most in (1500, 200, 200))
+        x, y = np.unique(np.concatenate([both, a])), np.unique(np.concatenate([both, b]))
+        shared = len(np.intersect1d(x, y))
+        alike = 5 * shared >= 4 * (len(x) + len(y) - shared)
+        rows.append((alike, len(x), len(y), *jaccard._parities(x).tolist(), *jaccard._parities(y).tolist()))
+    names = ["alike", "n", "m", *[f"{c}_a" for c in jaccard.SKETCH], *[f"{c}_b" for c in jaccard.SKETCH]]
+    told = spark.createDataFrame(rows, names).select("alike", jaccard._near_enough("n", "m", "_a", "_b").alias("may"), (5 * F.least("n", "m") >= 4 * F.greatest("n", "m")).alias("sizes"))
+    assert told.filter("alike").count() > 100 and told.filter("alike and not may").isEmpty()
+    assert told.filter("sizes and not alike and not may").count() > 5
+    assert jaccard._parities(np.array([3, 3, 64, 512 + 5], np.uint64)).tolist() == [1 << 5, 1, 0, 0, 0, 0, 0, 0]
+
+
 def test_a_doc_id_with_several_texts_loses_no_component(spark):
     one, two = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
     rows = [(1, one), (1, two), (2, one), (3, two), (1, one)]
