@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,8 +22,21 @@ def shared_dir(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get()
 
 
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage ends, lost executors cost nothing."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def forgotten(*tables: DataFrame) -> None:
+    """Deletes tables made by ``stored`` that nothing will read again."""
+    for df in tables:
+        if path := _PATHS.pop(df, None):
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)

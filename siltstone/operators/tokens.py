@@ -1,16 +1,16 @@
 """Token streams: encoding, budgets, windows, loss masks, padding.
 
 A stream is rows of (ord, ids). Positions in it come from per-partition sums and their offsets, so no task sees all
-rows. The learned tokenizer is byte-level BPE by the ``tokenizers`` library, shipped to workers as one broadcast string.
+rows. The learned tokenizer is that of ``bpe``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.session import stored
+from . import bpe
 from .chat import SPECIAL_TOKENS, message
 
 PAD, BOS, EOS, IGNORE = 0, 1, 2, -100
@@ -22,70 +22,17 @@ def byte_ids(text: Column) -> Column:
     return F.transform(hexed, lambda h: F.conv(h, 16, 10).cast("int") + len(SPECIAL_TOKENS))
 
 
-def train_bpe(docs: DataFrame, vocab_size: int = 32_768, min_frequency: int = 2, text: str = "text", order: str | None = None, limit: int | None = 200_000):
-    """A byte-level BPE tokenizer: digits alone, the special tokens first. Texts stream through the driver one by one."""
-    from tokenizers import Tokenizer, decoders, models, pre_tokenizers, trainers
-
+def train_bpe(docs: DataFrame, vocab_size: int = 32_768, min_frequency: int = 2, text: str = "text") -> bpe.Model:
+    """A byte-level BPE model of all texts: the special tokens first, digits alone."""
     if not 256 <= vocab_size <= 65_535:
         raise ValueError("the vocabulary must have 256 to 65535 tokens")
-    if limit is not None:
-        docs = (docs.orderBy(order) if order else docs).limit(limit)
-    made = Tokenizer(models.BPE())
-    made.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Digits(individual_digits=True), pre_tokenizers.ByteLevel(add_prefix_space=False)])
-    made.decoder = decoders.ByteLevel()
-    trainer = trainers.BpeTrainer(vocab_size=vocab_size, min_frequency=min_frequency, special_tokens=list(SPECIAL_TOKENS), initial_alphabet=sorted(pre_tokenizers.ByteLevel.alphabet()), show_progress=False)
-    made.train_from_iterator((r[0] for r in docs.select(text).toLocalIterator()), trainer)
-    return made
-
-
-_loaded: dict[int, object] = {}
-
-
-def _tokenizer(shared):
-    from tokenizers import Tokenizer
-
-    if shared.id not in _loaded:
-        _loaded.clear()
-        _loaded[shared.id] = Tokenizer.from_str(shared.json)
-    return _loaded[shared.id]
-
-
-class _Shared:
-    def __init__(self, spark, tokenizer):
-        text = tokenizer.to_str()
-        if len(text) > 64 << 20:
-            raise ValueError("the tokenizer is too large to broadcast")
-        self.id, self._value = hash(text), spark.sparkContext.broadcast(text)
-
-    @property
-    def json(self) -> str:
-        return self._value.value
+    return bpe.train(bpe.word_counts(docs, text), vocab_size, min_frequency)
 
 
-def encode(docs: DataFrame, tokenizer, text: str = "text", into: str = "ids", eos: bool = True) -> DataFrame:
+def encode(docs: DataFrame, model: bpe.Model, text: str = "text", into: str = "ids", eos: bool = True) -> DataFrame:
     """``docs`` with ids, an end token after each text; texts without a token are dropped."""
-    shared = _Shared(docs.sparkSession, tokenizer)
-
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def encoded(texts):
-        import pyarrow as pa
-
-        got = _tokenizer(shared).encode_batch([x.as_py() or "" for x in texts], add_special_tokens=False)
-        return pa.array([e.ids + ([EOS] if eos and e.ids else []) for e in got], pa.list_(pa.int32()))
-
-    return docs.withColumn(into, encoded(F.col(text))).filter(F.size(into) > 0)
-
-
-def decode(ids: Column, tokenizer, spark) -> Column:
-    shared = _Shared(spark, tokenizer)
-
-    @F.arrow_udf(T.StringType())
-    def decoded(column):
-        import pyarrow as pa
-
-        return pa.array([_tokenizer(shared).decode(x.as_py() or [], skip_special_tokens=False) for x in column], pa.string())
-
-    return decoded(ids)
+    out = bpe.encode(docs, model, text, into).filter(F.size(into) > 0)
+    return out.withColumn(into, F.concat(into, F.array(F.lit(EOS)))) if eos else out
 
 
 def encode_conversation(messages: DataFrame, encode_text, column: str = "messages", mask_prompt: bool = True) -> DataFrame:
@@ -135,7 +82,7 @@ def val_budget_split(stream: DataFrame, val_tokens: int, order: str = "ord") ->
     return with_offsets(stream, order).withColumn("is_val", (F.col("start") < val_tokens) | (F.col("start") == 0))
 
 
-def _sliced(placed: DataFrame, width: int, more: int) -> DataFrame:
+def slices(placed: DataFrame, width: int, more: int) -> DataFrame:
     """(win, at, ids): the part of each row that lies in window ``win``, which has ``more`` tokens beyond its ``width``."""
     start, n = F.col("start"), F.size("ids").cast("long")
     first, last = F.greatest(F.floor((start - more) / width), F.lit(0)), F.floor((start + n - 1) / width)
@@ -152,7 +99,7 @@ def pack_windows(stream: DataFrame, width: int, order: str = "ord", most: int |
 
     Rows are cut at the windows' borders, so what is shuffled is slices, about as many as windows and rows together.
     """
-    parts = _sliced(with_offsets(stream, order), width, 1)
+    parts = slices(with_offsets(stream, order), width, 1)
     if most is not None:
         parts = parts.filter(F.col("win") < most)
     whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda p: p["ids"]))
@@ -194,7 +141,7 @@ def random_windows(stream: DataFrame, width: int, n: int, seed: int = 0, order:
     spark = stream.sparkSession
     draws = spark.range(n).select(F.col("id").alias("draw"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(total - width - 1)).alias("from"))
     blocks = draws.select("draw", "from", F.explode(F.sequence(F.floor(F.col("from") / width), F.floor((F.col("from") + width) / width))).alias("block"))
-    met = _sliced(with_offsets(stream, order), width, 0).withColumnRenamed("win", "block").join(blocks, "block")
+    met = slices(with_offsets(stream, order), width, 0).withColumnRenamed("win", "block").join(blocks, "block")
     parts = F.array_sort(F.collect_list(F.struct("at", "ids")))
     ids = F.slice(F.flatten(F.transform(parts, lambda p: p["ids"])), (F.first("from") - F.min("at") + 1).cast("int"), F.lit(width + 1))
     return met.groupBy("draw").agg(ids.alias("t")).select("draw", F.slice("t", 1, width).alias("x"), F.slice("t", 2, width).alias("y"))

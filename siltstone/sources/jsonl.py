@@ -16,13 +16,18 @@ PREFERENCES = T.StructType([T.StructField(n, T.StringType()) for n in ("prompt",
 
 
 def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, value) of a file, a folder's ``*.jsonl`` or a glob, lines ended by LF only.
+    """(file, line, value) of a file, a folder's ``*.jsonl`` or a glob, lines ended by LF only and numbered from 0; blank ones are left out.
 
-    Files are read whole, so that lines keep their numbers; they are as large as a shard. Files go by name.
+    Files are read in byte ranges, so one of any size takes many tasks. A first pass counts the lines of each range; their
+    sums within the file number the second pass's lines, which come in the order of the range. Files go by name.
     """
     read = spark.read.option("pathGlobFilter", "*") if path.endswith((".jsonl", ".txt", ".ndjson")) or "*" in path else spark.read.option("pathGlobFilter", "*.jsonl")
-    files = read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    return files.select("file", F.posexplode(F.split("value", "\n", -1)).alias("line", "value")).filter(t.strip(F.col("value")) != "")
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("range"), F.monotonically_increasing_id().alias("id")]
+    ranges = read.text(path, lineSep="\n").select(*place).groupBy("file", "range").agg(F.count("*").alias("lines"), F.min("id").alias("first"))
+    before = F.sum("lines").over(Window.partitionBy("file").orderBy("range")) - F.col("lines")  # a row a range
+    lines = read.text(path, lineSep="\n").select(*place, "value").filter(t.strip(F.col("value")) != "")
+    numbered = lines.join(ranges.withColumn("before", before), ["file", "range"])
+    return numbered.select("file", (F.col("before") + F.col("id") - F.col("first")).alias("line"), "value")
 
 
 def stream_local(spark: SparkSession, path: str, name: str = "local", kind: str = "prose", limit: int | None = None) -> DataFrame:

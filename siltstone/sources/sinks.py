@@ -7,33 +7,22 @@ import os
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.dedupe import numbered
+from ..operators.tokens import slices, with_offsets
+from .parts import write_parts
 
 
 def write_shards(docs: DataFrame, out_dir: str, prefix: str = "corpus", max_docs: int = 100_000, order: str = "ord", level: int = 6) -> int:
     """``{prefix}-{n:05d}.jsonl.zst`` with up to ``max_docs`` rows each (text, source, kind), in order; the number of shards.
 
-    ``out_dir`` must be a folder that all workers share. Shards are written beside and renamed, so a task that runs
-    twice leaves one file.
+    They are committed together (see ``parts``); ``out_dir`` must be a folder that all workers share, or in a store.
     """
-    os.makedirs(out_dir, exist_ok=True)
-    rows = numbered(docs.select(order, "text", "source", "kind"), [order]).withColumn("shard", F.floor(F.col("rn") / max_docs).cast("long"))
-
-    def write(key, group):
-        import pyarrow as pa
-        import zstandard
-
-        k = key[0].as_py()
-        path = os.path.join(out_dir, f"{prefix}-{k:05d}.jsonl.zst")
-        group = group.sort_by("rn")
-        with open(f"{path}.{os.getpid()}", "wb") as f, zstandard.ZstdCompressor(level=level).stream_writer(f) as z:
-            for text, source, kind in zip(*(group.column(c) for c in ("text", "source", "kind")), strict=True):
-                z.write((json.dumps({"text": text.as_py(), "source": source.as_py(), "kind": kind.as_py()}, ensure_ascii=False) + "\n").encode())
-        os.replace(f"{path}.{os.getpid()}", path)
-        return pa.table({"shard": pa.array([k], pa.int64()), "rows": pa.array([group.num_rows], pa.int64())})
-
-    return rows.groupBy("shard").applyInArrow(write, "shard long, rows long").count()
+    line = F.concat(F.to_json(F.struct("text", "source", "kind"), {"ignoreNullFields": "false"}), F.lit("\n"))
+    rows = numbered(docs.select(order, "text", "source", "kind"), [order])
+    rows = rows.select(F.floor(F.col("rn") / max_docs).alias("part"), F.col("rn").alias("at"), F.encode(line, "UTF-8").alias("data"))
+    return len(write_parts(rows, out_dir, prefix, ".jsonl.zst", level))
 
 
 def write_json_rows(rows: DataFrame, path: str, order: list[str]) -> int:
@@ -60,19 +49,27 @@ def write_split(items: DataFrame, out_dir: str, name: str, val_fraction: float,
     return out
 
 
-def write_bin(stream: DataFrame, path: str, order: str = "ord") -> int:
-    """Token ids as one flat file of little-endian unsigned 16-bit numbers; the number of tokens."""
+@F.arrow_udf(T.BinaryType())
+def _sixteen_bits(ids):
     import numpy as np
+    import pyarrow as pa
 
-    n = 0
-    with open(path, "wb") as f:
-        for r in stream.orderBy(order).select("ids").toLocalIterator():
-            ids = np.asarray(r.ids)
-            if len(ids) and (ids.min() < 0 or ids.max() > 65_535):
-                raise ValueError("an id does not fit in 16 bits")
-            f.write(ids.astype("<u2").tobytes())
-            n += len(ids)
-    return n
+    flat, ends = np.asarray(ids.flatten()), np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))
+    if len(flat) and (flat.min() < 0 or flat.max() > 65_535):
+        raise ValueError("an id does not fit in 16 bits")
+    packed = flat.astype("<u2")
+    return pa.array([packed[lo:hi].tobytes() for lo, hi in zip([0, *ends], ends, strict=False)], pa.binary())
+
+
+def write_bin(stream: DataFrame, out_dir: str, prefix: str = "tokens", part_tokens: int = 1 << 28, order: str = "ord") -> int:
+    """Token ids as little-endian unsigned 16-bit numbers in files of ``part_tokens`` tokens each; the number of tokens.
+
+    Only the last part may be shorter, so the token at a place of the stream is in part place // part_tokens; the parts one
+    after the other are the flat file. They are committed together (see ``parts``).
+    """
+    rows = slices(with_offsets(stream, order), part_tokens, 0)
+    made = write_parts(rows.select(F.col("win").alias("part"), "at", _sixteen_bits("ids").alias("data")), out_dir, prefix, ".bin")
+    return sum(p["bytes"] for p in made) // 2
 
 
 def write_meta(path: str, **values) -> None:

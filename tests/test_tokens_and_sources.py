@@ -5,9 +5,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.operators import metrics, planner, tokens
+from siltstone.operators import bpe, metrics, planner, tokens
 from siltstone.plans import config, corpus, stages
-from siltstone.sources import folder, jsonl, sinks
+from siltstone.sources import folder, jsonl, parts, sinks
 from siltstone.streaming import corpus as stream
 
 from .test_rules import GOOD
@@ -18,7 +18,7 @@ def test_bpe(spark):
     tok = tokens.train_bpe(docs, 400)
     assert tok.get_vocab_size() <= 400 and [tok.token_to_id(x) for x in tokens.SPECIAL_TOKENS] == list(range(7))
     odd = spark.createDataFrame([(0, "31415926"), (1, ""), (2, "日本 \r\n\t x"), (3, None)], "ord long, text string")
-    rows = {r.ord: r for r in tokens.encode(odd, tok).withColumn("back", tokens.decode(F.col("ids"), tok, spark)).collect()}
+    rows = {r.ord: r for r in tokens.encode(odd, tok).withColumn("back", bpe.decode(F.col("ids"), tok)).collect()}
     assert set(rows) == {0, 2} and rows[0].ids[-1] == tokens.EOS and len(rows[0].ids) == 9
     assert rows[2].back == "日本 \r\n\t x<|eos|>"
     ratio = tokens.compression_ratio(tokens.encode(docs, tok, eos=False)).first()[0]
@@ -116,6 +116,61 @@ def test_jsonl_shards_and_manifest(spark, tmp_path):
         jsonl.stream_local(spark, str(tmp_path / "bad.jsonl")).collect()
 
 
+def test_lines_of_many_byte_ranges(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    want = {}
+    for name in "ab":
+        lines = ["" if rng.random() < 0.1 else f"{i} é " + "x" * int(rng.integers(0, 400)) for i in range(900)]
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(lines) + "\n" * (name == "a"))
+        want |= {(f"{name}.jsonl", i): x for i, x in enumerate(lines) if x}
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k, v in zip(kept, ("7000", "100"), strict=True):
+            spark.conf.set(k, v)
+        lines = jsonl.ordered_lines(spark, str(tmp_path))
+        assert lines.rdd.getNumPartitions() > 40
+        assert {(os.path.basename(r.file), r.line): r.value for r in lines.collect()} == want
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_token_parts_at_known_offsets(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.integers(0, 65_536, int(rng.integers(0, 40))).tolist()) for i in range(60)]
+    flat = [x for _, ids in rows for x in ids]
+    stream_ = spark.createDataFrame(rows[::-1], "ord long, ids array<int>").repartition(5)
+    assert sinks.write_bin(stream_, str(tmp_path / "t"), part_tokens=100) == len(flat)
+    for k in range(-(-len(flat) // 100)):
+        assert np.fromfile(tmp_path / "t" / f"tokens-{k:05d}.bin", "<u2").tolist() == flat[100 * k : 100 * k + 100]
+    assert sinks.write_bin(stream_.limit(1), str(tmp_path / "t"), part_tokens=100) == len(stream_.limit(1).first().ids)
+    assert len([f for f in os.listdir(tmp_path / "t") if f.endswith(".bin")]) <= 1  # earlier parts are gone
+
+
+def test_attempts_that_do_not_count_leave_nothing(tmp_path):
+    import pyarrow as pa
+
+    batches = [pa.record_batch([pa.array([0, 0, 3]), pa.array([b"a", b"b", b"c"])], names=["part", "data"])]
+    writer = parts.PartsWriter(str(tmp_path), "p", ".bin", None)
+
+    def fails():
+        yield batches[0]
+        raise OSError("lost")
+
+    with pytest.raises(OSError):
+        writer.write(fails())
+    lost, kept = writer.write(iter(batches)), writer.write(iter(batches))
+    assert not [f for f in os.listdir(tmp_path) if f.startswith("p-")] and len(lost.files) == 2
+    writer.commit([kept, None])
+    assert sorted(os.listdir(tmp_path)) == ["p-00000.bin", "p-00003.bin", "p.index.json"] and (tmp_path / "p-00000.bin").read_bytes() == b"ab"
+    again = parts.PartsWriter(str(tmp_path), "p", ".bin", 3)
+    with pytest.raises(ValueError, match="several tasks"):
+        again.commit([again.write(iter(batches)), again.write(iter(batches))])
+    again.abort([again.write(iter(batches))])
+    assert sorted(os.listdir(tmp_path)) == ["p-00000.bin", "p-00003.bin", "p.index.json"]
+    assert parts.opened("file:/tmp/x")[1] == parts.opened("file:///tmp/x")[1] == "/tmp/x"
+
+
 def test_splits_and_bins(spark, tmp_path):
     items = spark.createDataFrame([(i, f"p{i}", "c", "r") for i in range(10)], "ord long, prompt string, chosen string, rejected string")
     assert sinks.write_split(items, str(tmp_path), "dpo", 0.2, ["ord"]) == {"train": 8, "val": 2}
@@ -124,8 +179,11 @@ def test_splits_and_bins(spark, tmp_path):
     with pytest.raises(Exception, match="no messages at .*:2"):
         jsonl.read_conversations(spark, str(tmp_path / "sft.jsonl")).collect()
     ids = spark.createDataFrame([(1, [5, 6]), (0, [65_535])], "ord long, ids array<int>")
-    assert sinks.write_bin(ids, str(tmp_path / "x.bin")) == 3
-    assert np.fromfile(tmp_path / "x.bin", "<u2").tolist() == [65_535, 5, 6]
+    assert sinks.write_bin(ids, str(tmp_path / "x")) == 3
+    assert np.fromfile(tmp_path / "x" / "tokens-00000.bin", "<u2").tolist() == [65_535, 5, 6]
+    with pytest.raises(Exception, match="16 bits"):
+        sinks.write_bin(spark.createDataFrame([(0, [70_000])], "ord long, ids array<int>"), str(tmp_path / "x"))
+    assert sorted(os.listdir(tmp_path / "x")) == ["tokens-00000.bin", "tokens.index.json"]
     with pytest.raises(FileNotFoundError):
         sinks.load_meta(str(tmp_path / "none"))
     assert jsonl.load_prompts(spark, None).count() == 5
