@@ -56,7 +56,7 @@ def got(spark, docs, **more):
 
 
 def test_against_brute_force(spark, sf):
-    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()][:80]
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()][:20]
     want = brute(docs, noise=7, least=1, ratio=2)
     assert got(spark, docs, noise=7, least=1, ratio=2) == want and sum(r[1] is not None for r in want) > 50
 
