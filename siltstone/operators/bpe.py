@@ -278,14 +278,14 @@ def train(counts: DataFrame, vocab_size: int = 32_768, min_frequency: int = 2, c
     if not 256 <= vocab_size <= 65_535:
         raise ValueError("the vocabulary must have 256 to 65535 tokens")
     share = counts.sparkSession.sparkContext.broadcast
-    least, merges = max(1, min_frequency), []
+    least, most, merges = max(1, min_frequency), candidates, []
     words = stored(counts.select(_symbols("word").alias("symbols"), F.col("n").cast("long").alias("n")).filter(F.size("symbols") > 1), "words")
     while (room := vocab_size - FIRST_MERGE - len(merges)) > 0:
         sums = words.mapInArrow(_pair_sums, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
         top = [(r.pair, r.n) for r in sums.filter(F.col("n") >= least).orderBy(F.desc("n"), "pair").limit(candidates + 1).collect()]
         if not top:
             break
-        some, every = len(top), len(top) <= candidates
+        some, every = min(len(top), most + 1), len(top) <= most
         fresh = None
         while fresh is None:
             bar = least if every else top[some - 1][1] + 1  # all pairs from here on are in ``top``
@@ -297,6 +297,7 @@ def train(counts: DataFrame, vocab_size: int = 32_768, min_frequency: int = 2, c
             pieces = stored(words.mapInArrow(_segments(pairs), words.schema).groupBy("symbols").agg(F.sum("n").alias("n")), "segments")
             if (pieces.agg(F.sum(F.size("symbols"))).first()[0] or 0) <= most_symbols:
                 fresh = sequential(((r.symbols, r.n) for r in pieces.toLocalIterator()), FIRST_MERGE + len(merges), room, bar)
+                most = min(candidates, 2 * len(wanted))  # about as many will do in the next round
             else:
                 some, every = max(1, len(wanted) // 2), False
             forgotten(pieces)

@@ -210,6 +210,8 @@ wide AS (SELECT *, max(len(chosen_ids)) OVER (PARTITION BY batch) AS chosen_w, m
 SELECT conv_id, batch, {", ".join(f"md5(array_to_string(list_resize({s}_ids, {s}_w, 0)[1:{s}_w - 1], ',')) AS {s}_x, md5(array_to_string(list_resize({s}_labels, {s}_w, -100)[2:{s}_w], ',')) AS {s}_y" for s in ("chosen", "rejected"))} FROM wide""",
     "adapt_sharegpt": f"WITH {_TURNS} SELECT conv_id, count(*) AS turns, md5(string_agg(role || ':' || content, chr(10) ORDER BY i)) AS digest FROM turn GROUP BY conv_id",
     "compression_ratio": "SELECT round(sum(length(text)) / sum(octet_length(encode(text))), 6) AS chars_per_token FROM documents",
+    "shard_round_trip": """SELECT format('corpus-{:05d}.jsonl.zst', rn // 2000) AS file, rn % 2000 AS line, md5(text) AS digest, source, CASE WHEN doc_id % 4 = 0 THEN 'code' ELSE 'prose' END AS kind
+FROM (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS rn FROM documents)""",
     "mix_targets": f"SELECT source, share, CAST(floor(share * 7000000000) AS BIGINT) AS target_tokens FROM (VALUES {', '.join(f'({n!r}, {s!r}::DOUBLE)' for n, s, _ in planner.MIX)}) AS t(source, share)",
     "assess": """WITH c AS (SELECT source, CAST(sum(length(text)) AS BIGINT) AS characters FROM documents GROUP BY source), t AS (SELECT *, CAST(floor(characters / 3.8::DOUBLE) AS BIGINT) AS estimated_tokens, 12815616::BIGINT * 21 AS tokens_wanted FROM c)
 SELECT *, round(estimated_tokens / tokens_wanted, 4) AS share_of_budget, CASE WHEN estimated_tokens / tokens_wanted >= 1.0 THEN 'enough' WHEN estimated_tokens / tokens_wanted >= 0.1 THEN 'blend' WHEN estimated_tokens >= 100000 THEN 'fine_tune' ELSE 'too_small' END AS verdict FROM t""",

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..functions.session import stored, table
-from ..operators import chat, dedupe, metrics, planner, quality, tokens
+from ..functions.session import shared_dir, stored, table
+from ..operators import bpe, chat, dedupe, metrics, planner, quality, tokens
+from ..sources import jsonl, sinks
 from . import corpus
 
+#: Queries whose results SQL cannot express; the tests named hold them against brute force.
+NO_SQL = {"bpe_merges": "tests/test_bpe.py", "bpe_ids": "tests/test_bpe.py"}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -266,6 +270,34 @@ def compression_ratio(spark, d):
     return tokens.compression_ratio(documents(spark, d).withColumn("ids", tokens.byte_ids(F.col("text")))).select(F.round("chars_per_token", 6).alias("chars_per_token"))
 
 
+def _bpe(spark, d) -> bpe.Model:
+    return tokens.train_bpe(table(spark, d, "documents"), 4_096)
+
+
+@query
+def bpe_merges(spark, d):
+    """The merges learned from all documents, tokens in hexadecimal digits."""
+    return _bpe(spark, d).frame(spark)
+
+
+@query
+def bpe_ids(spark, d):
+    """Every document encoded by a model of all documents, and whether decoding gives its text again."""
+    model = _bpe(spark, d)
+    rows = stored(bpe.encode(table(spark, d, "documents").select("doc_id", "text"), model), "ids")
+    same = bpe.decode(F.col("ids"), model) == F.coalesce("text", F.lit(""))
+    return rows.select("doc_id", F.size("ids").alias("n_ids"), F.md5(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("digest"), same.alias("round_trip"))
+
+
+@query
+def shard_round_trip(spark, d):
+    """All documents written as compressed shards in the shared folder and read again."""
+    folder = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    sinks.write_shards(documents(spark, d), folder, max_docs=2_000)
+    rows = jsonl.read_shards(spark, folder)
+    return rows.select(F.regexp_extract("file", r"[^/]+$", 0).alias("file"), "line", F.md5("text").alias("digest"), "source", "kind")
+
+
 @query
 def mix_targets(spark, d):
     return planner.mix_targets(spark).select("source", "share", "target_tokens")

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 from collections import Counter
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from siltstone.operators import bpe
+from siltstone.plans.queries import QUERIES
 
 ODD = ["31415926", "", "日本 \r\n\t x", "a  b   7 8  c\n\n", "it's they'll WE'RE 'x", "🙂🙂 naïve ½²", " ", "x y  z", "aaaaaaaaaaaaaaaaaa" * 40, "  \t 9"]
 
@@ -108,6 +110,16 @@ def test_the_public_format(model, tmp_path):
         bpe.train(None, 70_000)
 
 
+def test_queries_over_whole_tables(spark, sf, corpus):
+    learned = bpe.train(bpe.word_counts(corpus), 4_096)
+    assert [tuple(r) for r in QUERIES["bpe_merges"](spark, sf).orderBy("rank").collect()] == [tuple(r) for r in learned.frame(spark).orderBy("rank").collect()]
+    public, texts = Tokenizer.from_str(learned.to_str()), {r.doc_id: r.text for r in corpus.collect()}
+    rows = QUERIES["bpe_ids"](spark, sf).collect()
+    ids = {d: public.encode(t, add_special_tokens=False).ids for d, t in texts.items()}
+    want = sorted((d, len(x), hashlib.md5(",".join(map(str, x)).encode()).hexdigest(), True) for d, x in ids.items())
+    assert sorted(map(tuple, rows)) == want
+
+
 def test_frame(spark, model):
     rows = model.frame(spark).orderBy("rank").collect()
     assert [r["rank"] for r in rows] == list(range(len(model.merges))) and all(r.token == r.left + r.right and r.n > 1 for r in rows)
