@@ -38,7 +38,7 @@ def truthy(*columns: Column) -> Column:
     return F.coalesce(*[F.when(c != "", c) for c in columns])
 
 
-def _role(role: Column) -> Column:
+def known_role(role: Column) -> Column:
     names = F.create_map(*[F.lit(x) for pair in ROLE_ALIASES.items() for x in pair])
     return F.try_element_at(names, F.lower(F.coalesce(role, F.lit(""))))
 
@@ -49,7 +49,7 @@ def adapt_turns(turns: Column, role: str = "role", content: str = "content") ->
     def checked(ms):
         return F.when((F.size(ms) > 0) & ~F.exists(ms, lambda m: m["role"].isNull() | (m["content"] == "")), ms)
 
-    return t.bound(F.transform(turns, lambda x: message(_role(x[role]), t.clean(x[content]))), checked)
+    return t.bound(F.transform(turns, lambda x: message(known_role(x[role]), t.clean(x[content]))), checked)
 
 
 def adapt_sharegpt(conversations: Column, conversation: Column | None = None) -> Column:

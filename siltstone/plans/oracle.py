@@ -210,6 +210,10 @@ wide AS (SELECT *, max(len(chosen_ids)) OVER (PARTITION BY batch) AS chosen_w, m
 SELECT conv_id, batch, {", ".join(f"md5(array_to_string(list_resize({s}_ids, {s}_w, 0)[1:{s}_w - 1], ',')) AS {s}_x, md5(array_to_string(list_resize({s}_labels, {s}_w, -100)[2:{s}_w], ',')) AS {s}_y" for s in ("chosen", "rejected"))} FROM wide""",
     "adapt_sharegpt": f"WITH {_TURNS} SELECT conv_id, count(*) AS turns, md5(string_agg(role || ':' || content, chr(10) ORDER BY i)) AS digest FROM turn GROUP BY conv_id",
     "compression_ratio": "SELECT round(sum(length(text)) / sum(octet_length(encode(text))), 6) AS chars_per_token FROM documents",
+    "post_statuses": f"""WITH {_TURNS}, {_REASON}, said AS (SELECT conv_id, {_clean("arg_min(text, turn) FILTER (role = 'user')")} AS q, {_clean("arg_max(text, turn) FILTER (role = 'assistant')")} AS a FROM conversations GROUP BY conv_id)
+SELECT conv_id, ['sharegpt', 'messages', 'instruct_pair'][conv_id % 3 + 1] AS adapter, CASE WHEN conv_id % 11 = 0 THEN 'adapter_error' WHEN conv_id % 13 = 0 THEN 'unadaptable' WHEN conv_id % 3 < 2 THEN coalesce(reason, 'kept')
+  WHEN coalesce(q, '') = '' OR coalesce(a, '') = '' THEN 'unadaptable' WHEN length(q) + length(a) > 24000 THEN 'too_long' WHEN length(a) < 20 THEN 'answer_too_short' WHEN {_REFUSAL.format("a")} THEN 'refusal_or_meta' ELSE 'kept' END AS status
+FROM said JOIN judged USING (conv_id)""",
     "shard_round_trip": """SELECT format('corpus-{:05d}.jsonl.zst', rn // 2000) AS file, rn % 2000 AS line, md5(text) AS digest, source, CASE WHEN doc_id % 4 = 0 THEN 'code' ELSE 'prose' END AS kind
 FROM (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS rn FROM documents)""",
     "mix_targets": f"SELECT source, share, CAST(floor(share * 7000000000) AS BIGINT) AS target_tokens FROM (VALUES {', '.join(f'({n!r}, {s!r}::DOUBLE)' for n, s, _ in planner.MIX)}) AS t(source, share)",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions.session import shared_dir, stored, table
-from ..operators import bpe, chat, dedupe, metrics, planner, quality, tokens
+from ..operators import bpe, chat, dedupe, metrics, planner, post, quality, tokens
 from ..sources import jsonl, sinks
 from . import corpus
 
@@ -265,6 +265,35 @@ def adapt_sharegpt(spark, d):
     return ms.select("conv_id", F.size("m").alias("turns"), F.md5(F.array_join(F.transform("m", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "\n").cast("binary")).alias("digest"))
 
 
+def raw_conversations(spark, d) -> DataFrame:
+    """(ord, adapter, row): conversations as raw rows of three formats; each eleventh has a wrong shape, each thirteenth lacks something."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    last = lambda role, place: F.try_element_at(F.filter("turns", lambda x: x["role"] == role), F.lit(place))["text"]
+    role = lambda x, i: F.when((F.col("conv_id") % 13 == 0) & (i == 0), "wizard").otherwise(x["role"])
+    spoken = F.transform("turns", lambda x, i: F.struct(role(x, i).alias("from"), x["text"].alias("value")))
+    written = F.transform("turns", lambda x, i: F.struct(role(x, i).alias("role"), x["text"].alias("content")))
+    kind, wrong = F.col("conv_id") % 3, F.col("conv_id") % 11 == 0
+    made = (
+        F.when(wrong & (kind == 2), F.lit("[1, 2]"))
+        .when(wrong, F.concat(F.lit('{"conversations": 7, "messages": ["'), F.col("conv_id").cast("string"), F.lit('"]}')))
+        .when(kind == 0, F.to_json(F.struct(spoken.alias("conversations"))))
+        .when(kind == 1, F.to_json(F.struct(written.alias("messages"))))
+        .otherwise(F.to_json(F.struct(last("user", 1).alias("instruction"), F.when(F.col("conv_id") % 13 > 0, last("assistant", -1)).alias("output"))))
+    )
+    adapter = F.element_at(F.array(*map(F.lit, ("sharegpt", "messages", "instruct_pair"))), (kind + 1).cast("int"))
+    rows = table(spark, d, "conversations").groupBy("conv_id").agg(turns.alias("turns"))
+    return rows.select(F.col("conv_id").alias("ord"), adapter.alias("adapter"), F.parse_json(made).alias("row"))
+
+
+@query
+def post_statuses(spark, d):
+    rows, out = stored(raw_conversations(spark, d), "raw"), None
+    for name in post.ADAPTERS["sft"]:
+        own = post.convert(rows.filter(F.col("adapter") == name), "sft", name).select(F.col("ord").alias("conv_id"), F.lit(name).alias("adapter"), "status")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 @query
 def compression_ratio(spark, d):
     return tokens.compression_ratio(documents(spark, d).withColumn("ids", tokens.byte_ids(F.col("text")))).select(F.round("chars_per_token", 6).alias("chars_per_token"))

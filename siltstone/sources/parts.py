@@ -41,12 +41,12 @@ class Written(WriterCommitMessage):
 
 
 class PartsWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, prefix: str, suffix: str, level: int | None):
-        self.path, self.prefix, self.suffix, self.level = path, prefix, suffix, level
+    def __init__(self, path: str, prefix: str, suffix: str, level: int | None, single: bool = False):
+        self.path, self.prefix, self.suffix, self.level, self.single = path, prefix, suffix, level, single
         self.staging = f"_staging-{uuid.uuid4().hex}"
 
     def name_of(self, part: int) -> str:
-        return f"{self.prefix}-{part:05d}{self.suffix}"
+        return f"{self.prefix}{self.suffix}" if self.single else f"{self.prefix}-{part:05d}{self.suffix}"
 
     def write(self, iterator: Iterator) -> Written:
         """The rows of a task, sorted by part; one file is open at a time."""
@@ -90,7 +90,7 @@ class PartsWriter(DataSourceArrowWriter):
             raise ValueError("rows of one part came from several tasks")
         with ThreadPoolExecutor(16) as pool:
             list(pool.map(lambda f: files.move(posixpath.join(root, self.staging, f[1]), posixpath.join(root, self.name_of(f[0]))), parts))
-        own = re.compile(rf"{re.escape(self.prefix)}-\d{{5,}}{re.escape(self.suffix)}")
+        own = re.compile(re.escape(self.name_of(0)) if self.single else rf"{re.escape(self.prefix)}-\d{{5,}}{re.escape(self.suffix)}")
         for path in _names(files, root):
             if own.fullmatch(path) and path not in names:
                 files.delete_file(posixpath.join(root, path))
@@ -127,18 +127,19 @@ class NumberedParts(DataSource):
 
     def writer(self, schema, overwrite: bool) -> PartsWriter:
         level = self.options.get("level")
-        return PartsWriter(self.options["path"], self.options["prefix"], self.options["suffix"], None if level is None else int(level))
+        return PartsWriter(self.options["path"], self.options["prefix"], self.options["suffix"], None if level is None else int(level), "single" in self.options)
 
 
-def write_parts(rows: DataFrame, path: str, prefix: str, suffix: str, level: int | None = None) -> list[dict]:
+def write_parts(rows: DataFrame, path: str, prefix: str, suffix: str, level: int | None = None, single: bool = False) -> list[dict]:
     """Writes (part, at, data), ``data`` in the order of ``at``, as ``{prefix}-{part:05d}{suffix}``; the index of the parts.
 
-    With ``level``, files are compressed by zstd.
+    With ``level``, files are compressed by zstd. With ``single``, there is only one part, whose name has no number.
     """
     rows.sparkSession.dataSource.register(NumberedParts)
     sorted_ = rows.repartition("part").sortWithinPartitions("part", "at").selectExpr("cast(part AS long) AS part", "data")
     out = sorted_.write.format(FORMAT).options(prefix=prefix, suffix=suffix, path=path)
-    (out if level is None else out.option("level", level)).mode("append").save()
+    out = out if level is None else out.option("level", level)
+    (out.option("single", "yes") if single else out).mode("append").save()
     files, root = opened(path)
     with files.open_input_stream(posixpath.join(root, f"{prefix}.index.json")) as f:
         return json.loads(f.read())

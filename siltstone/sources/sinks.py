@@ -26,21 +26,17 @@ def write_shards(docs: DataFrame, out_dir: str, prefix: str = "corpus", max_docs
 
 
 def write_json_rows(rows: DataFrame, path: str, order: list[str]) -> int:
-    """One JSONL file, streamed through the driver in order, for sets of training examples of bounded size."""
-    n = 0
-    columns = [c for c in rows.columns if c not in order]
-    with open(path, "w", encoding="utf-8") as f:
-        for r in rows.orderBy(*order).select(F.to_json(F.struct(*columns)).alias("j")).toLocalIterator():
-            f.write(r.j + "\n")
-            n += 1
-    return n
+    """One JSONL file of the columns beside the order's, written by one task: for sets of training examples, which are small."""
+    folder, _, name = path.rpartition("/")
+    line = F.concat(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns if c not in order])), F.lit("\n"))
+    made = write_parts(rows.select(F.lit(0).alias("part"), F.struct(*order).alias("at"), F.encode(line, "UTF-8").alias("data")), folder or ".", name.removesuffix(".jsonl"), ".jsonl", single=True)
+    return sum(p["rows"] for p in made)
 
 
 def write_split(items: DataFrame, out_dir: str, name: str, val_fraction: float, order: list[str]) -> dict:
     """``{name}.jsonl`` and ``{name}_val.jsonl``: the head of the order is the validation set, at least one row."""
     from ..operators.chat import train_val_split
 
-    os.makedirs(out_dir, exist_ok=True)
     split = train_val_split(items, order, val_fraction)
     out = {}
     for part, keep in (("train", ~F.col("is_val")), ("val", F.col("is_val"))):
