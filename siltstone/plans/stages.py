@@ -42,7 +42,7 @@ def main(argv: list[str] | None = None) -> int:
 
     from ..operators.dedupe import numbered
     from ..sources import folder, jsonl, sinks
-    from .corpus import build, manifest, survivors
+    from .corpus import build, counts_by, manifest, survivors
 
     spark = SparkSession.builder.getOrCreate()
     if a.folder:
@@ -50,11 +50,12 @@ def main(argv: list[str] | None = None) -> int:
         docs = numbered(rows, ["ord", "line"]).select(F.col("rn").alias("ord"), "text", "source", "kind")
     else:
         docs = numbered(jsonl.stream_local(spark, a.input), ["at"]).select(F.col("rn").alias("ord"), "text", "source", "kind")
-    built = build(docs, a.window, a.threshold)
     began = time.perf_counter()
+    built = build(docs, a.window, a.threshold)
     shards = sinks.write_shards(survivors(built), a.out_dir, a.prefix, a.max_docs)
     per_source = {r.source: r["documents"] for r in survivors(built).groupBy("source").agg(F.count("*").alias("documents")).toLocalIterator()}
-    sinks.write_manifest(manifest(built, a.max_docs), f"{a.out_dir}/manifest.json", shards=shards, per_source=per_source, seconds=round(time.perf_counter() - began, 2))
+    dropped = {r.reason: r["documents"] for r in counts_by(built, "reason").toLocalIterator()}  # a row a reason
+    sinks.write_manifest(manifest(built, a.max_docs), f"{a.out_dir}/manifest.json", shards=shards, per_source=per_source, dropped_by_filter=dropped, seconds=round(time.perf_counter() - began, 2))
     return 0
 
 

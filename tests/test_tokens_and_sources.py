@@ -108,7 +108,7 @@ def test_jsonl_shards_and_manifest(spark, tmp_path):
     stages.run_stages([("build", lambda: stages.main([str(tmp_path / "in"), str(tmp_path / "out"), "--max-docs", "3"]))], events.append)
     made = json.loads((tmp_path / "out" / "manifest.json").read_text())
     assert (made["documents_in"], made["passed_filters"], made["removed_exact_duplicates"], made["documents_out"], made["shards"]) == (9, 8, 1, 7, 3)
-    assert [e["event"] for e in events] == ["start", "done", "finished"]
+    assert [e["event"] for e in events] == ["start", "done", "finished"] and sum(made["dropped_by_filter"].values()) == made["dropped"] == 1
     back = jsonl.read_shards(spark, str(tmp_path / "out")).orderBy("file", "line").collect()
     assert [r.text for r in back] == [corpus_text for corpus_text in texts[:7]]
     (tmp_path / "bad.jsonl").write_text('{"text": "a"}\n{broken\n')
@@ -225,4 +225,6 @@ def test_settings(tmp_path):
         with pytest.raises(ValueError):
             config.load(path, {})
     assert config.problems({**got, "model": {"vocab_size": 70_000}})
+    (tmp_path / "smoke.toml").write_text(config.dumps(config.smoke(got)))
+    assert config.load(tmp_path / "smoke.toml", {}) == config.smoke(got) and config.problems({"train": {"dtype": "int8"}})
     assert config.smoke(got)["model"]["preset"] == "nano" and not config.problems(config.smoke(got)) and got["model"]["preset"] != "nano"
