@@ -3,8 +3,10 @@
 What a text says of licences is compared with the templates: every line that speaks of them, every block of lines
 (between blank lines, without comment signs, so that wrapped headers and licence files are read whole), and SPDX tags,
 which are taken as they are. Terms are weighted by TF-IDF over the templates, which are a fixed, small set, so their
-sparse vectors are literals in the expression and nothing is broadcast or shuffled to score. A file has the licence of
-its best line or block, if the cosine reaches ``threshold``. The texts are scanned once; what they say is stored.
+sparse vectors are literals in the expression and nothing is broadcast or shuffled to score. A licence only counts where
+its distinctive terms stand (``NEEDED``: no MPL without Mozilla), and a short notice that denies one does not count. A
+file has the licence of its best line or block, if the cosine reaches ``threshold``; a clause elsewhere in the file may
+make it another of its family (``CLAUSES``). The texts are scanned once; what they say is stored.
 
 Files that are a licence (by name, or because what they say of licences makes up more than half of their words) speak for their
 directory. All others without a licence of their own inherit from the nearest ancestor directory: distinct directories
@@ -18,7 +20,9 @@ judged, extra columns stay (but results take the place of columns of their names
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 import re
 from collections import Counter
 
@@ -53,7 +57,28 @@ _NOTICES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("ISC", "ISC License"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("EPL-1.0", "Eclipse Public License - v 1.0"),
+    ("EUPL-1.2", "Licensed under the EUPL 1.2"),
+    ("EUPL-1.2", "European Union Public Licence V. 1.2"),
+    ("Zlib", "zlib License"),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
 )
+#: Terms that a text must have to be this licence at all; all those of one of the groups.
+NEEDED = {
+    "MIT": (("mit",), ("permission", "charge", "sublicense")), "Apache-2.0": (("apache",), ("basis", "conditions", "limitations")), "BSD-2-Clause": (("bsd", "2"), ("bsd", "simplified"), ("redistribution", "binary", "forms")),
+    "BSD-3-Clause": (("bsd", "3"), ("bsd", "new"), ("neither", "endorse")), "MPL-2.0": (("mozilla",), ("mpl",)), "CC-BY-4.0": (("cc", "by"), ("creative", "commons")), "CC-BY-SA-4.0": (("cc", "sa"), ("commons", "sharealike")),
+    "CC-BY-NC-4.0": (("cc", "nc"), ("commons", "noncommercial")), "CC0-1.0": (("cc0",),), "Unlicense": (("unencumbered",), ("unlicense",)), "ISC": (("isc",), ("permission", "fee", "copies")),
+    "EPL-2.0": (("eclipse", "2"), ("epl", "2")), "EPL-1.0": (("eclipse", "1"), ("epl", "1")), "EUPL-1.2": (("eupl",), ("european", "union")), "Zlib": (("zlib",), ("misrepresented",)), "BSL-1.0": (("boost",),),
+    "GPL": (("general", "public"),), "LGPL": (("lesser", "public"),), "AGPL": (("affero", "public"),),
+}
+#: What makes a licence another one, if the whole file has it.
+CLAUSES = (("BSD-2-Clause", r"(?i)neither the names?\s+of", "BSD-3-Clause"),)
+#: A short unit that says what does not hold names no licence.
+DENIED, SHORT = r"(?i)\bnot\s+(?:\w+\s+){0,2}(?:under|subject to|covered by)\b", 400
 #: The licences of one family, their versions, and the dates in the titles.
 _FAMILY = (
     ("GPL", "General Public License", "program", "1.0", (("2", "2.0", "June 1991"), ("3", "3.0", "29 June 2007"))),
@@ -80,7 +105,7 @@ def _family():
 TEMPLATES = (*_NOTICES, *_family())
 
 TERM = "[a-z0-9]+"
-_SPEAKS = "licen[cs]e|spdx|copyright|permission is hereby|permission to use|redistribution and use|public domain|warranties or conditions"
+_SPEAKS = "licen[cs]e|eupl|must not be misrepresented|spdx|copyright|permission is hereby|permission to use|redistribution and use|public domain|warranties or conditions"
 LINE = f"(?imd)^.*(?:{_SPEAKS}).*$"
 FILE_NAME = r"(?i)^(un)?licen[cs]e([.-].*)?$|^copying([.-].*)?$|^notice(\..*)?$"
 #: A tag, and the identifiers whose bare version was given up.
@@ -93,6 +118,11 @@ NUMBERS = 2.0
 THRESHOLD = 0.6
 
 
+def needed(license_: str) -> tuple[tuple[str, ...], ...]:
+    """The groups of terms of which a text must have one; versions of the GNU family share theirs."""
+    return NEEDED[license_ if license_ in NEEDED else license_.split("-")[0]]
+
+
 def weights(templates=TEMPLATES) -> tuple[dict[str, float], list[tuple[str, dict[str, float]]]]:
     """Inverse document frequency of each term, and each template's unit vector."""
     terms = [Counter(re.findall(TERM, text.lower())) for _, text in templates]
@@ -136,10 +166,12 @@ def best_template(line: Column, templates=TEMPLATES) -> Column:
 
     def scored(ws):
         norm = F.sqrt(F.aggregate(ws, F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
+        has = lambda t: F.exists(ws, lambda x: x["t"] == t)
         scores = []
         for name, vector in vectors:
             dot = _dot(ws, _literal_map(vector))
-            scores.append(F.struct(F.when(norm > 0, F.round(dot / norm, 6)).otherwise(0.0).alias("score"), F.lit(name).alias("license")))
+            may = functools.reduce(operator.or_, [functools.reduce(operator.and_, map(has, group)) for group in needed(name)])
+            scores.append(F.struct(F.when(may, F.round(dot / norm, 6)).otherwise(0.0).alias("score"), F.lit(name).alias("license")))
         return F.array_max(F.array(*scores))
 
     return bound(F.array_sort(terms), lambda s: bound(ends(s), lambda e: bound(counted(s, e), scored)))
@@ -160,12 +192,15 @@ def scan(files: DataFrame, text: str = "text", threshold: float = THRESHOLD) ->
 
     def judged(units):
         of = F.transform(units, lambda x: F.struct(F.when(tag_of(x) != "", F.struct(F.lit(1.0).alias("score"), tag_of(x).alias("license"))).otherwise(best_template(x)).alias("best"), x.alias("line")))
-        return F.filter(of, lambda x: x["best"]["score"] >= threshold)
+        return F.filter(of, lambda x: (x["best"]["score"] >= threshold) & ~((F.length(x["line"]) < SHORT) & x["line"].rlike(DENIED)))
 
     good, own_lines, own_blocks = private(files, "good", "lines", "blocks")
     spoken = [F.aggregate(c, F.lit(0), lambda n, x: n + words(x["line"])) for c in (own_lines, own_blocks)]
     best = F.array_max(good)
-    own = F.struct(best["best"]["license"].alias("license"), best["best"]["score"].alias("score"), best["line"].alias("line"), (F.greatest(*spoken) / F.greatest(words(source), F.lit(1))).alias("share"))
+    name = best["best"]["license"]
+    for bare, clause, other in CLAUSES:
+        name = F.when((name == bare) & source.rlike(clause), other).otherwise(name)
+    own = F.struct(name.alias("license"), best["best"]["score"].alias("score"), best["line"].alias("line"), (F.greatest(*spoken) / F.greatest(words(source), F.lit(1))).alias("share"))
     speaks = source.rlike(f"(?i){_SPEAKS}")
     out = files.withColumns({own_lines: F.when(speaks, judged(lines)), own_blocks: F.when(speaks, judged(blocks))})
     out = out.withColumn(good, F.concat(own_lines, own_blocks))
@@ -215,21 +250,26 @@ def op3_licenses(spark, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     idf, vectors = weights()
     term_rows = ", ".join(f"('{t}', {v!r}::DOUBLE)" for t, v in sorted(idf.items()))
+    need_rows = ", ".join(f"('{n}', {a}, {len(group)}, '{t}')" for n in dict(vectors) for a, group in enumerate(needed(n)) for t in group)
+    named = "o.license"
+    for bare, clause, other in CLAUSES:
+        named = f"CASE WHEN {named} = '{bare}' AND regexp_matches(text, '{clause}') THEN '{other}' ELSE {named} END"
     template_rows = ", ".join(f"({k}, '{name}', '{t}', {v!r}::DOUBLE)" for k, (name, vector) in enumerate(vectors) for t, v in sorted(vector.items()))
     return rf"""
-WITH idf(t, v) AS (VALUES {term_rows}), template(k, license, t, v) AS (VALUES {template_rows}),
+WITH idf(t, v) AS (VALUES {term_rows}), template(k, license, t, v) AS (VALUES {template_rows}), need(license, a, terms, t) AS (VALUES {need_rows}),
 doc AS (SELECT row_number() OVER () AS r, doc_id, text, source || '/' || lang AS dir, source || '/' || lang || '/' || CAST(doc_id AS VARCHAR) AS path FROM documents),
 line AS (SELECT r, 0 AS kind, i, line FROM (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM doc WHERE regexp_matches(text, '{_SPEAKS}', 'i')) WHERE regexp_matches(line, '{_SPEAKS}', 'i')
   UNION ALL SELECT r, 1, i, line FROM (SELECT r, unnest(b) AS line, generate_subscripts(b, 1) AS i FROM (SELECT r, string_split_regex(regexp_replace(text, '(?m){COMMENT}', '', 'g'), '{BLANK}') AS b FROM doc WHERE regexp_matches(text, '{_SPEAKS}', 'i'))) WHERE contains(line, chr(10)) AND regexp_matches(line, '{_SPEAKS}', 'i')),
 term AS (SELECT r, kind, i, t, count(*) AS n FROM (SELECT r, kind, i, unnest(regexp_extract_all(lower(line), '{TERM}')) AS t FROM line) GROUP BY ALL),
 weighed AS (SELECT r, kind, i, t, n * coalesce(v, {math.log(1 + len(vectors)) + 1!r}) AS w FROM term LEFT JOIN idf USING (t)),
+may AS (SELECT DISTINCT r, kind, i, license FROM (SELECT r, kind, i, license, a FROM term JOIN need USING (t) GROUP BY ALL HAVING count(*) = any_value(terms))),
 norm AS (SELECT r, kind, i, sqrt(sum(w * w)) AS norm FROM weighed GROUP BY ALL),
-scored AS (SELECT r, kind, i, k, license, round(sum(w * v) / any_value(norm), 6) AS score FROM weighed JOIN template USING (t) JOIN norm USING (r, kind, i) GROUP BY ALL),
+scored AS (SELECT r, kind, i, k, license, round(sum(w * v) / any_value(norm), 6) AS score FROM weighed JOIN template USING (t) JOIN may USING (r, kind, i, license) JOIN norm USING (r, kind, i) GROUP BY ALL),
 tag AS (SELECT r, kind, i, regexp_replace(regexp_replace(regexp_extract(line, '{SPDX}', 1), '{BARE}\+', '\1-or-later', 'g'), '{BARE}($|\s)', '\1-only\2', 'g') AS tag FROM line),
 best AS (SELECT r, kind, line, CASE WHEN tag <> '' THEN struct_pack(score := 1.0::DOUBLE, license := tag) ELSE b END AS b
-  FROM line JOIN tag USING (r, kind, i) LEFT JOIN (SELECT r, kind, i, max(struct_pack(score := score, license := license)) AS b FROM scored GROUP BY ALL) USING (r, kind, i) WHERE tag <> '' OR b.score >= {THRESHOLD}),
+  FROM line JOIN tag USING (r, kind, i) LEFT JOIN (SELECT r, kind, i, max(struct_pack(score := score, license := license)) AS b FROM scored GROUP BY ALL) USING (r, kind, i) WHERE (tag <> '' OR b.score >= {THRESHOLD}) AND NOT (length(line) < {SHORT} AND regexp_matches(line, '{DENIED}'))),
 own AS (SELECT r, max(struct_pack(score := b.score, license := b.license, line := line)) AS o, greatest(sum(CASE kind WHEN 0 THEN len(regexp_extract_all(line, '\S+')) ELSE 0 END), sum(CASE kind WHEN 1 THEN len(regexp_extract_all(line, '\S+')) ELSE 0 END)) AS spoken FROM best GROUP BY r),
-file AS (SELECT doc.*, o, spoken / greatest(len(regexp_extract_all(text, '\S+')), 1) AS share FROM doc LEFT JOIN own USING (r)),
+file AS (SELECT doc.*, CASE WHEN o IS NOT NULL THEN struct_pack(license := {named}, score := o.score, line := o.line) END AS o, spoken / greatest(len(regexp_extract_all(text, '\S+')), 1) AS share FROM doc LEFT JOIN own USING (r)),
 given AS (SELECT dir, arg_min(o.license, struct_pack(s := -o.score, p := path)) AS license FROM file WHERE o IS NOT NULL AND share > 0.5 GROUP BY dir),
 up AS (SELECT dir, dir AS up, 0 AS far FROM (SELECT DISTINCT dir FROM file) UNION ALL SELECT dir, split_part(dir, '/', 1), 1 FROM (SELECT DISTINCT dir FROM file) UNION ALL SELECT dir, '', 2 FROM (SELECT DISTINCT dir FROM file)),
 near AS (SELECT up.dir, arg_min(license, far) AS license, arg_min(up, far) AS up FROM up JOIN given ON up.up = given.dir GROUP BY up.dir)

@@ -14,7 +14,8 @@ def cosine(line):
     counts = Counter(re.findall("[a-z0-9]+", line.lower()))
     w = {t: n * idf.get(t, math.log(1 + len(vectors)) + 1) for t, n in counts.items()}
     norm = math.sqrt(sum(x * x for x in w.values())) or 1
-    return max((round(sum(w.get(t, 0) * v for t, v in vector.items()) / norm, 6), name) for name, vector in vectors)
+    may = lambda name: any(set(g) <= set(counts) for g in licenses.needed(name))
+    return max((round(sum(w.get(t, 0) * v for t, v in vector.items()) / norm, 6) if may(name) else 0.0, name) for name, vector in vectors)
 
 
 def test_templates_find_themselves(spark):
@@ -27,6 +28,35 @@ def test_templates_find_themselves(spark):
     assert [n for _, n in got[: len(licenses.TEMPLATES)]] == [n for n, _ in licenses.TEMPLATES] and got[-3][0] < licenses.THRESHOLD
 
 
+BSD_3 = """Copyright (c) 2020, Someone
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+def test_licences_that_resemble_each_other(spark):
+    cases = [
+        (BSD_3, "BSD-3-Clause"), (BSD_3.split("3. Neither")[0], "BSD-2-Clause"), ("Eclipse Public License - v 2.0", "EPL-2.0"), ("Licensed under the EUPL 1.2", "EUPL-1.2"), ("The BSD license", None),
+        ("NOT released under the MIT License.", None), ("This is not licensed under the Apache License, Version 2.0.", None), ("Distributed under the Boost Software License, Version 1.0. (See accompanying file)", "BSL-1.0"), ("Some Other Public License Version 2.0", None),
+        ("Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n1. The origin of this software must not be misrepresented;", "Zlib"), ("Released under the MIT License.", "MIT"),
+        ("Licensed under the Foo License, Version 2.0", None), ("This work is licensed under the Bar Public License, version 3.", None),
+    ]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "k long, text string")
+    got = {r.k: r.own and r.own.license for r in licenses.scan(df).collect()}
+    assert {t[:40]: got[k] for k, (t, w) in enumerate(cases) if got[k] != w} == {}
+
+
 GPL_HEADER = """/*
  * This program is free software; you can redistribute it and/or
  * modify it under the terms of the GNU General Public License
@@ -79,7 +109,7 @@ def test_long_texts(spark):
 
 
 def test_sql_on_headers_and_tags(spark, tmp_path):
-    texts = [GPL_HEADER, "# SPDX-License-Identifier: GPL-2.0+ \n\ncode", "GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007\n\nmore", "; a\n;\n; license\n\n\n x license y\nz", "SPDX: (GPL-2.0 OR MIT)", None, ""]
+    texts = [GPL_HEADER, "# SPDX-License-Identifier: GPL-2.0+ \n\ncode", "GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007\n\nmore", "; a\n;\n; license\n\n\n x license y\nz", "SPDX: (GPL-2.0 OR MIT)", None, "", BSD_3, "NOT released under the MIT License.", "Eclipse Public License - v 2.0", "The BSD license", "Some Other Public License Version 2.0"]
     docs = [(k, t, "en", f"s{k % 3}") for k, t in enumerate(texts)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     compare(spark, str(tmp_path), f"{tmp_path}/documents.parquet/*.parquet")
