@@ -32,7 +32,7 @@ CANDIDATE = (
     r"|eyJ(?<![A-Za-z0-9_\-]eyJ)[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]{8,}+"
     r"|(?<=:)(?<=://[^\s/:@]{0,64}:)[^\s/:@]{3,128}(?=@)"
     r"|(?<![\p{L}\p{N}+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{14,}={0,2}(?![\p{L}\p{N}])"
-    rf"|(?<=[=:\s\"'])(?<=[=:]\s{{0,2}}[\"']?)(?<=(?:{_NAMES})[\"']?\s{{0,2}}[=:]\s{{0,2}}[\"']?)[^\s\"'<>,;=:]{{5,127}}[^\s\"'<>,;.!?)\]]"
+    rf"|(?<=[=:\s\"'])(?<=[=:]\s{{0,2}}[\"']?)(?<=(?i:{_NAMES})[\"']?\s{{0,2}}[=:]\s{{0,2}}[\"']?)[^\s\"'<>,;=:]{{5,127}}[^\s\"'<>,;.!?)\]]"
 )
 
 #: Words that tell a finding's neighbourhood, and words that keys seldom contain.
@@ -43,7 +43,17 @@ DICTIONARY = (
     "access|account|action|address|agent|alpha|android|apple|april|archive|article|august|author|backup|banner|batch|beta|blog|book|browser|build|button|cache|calendar|camera|card|center|change|client|cloud|code|color|commit|common|config|content|control|copy|count|create|cross|custom|data|date|debug|default|deploy|design|detail|device|digest|domain|download|draft|edit|email|error|event|example|export|field|file|filter|final|first|folder|footer|form|format|frame|full|gallery|global|group|guide|hash|header|height|home|host|html|http|icon|image|import|index|info|input|issue|item|json|key|label|large|last|layout|left|level|library|license|light|line|link|list|local|lock|login|logo|main|manager|map|march|master|media|menu|message|method|mobile|model|module|month|name|network|news|note|number|object|offset|online|option|order|output|owner|package|page|panel|parent|park|part|password|patch|path|photo|plugin|point|policy|port|post|preview|price|print|product|profile|project|public|query|release|report|request|result|review|right|root|route|sample|script|search|secret|section|select|server|service|session|sheet|site|size|small|source|stable|start|state|static|status|step|storage|store|style|summary|support|system|table|target|task|team|template|test|text|theme|thumb|time|title|token|tool|total|track|type|update|upload|user|value|version|video|view|volume|week|widget|width|window|word|world|year"
 )
 
-FEATURES = ("length", "transitions", "entropy", "distinct", "digits", "uppers", "symbols", "hexlike", "known", "covered", "placeholder", "assigned", "naming", "harmless", "quoted", "test_path", "code_path", "block", "address")
+#: A value that only refers to a secret kept elsewhere: a variable, a lookup, a call, a template.
+REFERENCE = (
+    r"^\$\{?[A-Za-z_][A-Za-z_.]*\}?$|^\$[({]|^%[A-Za-z_]+%?$|^\{\{|^<|^\$\w+->|^[A-Za-z_][A-Za-z_.]*[\[(]"
+    r"|^(?:os|sys|env|process|config|conf|settings|secrets|vault|params|args|self|this|props|app|var|data|local|module)\.[A-Za-z_]"
+)
+#: The same for words, of any language, types and names: nothing but letters with signs between them.
+WORDLIKE = r"^\p{L}+(?:['’\-]\p{L}+)*$"
+#: Marks around findings; a text that holds one of them already is searched twice instead.
+OPEN, CLOSE = "\ue000", "\ue001"
+
+FEATURES = ("length", "transitions", "entropy", "distinct", "digits", "uppers", "symbols", "hexlike", "known", "covered", "placeholder", "assigned", "naming", "harmless", "quoted", "test_path", "code_path", "block", "address", "reference", "wordlike")
 
 
 def _has(text: Column, words: str) -> Column:
@@ -81,13 +91,15 @@ def feature_struct(value: Column, before: Column, after: Column, path: Column) -
         "test_path": _has(path, "(^|[/_.-])(tests?|examples?|samples?|fixtures?|docs?|mocks?)([/_.-]|$)"),
         "block": F.when(value.rlike("^(-----BEGIN|eyJ[A-Za-z0-9_-]+\\.)"), 1.0).otherwise(0.0),
         "address": F.when(before.rlike("://[^\\s/:@]*:$") & after.startswith("@"), 1.0).otherwise(0.0),
+        "reference": F.when(value.rlike(REFERENCE), 1.0).otherwise(0.0),
+        "wordlike": F.when(value.rlike(WORDLIKE), 1.0).otherwise(0.0),
         "code_path": _has(path, "\\.(py|js|ts|java|go|rb|php|sh|env|ya?ml|json|toml|ini|cfg|conf|properties|tf)$"),
     }
     return F.struct(*[F.coalesce(values[k].cast("double"), F.lit(0.0)).alias(k) for k in FEATURES])
 
 
-def default_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
-    """Labelled findings made from a rule: row i is of kind i mod 19, its value drawn from digests of i."""
+def default_findings(spark: SparkSession, rows: int = 4600) -> DataFrame:
+    """Labelled findings made from a rule: row i is of kind i modulo their number, its value drawn from digests of i."""
     hexed = lambda salt: F.sha2(F.concat(F.lit(salt), F.col("id").cast("string")), 512)
     many = lambda salt: F.concat(F.base64(F.unhex(hexed(salt))), F.base64(F.unhex(hexed(salt + "+"))))
     letters = lambda salt, drop, n: F.substring(F.regexp_replace(F.concat(many(salt), many(salt + "2")), drop, F.lit("")), 1, n)
@@ -109,6 +121,13 @@ def default_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
     head = pick("bh", "\n", "\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B2C3D\n\n")
     block = F.concat(dashes, F.lit("BEGIN "), title, dashes, head, many("bb"), F.lit("\n"), dashes, F.lit("END "), title, dashes)
     signed = F.concat(F.lit("eyJ"), letters("j1", "[^A-Za-z0-9]", 24), F.lit("."), letters("j2", "[^A-Za-z0-9]", 40), F.lit("."), letters("j3", "[^A-Za-z0-9]", 43))
+    variable = pick("v1", "SECRET", "DB_PASSWORD", "API_KEY", "token", "user.password", "AUTH_TOKEN")
+    refers = F.concat(pick("v2", "${", "$", "os.environ[", "getenv(", "process.env.", "{{", "%", "config.get(", "settings.", "<", "self.", "$(cat", "secrets.", "vault.read("), variable, pick("v3", "", "", "}", "]", "%"))
+    called = pick("v4", "os.environ[", "getenv(", "os.getenv(", "config.get(", "System.getenv(", "read_secret(", "input(", "decrypt(")
+    part = lambda k: pick(f"o{k}", "ba", "ness", "zah", "lung", "mit", "tel", "né", "ces", "saire", "ción", "pala", "bra", "wort", "über", "schlüs", "sel", "ge", "heim", "ver", "trau", "en", "con", "fi", "dent", "ial", "str", "ing", "opt", "ional", "ho", "nes", "ty", "mot", "passe", "segre", "to", "ключ", "слово", "γή")
+    foreign = F.concat(*[part(k) for k in range(2)], F.when(size("o9", 0, 3) > 0, part(3)).otherwise(F.lit("")), F.when(size("o8", 0, 2) > 0, F.concat(part(4), part(5))).otherwise(F.lit("")))
+    foreign = F.when(size("o7", 0, 3) == 0, F.initcap(foreign)).otherwise(foreign)
+    kind_of = pick("ty", "string", "String", "SecretStr", "CancellationToken", "Optional", "boolean", "undefined", "required", "readonly", "StringProperty")
     address = F.concat(filler, pick("a1", "postgres://", "mysql://", "redis://", "https://", "amqp://"), word(6), F.lit(":"))
     kinds = [
         (F.substring(hexed("b"), F.lit(1), F.when(size("l", 0, 2) == 0, size("l1", 19, 40)).otherwise(size("l2", 41, 65))), F.concat(name, sign), quote, 1),
@@ -130,6 +149,9 @@ def default_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
         (digits("z", 15), F.concat(filler, pick("z", "order ", "invoice: ", "account=", "")), F.lit(" "), 0),
         (F.concat(F.lit("20"), digits("t", 12), F.lit("-"), word(4)), F.concat(filler, pick("z2", "version ", "build-", "")), F.lit(" "), 0),
         (F.concat(word(8), pick("pl", "", "", "s", "-", "_"), F.when(size("pw", 0, 2) == 0, word(9)).otherwise(F.lit(""))), F.concat(name, sign), pick("r3", " ", "\n", "\""), 0),
+        (F.when(size("v5", 0, 3) == 0, called).otherwise(refers), F.concat(name, sign), pick("r4", " ", "\n", "\"", ")", ";", "'"), 0),
+        (foreign, F.concat(name, sign), pick("r5", " ", "\n", ".", ","), 0),
+        (F.when(size("ty2", 0, 2) == 0, kind_of).otherwise(foreign), F.concat(name, pick("s2", ": ", ": ", " = ", "=")), pick("r6", ",", ";", ")", " ", "\n"), 0),
     ]
     kind = F.pmod("id", F.lit(len(kinds)))
     chosen = [F.element_at(F.array(*[k[c] if isinstance(k[c], Column) else F.lit(k[c]) for k in kinds]), (kind + 1).cast("int")) for c in range(4)]
@@ -172,32 +194,42 @@ def train(findings: DataFrame, trees: int = 20, depth: int = 6, seed: int = 7, m
     return [_tree_sql([x for x in b.split("\n") if x.strip()], [0]) for b in blocks]
 
 
-def scan(docs: DataFrame, forest: list[str], text: str = "text", path: str | None = None, into: str = "findings") -> DataFrame:
-    """``docs`` with the array of a text's findings, in order: value, before, after, score (share of trees that say secret)."""
-    source, where = F.col(text), F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")
-    values = F.regexp_extract_all(source, F.lit(CANDIDATE), F.lit(0))
-    between = F.split(source, CANDIDATE, -1)
+def _parts(text: Column) -> Column:
+    """Struct of a text's candidates and of the pieces between them, one more, from one search."""
+    marked = F.split(F.regexp_replace(text, CANDIDATE, F.lit(f"{OPEN}$0{CLOSE}")), f"[{OPEN}{CLOSE}]", -1)
+    odd = F.element_at(F.transform(F.array(marked), lambda p: F.struct(F.filter(p, lambda x, i: i % 2 == 1).alias("found"), F.filter(p, lambda x, i: i % 2 == 0).alias("between"))), 1)
+    apart = F.struct(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("found"), F.split(text, CANDIDATE, -1).alias("between"))
+    return F.when(text.contains(OPEN) | text.contains(CLOSE), apart).otherwise(odd)
+
+
+def _searched(docs: DataFrame, forest: list[str], text: str, path: str | None) -> tuple[DataFrame, str, str]:
+    """``docs`` with the parts of each text and its judged findings, and the names of both columns."""
+    where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")
+    parts, own = private(docs, "parts", "judged")
+    out = docs.withColumn(parts, _parts(F.col(text)))
+    between = F.col(parts)["between"]
     n = F.size(between) - 1
     around = F.zip_with(F.slice(between, 1, n), F.slice(between, 2, n), lambda a, b: F.struct(F.right(a, F.lit(64)).alias("before"), F.left(b, F.lit(8)).alias("after")))
-    found = F.zip_with(values, around, lambda v, c: F.struct(v.alias("value"), c["before"].alias("before"), c["after"].alias("after")))
-    judged = F.transform(found, lambda x: F.struct(x["value"].alias("value"), x["before"].alias("before"), x["after"].alias("after"), feature_struct(x["value"], x["before"], x["after"], where).alias("f")))
-    votes = " + ".join(forest)
-    (own,) = private(docs, "judged")
-    scored = f"transform(`{own}`, x -> struct(x.value AS value, x.before AS before, x.after AS after, ({votes}) / {len(forest)}D AS score))"
+    found = F.zip_with(F.col(parts)["found"], around, lambda v, c: F.struct(v.alias("value"), c["before"].alias("before"), c["after"].alias("after"), feature_struct(v, c["before"], c["after"], where).alias("f")))
+    out = out.withColumn(own, F.when(n > 0, found))
+    scored = f"transform(`{own}`, x -> struct(x.value AS value, x.before AS before, x.after AS after, ({' + '.join(forest)}) / {len(forest)}D AS score))"
     none = F.expr("cast(array() as array<struct<value: string, before: string, after: string, score: double>>)")
-    out = docs.withColumn(own, F.when(source.rlike(CANDIDATE), judged))  # unlikely texts, which are most, are not searched again
-    return out.select(with_results(out, docs.columns, {into: F.coalesce(F.expr(scored), none)}))
+    return out.withColumn(own, F.coalesce(F.expr(scored), none)), parts, own
+
+
+def scan(docs: DataFrame, forest: list[str], text: str = "text", path: str | None = None, into: str = "findings") -> DataFrame:
+    """``docs`` with the array of a text's findings, in order: value, before, after, score (share of trees that say secret)."""
+    out, _, own = _searched(docs, forest, text, path)
+    return out.select(with_results(out, docs.columns, {into: F.col(own)}))
 
 
 def redact(docs: DataFrame, forest: list[str], text: str = "text", path: str | None = None, threshold: float = 0.5, by: str = "[secret]") -> DataFrame:
     """``docs`` with the secrets in ``text`` replaced."""
-    (own,) = private(docs, "findings")
-    found = scan(docs, forest, text, path, own)
-    pieces = F.split(F.col(text), CANDIDATE, -1)
+    out, parts, own = _searched(docs, forest, text, path)
     kept = F.transform(own, lambda x: F.when(x["score"] >= threshold, F.lit(by)).otherwise(x["value"]))
-    whole = F.array_join(F.zip_with(pieces, kept, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    whole = F.array_join(F.zip_with(F.col(parts)["between"], kept, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     any_ = F.exists(own, lambda x: x["score"] >= threshold)
-    return found.withColumn(text, F.when(any_, whole).otherwise(F.col(text))).drop(own)
+    return out.withColumn(text, F.when(any_, whole).otherwise(F.col(text))).drop(parts, own)
 
 
 def op10_secrets(spark, sf_dir: str) -> DataFrame:
