@@ -102,7 +102,8 @@ def met(df: DataFrame, key: Column, small: DataFrame, small_key: str) -> DataFra
     rest = named.join(F.broadcast(wanted), bucket, "left_anti").drop(bucket)
     some = some.join(small, key == small[small_key], "left")
     kinds = {f.name: f.dataType for f in small.schema}
-    return some.select(*df.columns, *small.columns).unionByName(rest.select(*df.columns, *[F.lit(None).cast(kinds[c]).alias(c) for c in small.columns]))
+    own = [F.col(f"`{c}`") for c in df.columns]
+    return some.select(*own, *small.columns).unionByName(rest.select(*own, *[F.lit(None).cast(kinds[c]).alias(c) for c in small.columns]))
 
 
 def modest_batches(spark: SparkSession, rows: int = 500) -> None:

@@ -337,4 +337,4 @@ FROM doc LEFT JOIN words USING (r) LEFT JOIN names USING (r)
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts benchmark passages out; mostly contaminated documents go. n_chars follows the text; that of a null text stays."""
     clean = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(docs.columns)
+    return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select([F.col(f"`{c}`") for c in docs.columns])
