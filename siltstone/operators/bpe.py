@@ -134,6 +134,18 @@ class Model:
         with open(path, "w", encoding="utf-8") as f:
             f.write(self.to_str())
 
+    @classmethod
+    def load(cls, path: str) -> Model:
+        """A model from that format. How often pairs were there is not in it, so that is 0."""
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        ids = model["vocab"]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        out = cls(tuple((ids[a], ids[b], 0) for a, b in pairs))
+        if out.vocabulary() != ids:
+            raise ValueError(f"{path} is not a byte-level tokenizer with the special tokens first")
+        return out
+
     def frame(self, spark: SparkSession) -> DataFrame:
         """(rank, left, right, token, n), a row a merge; the tokens' bytes in hexadecimal digits."""
         table = self.byte_table()

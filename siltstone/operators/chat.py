@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from .dedupe import numbered
 
 #: Fixed values.
 ROLE_ALIASES = {"human": "user", "user": "user", "prompter": "user", "gpt": "assistant", "assistant": "assistant", "chatgpt": "assistant", "bot": "assistant", "system": "system"}
@@ -166,11 +167,11 @@ def collect_mix(items: DataFrame, shares, target: int, read_multiplier: float =
     for place, (name, share) in enumerate(chosen):
         want = int(target * share)
         rows = items.filter(F.col(source) == name).select(source, order, key, reason)
-        rows = rows.orderBy(order).limit(int(want * read_multiplier)).filter(F.col(reason).isNull())
+        rows = numbered(rows, [order]).filter(F.col("rn") < int(want * read_multiplier)).drop("rn").filter(F.col(reason).isNull())
         first = rows.groupBy(key).agg(F.min(order).alias(order))
         if taken is not None:
             first = first.join(taken.select(key), key, "left_anti")
-        got = first.orderBy(order).limit(want).select(F.lit(name).alias(source), order, key, F.lit(place).alias("place"))
+        got = numbered(first, [order]).filter(F.col("rn") < want).select(F.lit(name).alias(source), order, key, F.lit(place).alias("place"))
         taken = got if taken is None else taken.unionByName(got)
     return taken
 
@@ -179,8 +180,7 @@ def train_val_split(items: DataFrame, order, val_fraction: float) -> DataFrame:
     """``items`` with is_val: the head of the order, at least one row."""
     n = items.count()
     n_val = max(1, math.floor(n * val_fraction)) if n else 0
-    head = items.select(*order).orderBy(*order).limit(n_val).withColumn("is_val", F.lit(True))
-    return items.join(head, [o for o in order], "left").withColumn("is_val", F.coalesce("is_val", F.lit(False)))
+    return numbered(items, order).withColumn("is_val", F.col("rn") < n_val).drop("rn")
 
 
 def ranked(items: DataFrame, by: str, order: str) -> DataFrame:

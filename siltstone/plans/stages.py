@@ -29,8 +29,11 @@ def run_stages(stages: list[tuple[str, Callable[[], object]]], on_event: Callabl
 def main(argv: list[str] | None = None) -> int:
     """Builds a corpus from JSONL or a folder: shards and a manifest."""
     p = argparse.ArgumentParser(description=main.__doc__)
-    p.add_argument("input")
+    p.add_argument("input", nargs="+", help="JSONL files or folders, one after the other; NAME=PATH names a source")
     p.add_argument("out_dir")
+    p.add_argument("--kind", choices=("prose", "code"), default="prose", help="of rows that do not say")
+    p.add_argument("--limit", type=int, help="only the first documents of each input")
+    p.add_argument("--seed", type=int, help="near-duplicates are sought in an order shuffled by it")
     p.add_argument("--folder", action="store_true", help="the input is a folder of documents, not JSONL")
     p.add_argument("--prefix", default="corpus")
     p.add_argument("--window", type=int, default=50_000)
@@ -46,12 +49,13 @@ def main(argv: list[str] | None = None) -> int:
 
     spark = SparkSession.builder.getOrCreate()
     if a.folder:
-        rows = folder.documents(spark, a.input, apply_filters=False).filter("status = 'kept'")
-        docs = numbered(rows, ["ord", "line"]).select(F.col("rn").alias("ord"), "text", "source", "kind")
+        found = [numbered(folder.documents(spark, path, apply_filters=False).filter("status = 'kept'"), ["ord", "line"]).drop("ord").withColumnRenamed("rn", "ord") for path in a.input]
+        docs = jsonl.chain([f if a.limit is None else f.filter(F.col("ord") < a.limit) for f in found])
     else:
-        docs = numbered(jsonl.stream_local(spark, a.input), ["at"]).select(F.col("rn").alias("ord"), "text", "source", "kind")
+        named = [x.split("=", 1) if "=" in x else ("local", x) for x in a.input]
+        docs = jsonl.chain([jsonl.stream_local(spark, path, name, a.kind, a.limit) for name, path in named])
     began = time.perf_counter()
-    built = build(docs, a.window, a.threshold)
+    built = build(docs, a.window, a.threshold, a.seed)
     shards = sinks.write_shards(survivors(built), a.out_dir, a.prefix, a.max_docs)
     per_source = {r.source: r["documents"] for r in survivors(built).groupBy("source").agg(F.count("*").alias("documents")).toLocalIterator()}
     dropped = {r.reason: r["documents"] for r in counts_by(built, "reason").toLocalIterator()}  # a row a reason

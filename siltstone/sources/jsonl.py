@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as t
 from ..operators.chat import truthy
+from ..operators.dedupe import numbered
 
 MESSAGES = T.StructType([T.StructField("messages", T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())])))])
 PREFERENCES = T.StructType([T.StructField(n, T.StringType()) for n in ("prompt", "chosen", "rejected")])
@@ -26,8 +27,8 @@ def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
     ranges = read.text(path, lineSep="\n").select(*place).groupBy("file", "range").agg(F.count("*").alias("lines"), F.min("id").alias("first"))
     before = F.sum("lines").over(Window.partitionBy("file").orderBy("range")) - F.col("lines")  # a row a range
     lines = read.text(path, lineSep="\n").select(*place, "value").filter(t.strip(F.col("value")) != "")
-    numbered = lines.join(ranges.withColumn("before", before), ["file", "range"])
-    return numbered.select("file", (F.col("before") + F.col("id") - F.col("first")).alias("line"), "value")
+    placed = lines.join(ranges.withColumn("before", before), ["file", "range"])
+    return placed.select("file", (F.col("before") + F.col("id") - F.col("first")).alias("line"), "value")
 
 
 def stream_local(spark: SparkSession, path: str, name: str = "local", kind: str = "prose", limit: int | None = None) -> DataFrame:
@@ -40,7 +41,7 @@ def stream_local(spark: SparkSession, path: str, name: str = "local", kind: str
     text = truthy(F.col("r.text"), F.col("r.content"))
     kept = rows.select("file", "line", text.alias("text"), F.coalesce("r.source", F.lit(name)).alias("source"), F.coalesce("r.kind", F.lit(kind)).alias("kind")).filter("text is not null")
     if limit is not None:
-        kept = kept.orderBy("file", "line").limit(limit)
+        kept = numbered(kept, ["file", "line"]).filter(F.col("rn") < limit).drop("rn")
     order = F.struct("file", "line")
     return kept.withColumn("at", order).select("at", "text", "source", "kind")
 
@@ -48,18 +49,19 @@ def stream_local(spark: SparkSession, path: str, name: str = "local", kind: str
 def stream_table(rows: DataFrame, source: str, kind: str, text_key: str = "text", order: str = "ord", limit: int | None = None) -> DataFrame:
     """ord, text, source, kind of a table; the limit counts rows before empty texts are dropped."""
     if limit is not None:
-        rows = rows.orderBy(order).limit(limit)
+        rows = numbered(rows, [order]).filter(F.col("rn") < limit).drop("rn")
     out = rows.select(F.col(order).alias("ord"), F.col(text_key).alias("text"), F.lit(source).alias("source"), F.lit(kind).alias("kind"))
     return out.filter((F.col("text") != "") & F.col("text").isNotNull())
 
 
 def chain(frames: list[DataFrame]) -> DataFrame:
-    """Sources one after the other: ``ord`` becomes (source's place, its own order)."""
+    """Sources (text, source, kind and ``at`` or ``ord``) one after the other; ``ord`` numbers all rows from 0, so they can be built from."""
     out = None
     for place, frame in enumerate(frames):
-        own = frame.withColumn("place", F.lit(place))
+        own = frame if "ord" in frame.columns else numbered(frame, ["at"]).withColumnRenamed("rn", "ord")
+        own = own.select(F.lit(place).alias("place"), F.col("ord").cast("long").alias("own"), "text", "source", "kind")
         out = own if out is None else out.unionByName(own)
-    return out
+    return numbered(out, ["place", "own"]).select(F.col("rn").alias("ord"), "text", "source", "kind")
 
 
 def read_conversations(spark: SparkSession, path: str) -> DataFrame:
@@ -112,4 +114,4 @@ def read_shards(spark: SparkSession, folder: str, limit: int | None = None) -> D
                 )
 
     out = files.mapInArrow(opened, schema)
-    return out if limit is None else out.orderBy("file", "line").limit(limit)
+    return out if limit is None else numbered(out, ["file", "line"]).filter(F.col("rn") < limit).drop("rn")

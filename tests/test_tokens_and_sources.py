@@ -3,10 +3,12 @@ import os
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from siltstone.operators import bpe, metrics, planner, tokens
-from siltstone.plans import config, corpus, stages
+from siltstone.plans import config, corpus, stages, tokenize
 from siltstone.sources import folder, jsonl, parts, sinks
 from siltstone.streaming import corpus as stream
 
@@ -171,6 +173,32 @@ def test_attempts_that_do_not_count_leave_nothing(tmp_path):
     assert parts.opened("file:/tmp/x")[1] == parts.opened("file:///tmp/x")[1] == "/tmp/x"
 
 
+def test_inputs_one_after_the_other_and_tokenizing(spark, tmp_path):
+    texts = [f"{GOOD} Number {i}, as it was told. " + " ".join(f"{chr(97 + (i * 5 + k) % 26) * 4}{k}" for k in range(60)) for i in range(9)]
+    for name, own in (("b", texts[:5]), ("a", [*texts[5:], texts[0]])):
+        (tmp_path / f"{name}.jsonl").write_text("".join(json.dumps({"text": x}) + "\n" for x in own))
+    chained = jsonl.chain([jsonl.stream_local(spark, str(tmp_path / "b.jsonl"), "one", limit=4), jsonl.stream_local(spark, str(tmp_path / "a.jsonl"), "two", "code")])
+    rows = chained.orderBy("ord").collect()
+    assert [(r.ord, r.text, r.source, r.kind) for r in rows] == [(i, x, "one" if i < 4 else "two", "prose" if i < 4 else "code") for i, x in enumerate([*texts[:4], *texts[5:], texts[0]])]
+    out, shards = str(tmp_path / "out"), str(tmp_path / "shards")
+    assert stages.main([f"one={tmp_path}/b.jsonl", f"two={tmp_path}/a.jsonl", shards, "--max-docs", "4", "--seed", "3"]) == 0
+    assert json.loads((tmp_path / "shards" / "manifest.json").read_text())["per_source"] == {"one": 5, "two": 4}
+    assert tokenize.main(["train", shards, f"{tmp_path}/t.json", "--vocab", "400"]) == 0
+    info = json.loads((tmp_path / "t.json.info.json").read_text())
+    assert info["documents_trained_on"] == 9 and info["vocab_size"] == 400 and info["chars_per_token"] > 1
+    assert tokenize.main(["encode", shards, f"{tmp_path}/t.json", out, "--val-tokens", "1", "--part-tokens", "500"]) == 0
+    meta = sinks.load_meta(out)
+    parts_of = lambda name: np.concatenate([np.fromfile(f, "<u2") for f in sorted((tmp_path / "out").glob(f"{name}-*.bin"))])
+    model = bpe.Model.load(f"{tmp_path}/t.json")
+    written = [json.loads(x)["text"] for f in sorted((tmp_path / "shards").glob("*.zst")) for x in zstandard.ZstdDecompressor().stream_reader(f.read_bytes()).read().decode().splitlines()]
+    public = Tokenizer.from_file(f"{tmp_path}/t.json")
+    want = [[*public.encode(x, add_special_tokens=False).ids, tokens.EOS] for x in written]
+    assert parts_of("val").tolist() == want[0] and parts_of("train").tolist() == [i for w in want[1:] for i in w]
+    assert (meta["val_tokens"], meta["train_tokens"], meta["vocab_size"]) == (len(want[0]), sum(map(len, want[1:])), model.get_vocab_size())
+    with pytest.raises(ValueError, match="no training tokens"):
+        tokenize.encode(spark, shards, f"{tmp_path}/t.json", out, val_tokens=10**9)
+
+
 def test_splits_and_bins(spark, tmp_path):
     items = spark.createDataFrame([(i, f"p{i}", "c", "r") for i in range(10)], "ord long, prompt string, chosen string, rejected string")
     assert sinks.write_split(items, str(tmp_path), "dpo", 0.2, ["ord"]) == {"train": 8, "val": 2}
