@@ -8,12 +8,13 @@ its own. Candidates are verified with exact Jaccard similarity, and clusters com
 
 from __future__ import annotations
 
+from hashlib import md5
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import text as t
 from ..functions.session import stored
 
 PRIME = (1 << 61) - 1
@@ -26,19 +27,27 @@ def drop_exact_duplicates(docs: DataFrame, text: str = "text", order: str = "ord
     return keyed.join(first, ["_digest", order], "left_semi").drop("_digest")
 
 
+def _grams(words: list[bytes], k: int) -> np.ndarray:
+    """Distinct hashes of the words' ``k``-grams, in order: the first four bytes of the MD5 digest of the joined words."""
+    n = max(len(words) - k + 1, min(1, len(words)))
+    grams = (b" ".join(words[i : i + k]) for i in range(n))
+    hashes = np.frombuffer(b"".join(md5(g, usedforsecurity=False).digest() for g in grams), ">u4")[::4].astype(np.int64)
+    return hashes[np.sort(np.unique(hashes, return_index=True)[1])]
+
+
 def shingle_hashes(text: Column, k: int = 5) -> Column:
     """Distinct 32-bit hashes of the lower-cased word ``k``-grams; fewer words are one gram, no words give none."""
 
-    def grams(w):
-        n = F.greatest(F.size(w) - (k - 1), F.lit(0))
-        out = F.slice(w, F.lit(1), n)
-        for i in range(1, k):
-            out = F.zip_with(out, F.slice(w, F.lit(i + 1), n), lambda a, b: F.concat(a, F.lit(" "), b))
-        whole = F.array(F.array_join(w, " "))
-        gram = F.when(F.size(w) == 0, F.expr("cast(array() as array<string>)")).when(F.size(w) < k, whole).otherwise(out)
-        return F.array_distinct(F.transform(gram, lambda g: F.conv(F.substring(F.md5(g.cast("binary")), 1, 8), 16, 10).cast("long")))
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def hashed(texts):
+        import pyarrow as pa
+
+        rows = [None if (x := lowered.as_py()) is None else _grams([w.encode() for w in x.split()], k) for lowered in texts]
+        ends = np.cumsum([0, *(0 if r is None else len(r) for r in rows)]).astype(np.int32)
+        flat = pa.array(np.concatenate([np.zeros(0, np.int64), *(r for r in rows if r is not None)]))
+        return pa.ListArray.from_arrays(pa.array(ends), flat, mask=pa.array([r is None for r in rows]))
 
-    return t.bound(t.split_space(F.lower(text)), grams)
+    return hashed(F.lower(text))
 
 
 def permutations(num_perm: int = 128, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:

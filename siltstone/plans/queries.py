@@ -200,7 +200,7 @@ def train_val_split(spark, d):
 
 
 def _byte_stream(spark, d):
-    return documents(spark, d).select("ord", F.concat(tokens.byte_ids(F.col("text")), F.array(F.lit(tokens.EOS))).alias("ids"))
+    return documents(spark, d).select("ord", F.concat(tokens.byte_stream(F.col("text")), F.array(F.lit(tokens.EOS))).alias("ids"))
 
 
 @query
@@ -296,7 +296,7 @@ def post_statuses(spark, d):
 
 @query
 def compression_ratio(spark, d):
-    return tokens.compression_ratio(documents(spark, d).withColumn("ids", tokens.byte_ids(F.col("text")))).select(F.round("chars_per_token", 6).alias("chars_per_token"))
+    return tokens.compression_ratio(documents(spark, d).withColumn("ids", tokens.byte_stream(F.col("text")))).select(F.round("chars_per_token", 6).alias("chars_per_token"))
 
 
 def _bpe(spark, d) -> bpe.Model:
