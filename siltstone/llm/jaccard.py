@@ -13,8 +13,12 @@ How it scales
   least for sets that are not tiny. The order puts shingles that are frequent in a sample of texts last; the sample makes
   groups small and never changes the result.
 * The nodes of a shared shingle are first compared with one of them only; where there are many, then with CENTRES of
-  them in other components, so that a large family of near copies becomes a component by as many pairs as members. Then
-  nodes that share so many shingles, but not a component, are compared. No pair that can reach 4/5 is left out.
+  them in other components, so that a large family of near copies becomes a component by as many pairs as members.
+* What is left are nodes that share a shingle, but not a component: loose families, and texts with a common passage. In
+  the order of both sets, two at 4/5 have all that they share from their first shared shingle on, so that one stands early
+  in both: within the first ninth, if they are of a size. Nodes only meet at shingles whose places in both sets could be
+  their first. With rare shingles first, what is a text's own stands there instead, unless the texts are near copies, and
+  a passage of many texts never does. No pair that can reach 4/5 is left out.
 * Sets of n and m shingles at 4/5 differ in at most (n + m) / 9 shingles, and so do their parity sketches, which say for
   each of 512 hash values whether an odd number of shingles has it. The join gives out only pairs whose sketches agree
   that far: for loose families of texts of some thousand words or less, few of all pairs.
@@ -37,7 +41,7 @@ from .simhash import components, links
 
 WIDTH = 5
 #: Texts in the sample for the order of shingles, and the most shingles it calls frequent.
-SAMPLE, MOST_FREQUENT = 10_000, 100_000
+SAMPLE, MOST_FREQUENT = 20_000, 400_000
 COMMON, CENTRES, SOME = 10, 6, 8
 #: Columns of a parity sketch, 64 bits each.
 SKETCH = [f"s{i}" for i in range(8)]
@@ -155,41 +159,57 @@ def _enough(shared: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, docs: DataFrame, many: int) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose sets have a similarity of 4/5 or more."""
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    involved = written(sets.select("key", "digest").join(involved, "key").groupBy("key").agg(F.min("digest").alias("digest")), "involved", narrow(many))
+def _whole_sets(keys: DataFrame, sets: DataFrame, docs: DataFrame, many: int) -> DataFrame:
+    """(key, hashes), stored: the whole sets of the nodes with these distinct keys, from one text each."""
+    involved = written(sets.select("key", "digest").join(keys, "key").groupBy("key").agg(F.min("digest").alias("digest")), "involved", narrow(many))
     bucket = bucket_of(F.col("digest")).alias("bucket")  # spares most texts the shuffle; the join on the digest decides
     texts = docs.select("text", digest_of(F.col("text")).alias("digest")).withColumn("bucket", bucket)
     texts = texts.join(F.broadcast(involved.select(bucket).distinct()), "bucket", "left_semi")
     texts = texts.groupBy("digest").agg(F.first("text").alias("text")).join(involved, "digest")  # copies merge before the shuffle
     none = docs.sparkSession.sparkContext.broadcast(NO_ORDER)
     some = written(texts.select("key", _sets(none)(F.col("text"))["hashes"].alias("hashes")), "involved_sets", wide(docs.sparkSession, many))
+    forget(involved)
+    return some
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, docs: DataFrame, many: int) -> DataFrame:
+    """Those of the distinct pairs (a, b) whose sets have a similarity of 4/5 or more."""
+    some = _whole_sets(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), sets, docs, many)
     both = pairs.join(some.select(F.col("key").alias("a"), F.col("hashes").alias("x")), "a")
     both = both.join(some.select(F.col("key").alias("b"), F.col("hashes").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     both = both.withColumn("shared", shared).withColumn("union", F.size("x") + F.size("y") - F.col("shared"))
     edges = written(both.filter("5 * shared >= 4 * union").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges", wide(docs.sparkSession, many))
-    forget(some, involved)
+    forget(some)
     return edges
 
 
+def _meeting(members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of placed members that may have a similarity of 4/5, if the shingle they meet at is their first."""
+    early = members.filter(F.col("place") <= F.floor(F.col("n") / 5)).join(sketches, "key")
+    one, other = (early.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "part", "place", *SKETCH)]) for x in "ab")
+    most = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))  # shared from here on
+    may = (9 * most >= 4 * (F.col("n_a") + F.col("n_b"))) & _near_enough("n_a", "n_b", "_a", "_b")
+    met = one.join(other, "h").filter(F.expr("part_a < part_b") & may)
+    return met.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).distinct()
+
+
 def _shared_shingles(batches):
-    """From (h, key, n) sorted: each h of several keys with its keys, and key and n of the first. Holds one row between batches."""
+    """From (h, key, n, place) sorted: each h of several keys with its keys, and key and n of the first. Holds one row between batches."""
     import pyarrow as pa
 
-    held = None  # the last distinct row so far: h, key, n, first key of the group and its n, whether it was given out
+    held = None  # the last distinct row so far: h, key, n, place, first key of the group and its n, whether it was given out
     for batch in batches:
-        h, key, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        h, key, size, place = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
         if not len(h):
             continue
         given = first_held = None
         if held is not None:
-            h, key, size = (np.concatenate([[x], y]) for x, y in zip(held[:3], (h, key, size), strict=True))
-            first_held, given = held[3:5], held[5]
+            h, key, size, place = (np.concatenate([[x], y]) for x, y in zip(held[:4], (h, key, size, place), strict=True))
+            first_held, given = held[4:6], held[6]
         fresh = np.ones(len(h), bool)
         fresh[1:] = (h[1:] != h[:-1]) | (key[1:] != key[:-1])
-        h, key, size = h[fresh], key[fresh], size[fresh]
+        h, key, size, place = h[fresh], key[fresh], size[fresh], place[fresh]
         start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         n = np.diff(np.concatenate([start, [len(h)]]))
         first, first_n = np.repeat(key[start], n), np.repeat(size[start], n)
@@ -200,9 +220,9 @@ def _shared_shingles(batches):
         out = several.copy()
         if given:
             out[0] = False
-        held = (h[-1], key[-1], size[-1], first[-1], first_n[-1], bool(several[-1]))
+        held = (h[-1], key[-1], size[-1], place[-1], first[-1], first_n[-1], bool(several[-1]))
         if out.any():
-            yield pa.record_batch([pa.array(x[out]) for x in (h, key, size, first, first_n)], names=["h", "key", "n", "first", "first_n"])
+            yield pa.record_batch([pa.array(x[out]) for x in (h, key, size, place, first, first_n)], names=["h", "key", "n", "place", "first", "first_n"])
 
 
 def _proposed(nodes: DataFrame, many: int, radius: int = 4) -> DataFrame:
@@ -224,15 +244,16 @@ def _beginnings(rows: DataFrame, order: tuple[np.ndarray, np.ndarray], *columns:
 
 
 def _members(sets: DataFrame, files: int) -> DataFrame:
-    """(h, key, n, first, first_n) of each shingle in the beginnings of several nodes; first is its smallest key."""
-    sorted_ = sets.select(F.explode("first").alias("h"), "key", "n").repartition("h").sortWithinPartitions("h", "key")
-    return written(sorted_.mapInArrow(_shared_shingles, "h long, key long, n int, first long, first_n int"), "members", files)
+    """(h, key, n, place, first, first_n) of each shingle in the beginnings of several nodes; first is its smallest key."""
+    rows = sets.select(F.posexplode("first").alias("place", "h"), "key", "n").select("h", "key", "n", "place")
+    sorted_ = rows.repartition("h").sortWithinPartitions("h", "key")
+    return written(sorted_.mapInArrow(_shared_shingles, "h long, key long, n int, place int, first long, first_n int"), "members", files)
 
 
 def _placed(members: DataFrame, part: DataFrame, files: int) -> DataFrame:
     """Members with their component."""
-    placed = members.select("h", "key", "n").join(part.withColumnRenamed("node", "key"), "key", "left")
-    return written(placed.select("h", "key", "n", F.coalesce("root", "key").alias("part")), "placed", files)
+    placed = members.select("h", "key", "n", "place").join(part.withColumnRenamed("node", "key"), "key", "left")
+    return written(placed.select("h", "key", "n", "place", F.coalesce("root", "key").alias("part")), "placed", files)
 
 
 def _open(placed: DataFrame, files: int) -> DataFrame:
@@ -270,11 +291,8 @@ def near_duplicates(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     part = components(edges, few)
     left = _open(_placed(open_.drop("part"), part, more), more)
     forget(open_)
-    sketched = left.join(nodes.select("key", *SKETCH), "key")
-    one, other = (sketched.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "part", *SKETCH)]) for x in "ab")
-    across = one.join(other, "h").filter(F.expr("part_a < part_b") & _near_enough("n_a", "n_b", "_a", "_b"))
-    across = _enough(across.selectExpr("key_a AS a", "n_a", "key_b AS b", "n_b"))
-    across = written(across.join(pairs.unionByName(near), ["a", "b"], "left_anti"), "across", more)
+    across = _meeting(left, nodes.select("key", *SKETCH)).join(pairs.unionByName(near), ["a", "b"], "left_anti")
+    across = written(across, "across", more)
     forget(left)
     far = _alike(across, sets, rows, many)
     whole = components(edges.unionByName(far), few)

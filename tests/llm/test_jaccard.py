@@ -55,6 +55,14 @@ def test_a_passage_in_many_documents_hides_no_link(spark):
     assert sorted({r.component_id for r in jaccard.near_duplicates(docs, 1).collect()}) == brute(rows)
 
 
+def test_short_texts_with_one_common_phrase(spark):
+    rng = random.Random(8)
+    rows = [(k, " ".join([*(f"a{rng.randrange(10**6)}" for _ in range(3)), "one phrase of five words", *(f"b{rng.randrange(10**6)}" for _ in range(4))])) for k in range(300)]
+    rows += [(1000 + k, rows[k][1] + " more") for k in range(0, 300, 7)] + [(2000 + k, rows[k][1].rsplit(" ", 1)[0] + " x y") for k in range(0, 300, 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted({r.component_id for r in jaccard.near_duplicates(docs).collect()}) == brute(rows)
+
+
 def test_a_family_of_loose_copies(spark):
     rng = random.Random(2)
     base = [f"b{i}" for i in range(150)]
@@ -116,9 +124,10 @@ def test_shared_shingles_over_small_batches():
     rng = np.random.default_rng(0)
     rows = sorted((int(h), int(k), int(k) % 7) for h, k in zip(rng.integers(0, 60, 400), rng.integers(0, 30, 400), strict=True))
     want = {h: sorted({k for x, k, _ in rows if x == h}) for h, _, _ in rows}
-    want = sorted((h, k, k % 7, keys[0], keys[0] % 7) for h, keys in want.items() if len(keys) > 1 for k in keys)
+    want = sorted((h, k, k % 7, (h + k) % 5, keys[0], keys[0] % 7) for h, keys in want.items() if len(keys) > 1 for k in keys)
+    rows = [(h, k, n, (h + k) % 5) for h, k, n in rows]
     for step in (1, 3, 50, 1000):
-        batches = [pa.record_batch([pa.array([r[c] for r in rows[at : at + step]], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=["h", "key", "n"]) for at in range(0, len(rows), step)]
+        batches = [pa.record_batch([pa.array([r[c] for r in rows[at : at + step]], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["h", "key", "n", "place"]) for at in range(0, len(rows), step)]
         got = [tuple(r.values()) for b in jaccard._shared_shingles(batches) for r in b.to_pylist()]
         assert got == want
 
@@ -126,7 +135,7 @@ def test_shared_shingles_over_small_batches():
 def test_stage_on_odd_rows(spark):
     text = " ".join(f"w{i}" for i in range(60))
     rows = [(None, text), (None, text), (5, text.upper()), (3, "x " * 300_000), (3, "x " * 300_000), (None, None), (None, ""), (7, "only one"), (None, "alone here")]
-    docs = spark.createDataFrame([(d, t, 1, "k", 2) for d, t in rows], "doc_id long, text string, _key int, stays string, _bucket int")
+    docs = spark.createDataFrame([(d, t, 1, "k", 2) for d, t in rows], "doc_id long, text string, _key int, `meta.x` string, _bucket int")
     out = simhash.stage(spark, docs, "")
     got = out.collect()
     assert out.columns == docs.columns and {tuple(r)[2:] for r in got} == {(1, "k", 2)}
