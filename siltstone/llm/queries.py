@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from .ann import op8_nearest
 from .decontam import OP6_SQL, op6_decontamination
 from .langid import op4_language
@@ -19,7 +17,6 @@ from .topk import OP12_SQL, op12_top_products
 from .urlfilter import op5_url_filter
 
 QUERIES = {
-    "pipeline": corpus_pipeline.run,
     "op1_quality": op1_quality,
     "op2_simhash": op2_simhash,
     "op3_licenses": op3_licenses,
