@@ -20,7 +20,7 @@ How it scales
   their first. With rare shingles first, what is a text's own stands there instead, unless the texts are near copies, and
   a passage of many texts never does. No pair that can reach 4/5 is left out.
 * Sets of n and m shingles at 4/5 differ in at most (n + m) / 9 shingles, and so do their parity sketches, which say for
-  each of 512 hash values whether an odd number of shingles has it. The join gives out only pairs whose sketches agree
+  each of 1,024 hash values whether an odd number of shingles has it. The join gives out only pairs whose sketches agree
   that far: for loose families of texts of some thousand words or less, few of all pairs.
 * Pairs are checked with the whole sets, made again from one text of each node in some pair.
 
@@ -44,7 +44,7 @@ WIDTH = 5
 SAMPLE, MOST_FREQUENT = 20_000, 400_000
 COMMON, CENTRES, SOME = 10, 6, 8
 #: Columns of a parity sketch, 64 bits each.
-SKETCH = [f"s{i}" for i in range(8)]
+SKETCH = [f"s{i}" for i in range(16)]
 NO_ORDER = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
 
