@@ -5,7 +5,9 @@ hold), so that a vector repeated a million times costs one row. Nodes are dealt
 ``most_cells`` centroids, fitted on a bounded sample, and a cell's nodes at random in shards of bounded size. A shard's
 graph grows in batches: greedy beam search from the medoid proposes neighbours, relaxed distance pruning keeps diverse
 ones (a candidate goes if a kept neighbour is ``alpha`` times nearer to it than the node is), and reverse edges are
-pruned alike. Finished shards are rows of a stored table.
+pruned alike. Finished shards are rows of a stored table. How wide a beam a shard takes is measured on a sample of its own
+nodes by brute force: vectors without structure, or of many components, take more than families do. All similarities are
+doubles, for in single precision the members of a tight family, or vectors far from the origin, are all equally near.
 
 A query meets the shards of its nearest cells only. How many cells that takes is measured: a bounded sample of queries
 is answered by brute force over all nodes in one scan, and the smallest number of cells that holds ``coverage`` of those
@@ -35,7 +37,7 @@ def beam_search(x: np.ndarray, near: np.ndarray, start: int, queries: np.ndarray
     """Ids and similarities of the ``beam`` best nodes found for each unit query, best first; -1 where there are fewer."""
     many, n = len(queries), len(x)
     ids = np.full((many, beam), -1)
-    sims = np.full((many, beam), -np.inf, np.float32)
+    sims = np.full((many, beam), -np.inf)
     open_ = np.zeros((many, beam), bool)
     seen = np.zeros((many, n), bool)
     ids[:, 0], sims[:, 0], open_[:, 0], seen[:, start] = start, queries @ x[start], True, True
@@ -48,7 +50,7 @@ def beam_search(x: np.ndarray, near: np.ndarray, start: int, queries: np.ndarray
         fresh = (hop >= 0) & ~seen[live[:, None], hop]
         rows, cols = np.nonzero(fresh)
         seen[live[rows], hop[rows, cols]] = True
-        s = np.full(hop.shape, -np.inf, np.float32)
+        s = np.full(hop.shape, -np.inf)
         s[rows, cols] = np.einsum("ij,ij->i", queries[live[rows]], x[hop[rows, cols]])
         all_s = np.concatenate([sims[live], s], 1)
         order = np.argsort(-all_s, axis=1, kind="stable")[:, :beam]
@@ -119,10 +121,24 @@ def build_graph(x: np.ndarray, degree: int = 32, beam: int = 64, alpha: float =
     return near, start
 
 
+def beam_needed(x: np.ndarray, near: np.ndarray, start: int, k: int, beam: int, coverage: float = 0.98, sample: int = 64) -> int:
+    """The beam, doubled until it finds ``coverage`` of the k nearest of a sample of nodes, or while that still helps."""
+    some = np.linspace(0, len(x) - 1, min(sample, len(x))).astype(int)
+    k = min(k + 1, len(x))  # each is its own nearest
+    least = np.partition(x[some] @ x.T, len(x) - k, axis=1)[:, len(x) - k, None] - 1e-14
+    before = -1.0
+    while True:
+        sims = beam_search(x, near, start, x[some], beam)[1]
+        held = float((sims >= least).sum(1).clip(max=k).mean() / k)
+        if held >= coverage or beam >= len(x) or held < before + 0.005:
+            return beam
+        before, beam = held, 2 * beam
+
+
 def _unit(v: np.ndarray) -> np.ndarray:
     v = v.astype(np.float64)
     v /= np.abs(v).max(1, keepdims=True)
-    return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)  # doubles: in single precision all of a tight family are equally near
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -142,7 +158,7 @@ def _matrix(column, dim: int) -> np.ndarray:
     return np.asarray(column.combine_chunks().flatten() if hasattr(column, "combine_chunks") else column.flatten()).reshape(-1, dim)
 
 
-def _builder(degree: int, beam: int, alpha: float):
+def _builder(k: int, degree: int, beam: int, alpha: float):
     def build(key, group):
         import pyarrow as pa
 
@@ -150,20 +166,21 @@ def _builder(degree: int, beam: int, alpha: float):
         ids = group.column("ids").to_pylist()
         order = sorted(range(len(ids)), key=ids.__getitem__)  # the same graph however the rows arrive
         vectors = _matrix(group.column("embedding"), dim)[order]
-        near, start = build_graph(_unit(vectors), degree, beam, alpha)
-        blob = pickle.dumps((vectors, [ids[i] for i in order], near.astype(np.int32), start), protocol=5)
+        x = _unit(vectors)
+        near, start = build_graph(x, degree, beam, alpha)
+        blob = pickle.dumps((vectors, [ids[i] for i in order], near.astype(np.int32), start, beam_needed(x, near, start, k, beam)), protocol=5)
         return pa.table({"dim": pa.array([dim], pa.int32()), "cell": pa.array([cell], pa.int32()), "shard": pa.array([shard], pa.int64()), "graph": pa.array([blob], pa.binary())})
 
     return build
 
 
-def _searcher(k: int, beam: int):
+def _searcher(k: int):
     def search(batches):
         import pyarrow as pa
 
         for batch in batches:
             for graph, queries in zip(batch.column(0), batch.column(1), strict=True):
-                vectors, ids, near, start = pickle.loads(graph.as_py())
+                vectors, ids, near, start, beam = pickle.loads(graph.as_py())
                 x, asked = _unit(vectors), queries.values
                 own = np.asarray(asked.field("query_id"))
                 wanted = _matrix(asked.field("embedding"), vectors.shape[1])
@@ -201,7 +218,7 @@ def fit_centroids(x: np.ndarray, cells: int, turns: int = 8, seed: int = 0) -> n
         np.add.at(sums, nearest, x)
         size = np.linalg.norm(sums, axis=1, keepdims=True)
         centroids = np.where(size > 1e-6, sums / np.maximum(size, 1e-6), centroids)
-    return centroids.astype(np.float32)
+    return centroids
 
 
 def _cells_of(shared, most: int):
@@ -216,7 +233,7 @@ def _cells_of(shared, most: int):
         for dim in np.unique(sizes):
             rows, centroids = np.flatnonzero(sizes == dim), shared.value.get(int(dim))
             if centroids is None:
-                centroids = np.ones((1, int(dim)), np.float32)
+                centroids = np.ones((1, int(dim)))
             near = _unit(np.stack([flat[ends[r] - dim : ends[r]] for r in rows])) @ centroids.T
             for r, order in zip(rows, np.argsort(-near, axis=1, kind="stable")[:, :most], strict=True):
                 out[r] = order.tolist()
@@ -249,7 +266,7 @@ def _true_neighbours(asked: dict[int, np.ndarray], k: int):
                 s = queries @ _unit(np.stack([flat[ends[r] - dim : ends[r]] for r in rows])).T
                 best = np.argsort(-s, axis=1, kind="stable")[:, : k + 1]
                 out += [(dim, q, float(s[q, c]), int(cell[rows[c]])) for q in range(len(queries)) for c in best[q]]
-            yield pa.record_batch([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.float32(), pa.int32()))], names=["dim", "q", "score", "cell"])
+            yield pa.record_batch([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.float64(), pa.int32()))], names=["dim", "q", "score", "cell"])
 
     return scan
 
@@ -264,14 +281,14 @@ def build_index(rows: DataFrame, k: int = 5, shard_rows: int = 4096, most_cells:
     placed = written(nodes.withColumn("cell", _cells_of(shared, 1)(F.col("embedding"))[0]), "placed")
     sizes = placed.groupBy("dim", "cell").agg(F.ceil(F.count("*") / shard_rows).cast("long").alias("shards"))  # a row a cell
     dealt = placed.join(F.broadcast(sizes), ["dim", "cell"]).withColumn("shard", F.pmod(F.xxhash64("embedding"), F.col("shards"))).drop("shards")
-    graphs = dealt.groupBy("dim", "cell", "shard").applyInArrow(_builder(degree, beam, alpha), "dim int, cell int, shard long, graph binary")
+    graphs = dealt.groupBy("dim", "cell", "shard").applyInArrow(_builder(k, degree, beam, alpha), "dim int, cell int, shard long, graph binary")
     return written(graphs, "index"), placed.select("embedding", "cell"), centroids
 
 
 def cells_needed(queries: DataFrame, placed: DataFrame, centroids: dict[int, np.ndarray], k: int, coverage: float, sample: int = 256) -> int:
     """How many nearest cells hold ``coverage`` of the true neighbours of at most ``sample`` queries, by brute force."""
     asked = _by_dim(queries, sample)
-    found = placed.mapInArrow(_true_neighbours(asked, k), "dim int, q int, score float, cell int")
+    found = placed.mapInArrow(_true_neighbours(asked, k), "dim int, q int, score double, cell int")
     rank = F.row_number().over(Window.partitionBy("dim", "q").orderBy(F.desc("score"), "cell"))
     best = found.withColumn("r", rank).filter((F.col("r") > 1) & (F.col("r") <= k + 1)).collect()  # at most k a sample query; the first is itself
     ranks = []
@@ -297,7 +314,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, beam: int = 64, blo
     packed = packed.groupBy("dim", "cell", F.pmod(F.xxhash64("query_id", "embedding"), F.col("blocks")).alias("block"))
     packed = packed.agg(F.collect_list(F.struct("query_id", "embedding")).alias("asked"))  # about ``block`` queries each
     met = packed.join(graphs, ["dim", "cell"])
-    found = met.select("graph", "asked").mapInArrow(_searcher(k, beam), "query_id long, vec_id long, score double")
+    found = met.select("graph", "asked").mapInArrow(_searcher(k), "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
