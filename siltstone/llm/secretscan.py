@@ -22,7 +22,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import private, table, with_results
+from ._shared import private, table, with_results, written
 
 _NAMES = r"pass(?:word|wd|phrase|code)|pwd|secret|token|credential|(?:api|access|auth|private|secret|client)[_\-]?(?:key|secret|token)"
 #: Proposes candidates: key blocks; signed tokens of three parts; passwords in addresses; runs of 14 and more key characters
@@ -184,10 +184,11 @@ def train(findings: DataFrame, trees: int = 20, depth: int = 6, seed: int = 7, m
     rows = findings.filter(F.col("value").isNotNull() & F.col("label").isNotNull())
     rows = rows.select(F.col("label").cast("double").alias("label"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("value", "before", "after", "path")])
     rows = rows.orderBy(F.xxhash64("value", "before", "after", "path"), "label").limit(most_rows)
-    seen = [r[0] for r in rows.select("label").distinct().limit(2).collect()]
+    features = feature_struct(F.col("value"), F.col("before"), F.col("after"), F.col("path"))
+    ready = written(rows.select("label", features.alias("f")).select("label", "f.*"), "findings")  # the forest reads them many times
+    seen = [r[0] for r in ready.select("label").distinct().limit(2).collect()]
     if len(seen) < 2:
         return [f"{seen[0] if seen else 1.0}D"]
-    ready = rows.select("label", feature_struct(F.col("value"), F.col("before"), F.col("after"), F.col("path")).alias("f")).select("label", "f.*")
     ready = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(ready)
     model = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", minInstancesPerNode=2).fit(ready)
     blocks = re.split(r"\n  Tree \d+[^\n]*:\n", model.toDebugString)[1:]
