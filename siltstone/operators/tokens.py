@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.session import stored
+from ..functions.session import modest_batches, stored
 from . import bpe
 from .chat import SPECIAL_TOKENS, message
 
@@ -86,6 +86,7 @@ def encode_pairs(pairs: DataFrame, encode_text, max_len: int, mask_prompt: bool
 
 def with_offsets(stream: DataFrame, order: str = "ord", length: Column | None = None) -> DataFrame:
     """``stream`` with start: the tokens before the row, in order."""
+    modest_batches(stream.sparkSession)
     n = F.size("ids").cast("long") if length is None else length
     rows = stored(stream.repartitionByRange(order).sortWithinPartitions(order).withColumns({"_n": n, "_part": F.spark_partition_id()}), "stream")
     sums = rows.groupBy("_part").agg(F.sum("_n").alias("_sum"))
