@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.session import forgotten, stored
+from ..functions.session import batches_of, forgotten, modest_batches, stored
 from .chat import SPECIAL_TOKENS
 
 #: White space, to Unicode, and the pre-tokens. Fixed values of byte-level BPE; digits stand alone, so white space before one is whole.
@@ -287,11 +287,17 @@ def _symbols(words):
 
 def train(counts: DataFrame, vocab_size: int = 32_768, min_frequency: int = 2, candidates: int = 4_096, most_symbols: int = 2_000_000) -> Model:
     """The model of words and their counts (word, n), as in ``word_counts``."""
+    with batches_of(counts.sparkSession, 10_000):  # rows here are words, however modest the session's batches of texts
+        return _trained(counts, vocab_size, min_frequency, candidates, most_symbols)
+
+
+def _trained(counts: DataFrame, vocab_size: int, min_frequency: int, candidates: int, most_symbols: int) -> Model:
     if not 256 <= vocab_size <= 65_535:
         raise ValueError("the vocabulary must have 256 to 65535 tokens")
     share = counts.sparkSession.sparkContext.broadcast
     least, most, merges = max(1, min_frequency), candidates, []
-    words = stored(counts.select(_symbols("word").alias("symbols"), F.col("n").cast("long").alias("n")).filter(F.size("symbols") > 1), "words")
+    symbols = _symbols.asNondeterministic()  # else the filter below moves it before the count, where it runs on every occurrence
+    words = stored(counts.select(symbols("word").alias("symbols"), F.col("n").cast("long").alias("n")).filter(F.size("symbols") > 1), "words")
     while (room := vocab_size - FIRST_MERGE - len(merges)) > 0:
         sums = words.mapInArrow(_pair_sums, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
         top = [(r.pair, r.n) for r in sums.filter(F.col("n") >= least).orderBy(F.desc("n"), "pair").limit(candidates + 1).collect()]
@@ -324,6 +330,7 @@ def train(counts: DataFrame, vocab_size: int = 32_768, min_frequency: int = 2, c
 
 def encode(docs: DataFrame, model: Model, text: str = "text", into: str = "ids") -> DataFrame:
     """``docs`` with the ids of each text."""
+    modest_batches(docs.sparkSession)
     ranks = docs.sparkSession.sparkContext.broadcast(model.ranks())  # at most 65,535 pairs
     known: dict[str, list[int]] = {}
 
