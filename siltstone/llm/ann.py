@@ -3,11 +3,13 @@
 Every valid vector is indexed. Equal vectors are one node that carries its smallest ids (as many as an answer can
 hold), so that a vector repeated a million times costs one row. Nodes are dealt to cells by the nearest of at most
 ``most_cells`` centroids, fitted on a bounded sample, and a cell's nodes at random in shards of bounded size. A shard's
-graph grows in batches: greedy beam search from the medoid proposes neighbours, relaxed distance pruning keeps diverse
-ones (a candidate goes if a kept neighbour is ``alpha`` times nearer to it than the node is), and reverse edges are
-pruned alike. Finished shards are rows of a stored table. How wide a beam a shard takes is measured on a sample of its own
-nodes by brute force: vectors without structure, or of many components, take more than families do. All similarities are
-doubles, for in single precision the members of a tight family, or vectors far from the origin, are all equally near.
+graph grows in batches: greedy beam search from the medoid proposes neighbours, beside those of the same batch; relaxed
+distance pruning keeps diverse ones (a candidate waits if a kept neighbour is ``alpha`` times nearer to it than the node
+is), the nearest of those that wait take the places left, and reverse edges are pruned alike. Nodes that no path reaches in
+the end are linked from the most similar one that can spare a link. Finished shards are rows of a stored table. How wide a
+beam a shard takes is measured on a sample of its own nodes by brute force: vectors without structure, or of many
+components, take more than families do. All similarities are doubles, for in single precision the members of a tight
+family, or vectors far from the origin, are all equally near.
 
 A query meets the shards of its nearest cells only. How many cells that takes is measured: a bounded sample of queries
 is answered by brute force over all nodes in one scan, and the smallest number of cells that holds ``coverage`` of those
@@ -62,11 +64,15 @@ def beam_search(x: np.ndarray, near: np.ndarray, start: int, queries: np.ndarray
 
 
 def robust_prune(x: np.ndarray, nodes: np.ndarray, found: np.ndarray, degree: int, alpha: float) -> np.ndarray:
-    """For each node, up to ``degree`` diverse ones of its candidates (-1: none)."""
+    """For each node, up to ``degree`` diverse ones of its candidates, then the nearest of the others (-1: none).
+
+    Without those others, the one in the middle of a family would be the only neighbour of all its members.
+    """
     valid = (found >= 0) & (found != nodes[:, None])
     points = x[found]
     d = np.where(valid, 2 - 2 * np.einsum("bd,bcd->bc", x[nodes], points), np.inf)
     between = 2 - 2 * points @ points.transpose(0, 2, 1)
+    rest = d.copy()
     out = np.full((len(nodes), degree), -1)
     rows = np.arange(len(nodes))
     for k in range(degree):
@@ -75,8 +81,15 @@ def robust_prune(x: np.ndarray, nodes: np.ndarray, found: np.ndarray, degree: in
         if not has.any():
             break
         out[has, k] = found[rows, best][has]
+        rest[rows[has], best[has]] = np.inf
         d = np.where(has[:, None] & (alpha * between[rows, best] <= d), np.inf, d)
         d[rows, best] = np.inf
+    short = np.flatnonzero((out < 0).any(1) & np.isfinite(rest).any(1))
+    if len(short):
+        by = np.argsort(rest[short], axis=1, kind="stable")[:, :degree]
+        more = np.where(np.isfinite(np.take_along_axis(rest[short], by, 1)), np.take_along_axis(found[short], by, 1), -1)
+        both = np.concatenate([out[short], more], 1)
+        out[short] = np.take_along_axis(both, np.argsort(both < 0, axis=1, kind="stable")[:, :degree], 1)
     return out
 
 
@@ -94,10 +107,12 @@ def build_graph(x: np.ndarray, degree: int = 32, beam: int = 64, alpha: float =
     done = 1
     while done < n:
         nodes = order[done : done + min(batch, done)]
-        found, _ = beam_search(x, near, start, x[nodes], beam)
+        found = _with_batch(x, nodes, *beam_search(x, near, start, x[nodes], beam))
         near[nodes] = robust_prune(x, nodes, found, degree, alpha)
         rows, cols = np.nonzero(near[nodes] >= 0)
         to, back = near[nodes][rows, cols], nodes[rows]
+        new_to = ~(near[to] == back[:, None]).any(1)  # two of a batch may have chosen each other
+        to, back = to[new_to], back[new_to]
         by = np.argsort(to, kind="stable")
         to, back = to[by], back[by]
         targets, first, count = np.unique(to, return_index=True, return_counts=True)
@@ -118,10 +133,48 @@ def build_graph(x: np.ndarray, degree: int = 32, beam: int = 64, alpha: float =
                 left = np.argsort(both[own] < 0, axis=1, kind="stable")[:, :wide]
                 near[t[own]] = robust_prune(x, t[own], np.take_along_axis(both[own], left, 1), degree, alpha)
         done += len(nodes)
+    bridge(x, near, start, beam)
     return near, start
 
 
-def beam_needed(x: np.ndarray, near: np.ndarray, start: int, k: int, beam: int, coverage: float = 0.98, sample: int = 64) -> int:
+def _with_batch(x: np.ndarray, nodes: np.ndarray, found: np.ndarray, sims: np.ndarray) -> np.ndarray:
+    """The most similar of the nodes found and of those that join the graph with it, as many as were found."""
+    among = x[nodes] @ x[nodes].T
+    np.fill_diagonal(among, -np.inf)
+    both = np.concatenate([sims, among], 1)
+    best = np.argsort(-both, axis=1, kind="stable")[:, : found.shape[1]]
+    ids = np.concatenate([found, np.broadcast_to(nodes, among.shape)], 1)
+    return np.where(np.isinf(np.take_along_axis(both, best, 1)), -1, np.take_along_axis(ids, best, 1))
+
+
+def bridge(x: np.ndarray, near: np.ndarray, start: int, beam: int) -> None:
+    """Links nodes that no path from the start reaches from the most similar one that has a link to spare.
+
+    To spare are free places, and links by which no node was reached first.
+    """
+    n, degree = near.shape
+    first = np.zeros(near.shape, bool)
+    reached = np.zeros(n, bool)
+    reached[start], edge = True, np.array([start])
+    lost = np.arange(n)
+    while True:
+        while len(edge):
+            rows, cols = np.nonzero((near[edge] >= 0) & ~reached[near[edge]])
+            edge_to, one = np.unique(near[edge[rows], cols], return_index=True)
+            first[edge[rows[one]], cols[one]] = True
+            reached[edge_to], edge = True, edge_to
+        lost = lost[~reached[lost]]
+        if not len(lost):
+            return
+        found = beam_search(x, near, start, x[lost[:1]], beam)[0][0]
+        found = np.concatenate([found[found >= 0], np.flatnonzero(reached)])
+        by = found[np.argmin(first[found].all(1))]
+        at = int(np.flatnonzero(~first[by] & (near[by] < 0))[0]) if (~first[by] & (near[by] < 0)).any() else int(np.flatnonzero(~first[by])[-1])
+        near[by, at], first[by, at] = lost[0], True
+        reached[lost[0]], edge = True, lost[:1]
+
+
+def beam_needed(x: np.ndarray, near: np.ndarray, start: int, k: int, beam: int, coverage: float = 0.98, sample: int = 256) -> int:
     """The beam, doubled until it finds ``coverage`` of the k nearest of a sample of nodes, or while that still helps."""
     some = np.linspace(0, len(x) - 1, min(sample, len(x))).astype(int)
     k = min(k + 1, len(x))  # each is its own nearest
