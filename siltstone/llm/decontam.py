@@ -286,7 +286,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, most_word
     automata, names = Automata(items, window, most_words), docs.columns
     if automata.shards == 1:
         (own,) = private(docs, "cleaned")
-        judged = docs.withColumn(own, _cleaner(automata.machine(0))(F.col(text))).filter(F.col(f"{own}.n_hit") <= F.lit(most_coverage) * F.col(f"{own}.n_words"))
+        cleaned = _cleaner(automata.machine(0)).asNondeterministic()  # else the filter gets a call of its own
+        judged = docs.withColumn(own, cleaned(F.col(text))).filter(F.col(f"{own}.n_hit") <= F.lit(most_coverage) * F.col(f"{own}.n_words"))
         return judged.withColumn(text, F.coalesce(F.col(f"{own}.text"), F.col(text))).select(*[F.col(f"`{n}`") for n in names])
     n_hit = F.aggregate("spans", F.lit(0), lambda n, s: n + s["last"] - s["first"] + 1)
     swept = automata.sweep(docs.select(_digest(text).alias("key"), F.col(text).alias("text")))
