@@ -156,7 +156,7 @@ def render(messages: Column, add_generation_prompt: bool = False) -> Column:
 
 
 def collect_mix(items: DataFrame, shares, target: int, read_multiplier: float = 2.5, source: str = "source", order: str = "ord", key: str = "key", reason: str = "reason", only: str | None = None) -> DataFrame:
-    """Items of a mix of sources, prompts unique: source, ord, key and rank within the source.
+    """Items of a mix of sources, prompts unique: source, ord, key and the source's place in the mix, sorted by place and ord.
 
     Sources are visited in the mix's order. Each reads ``read_multiplier`` times its share of ``target`` rows, drops
     what has a reason, keeps the first row of each prompt that no earlier source has taken, and takes its share. Only
@@ -173,7 +173,7 @@ def collect_mix(items: DataFrame, shares, target: int, read_multiplier: float =
             first = first.join(taken.select(key), key, "left_anti")
         got = numbered(first, [order]).filter(F.col("rn") < want).select(F.lit(name).alias(source), order, key, F.lit(place).alias("place"))
         taken = got if taken is None else taken.unionByName(got)
-    return taken
+    return taken.orderBy("place", order)
 
 
 def train_val_split(items: DataFrame, order, val_fraction: float) -> DataFrame:
